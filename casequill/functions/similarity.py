@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def ratio_udf(at_least: float = 0.0):
@@ -14,7 +15,7 @@ def ratio_udf(at_least: float = 0.0):
     self-contained so that workers need nothing but the standard library.
     """
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def ratio(source: pd.Series, target: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 

@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from casequill.functions import chars
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Canonical composition, for distinct words only; equality in bulk goes through keys."""
     return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))

@@ -43,14 +43,31 @@ def join_paragraphs(paras: DataFrame, lines_per_part: int = 100_000) -> DataFram
     )
 
 
+def _windows_1252(content: Column) -> Column:
+    """Windows-1252, or Latin-1 when a byte is not assigned in it. Both differ from Latin-1
+    only in 0x80-0x9F, so the first is a character mapping of the second."""
+    assigned, target, unassigned = [], [], []
+    for byte in range(0x80, 0xA0):
+        try:
+            target.append(bytes([byte]).decode("cp1252"))
+            assigned.append(chr(byte))
+        except UnicodeDecodeError:
+            unassigned.append(chr(byte))
+    latin = F.decode(content, "ISO-8859-1")
+    return F.when(F.regexp_like(latin, F.lit(f"[{''.join(unassigned)}]")), latin).otherwise(
+        F.translate(latin, "".join(assigned), "".join(target))
+    )
+
+
 def decode_bytes(content: Column) -> Column:
-    """Text of raw bytes: UTF-8 (with or without mark), UTF-16 only with a mark, else Windows-1252."""
-    bom16 = F.substring(F.hex(F.substring(content, 1, 2)), 1, 4)
+    """Text of raw bytes: UTF-8 (with or without mark), UTF-16 only with a mark, else
+    Windows-1252, else Latin-1."""
+    mark = F.hex(F.substring(content, 1, 2))
     utf8 = F.try_validate_utf8(content.cast("string"))
     return F.coalesce(
-        F.when(bom16.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")),
+        F.when(mark.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")),
         F.regexp_replace(utf8, "^\\x{feff}", ""),
-        F.decode(content, "windows-1252"),
+        _windows_1252(content),
     )
 
 

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def ratio_udf(at_least: float = 0.0):
+def ratio_udf():
     """Arrow UDF (source, target) -> matching-blocks ratio over word pairs.
 
-    0 when a cheaper upper bound already rules out ``at_least``. The body is
-    self-contained so that workers need nothing but the standard library.
+    The body is self-contained so that workers need nothing but the standard library.
     """
 
     @F.pandas_udf(DoubleType())
@@ -27,10 +26,7 @@ def ratio_udf(at_least: float = 0.0):
             if matcher is None:
                 matcher = matchers[t] = SequenceMatcher(None, "", t)
             matcher.set_seq1(s)
-            if at_least and (matcher.real_quick_ratio() < at_least or matcher.quick_ratio() < at_least):
-                out.append(0.0)
-            else:
-                out.append(matcher.ratio())
+            out.append(matcher.ratio())
         return pd.Series(out, dtype="float64")
 
     return ratio

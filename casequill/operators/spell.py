@@ -336,6 +336,8 @@ def candidate_pairs(
     base_ratio: float = MIN_BASE_RATIO,
     max_broadcast: int = MAX_BROADCAST_ROWS,
     salts: int = 32,
+    partitions: int | None = None,
+    exact: bool = True,
 ) -> DataFrame:
     """Word pairs within two letters of length that can reach ``base_ratio``.
 
@@ -346,49 +348,57 @@ def candidate_pairs(
     broadcast bound are spread over ``salts`` copies of each length so that a frequent
     length is no single task.
     """
-    prepared = sources.select(
-        "word",
-        "source",
-        F.length("source").alias("source_len"),
-        strip_accents(F.col("source")).alias("source_skeleton"),
-    ).withColumn("source_signature", letter_signature(F.col("source_skeleton")))
+    if partitions is None:
+        partitions = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes but much work per word: a fixed number of partitions, which adaptive
+    # execution does not coalesce; the ranking per word reuses this partitioning. The
+    # coalesce calls make the computed columns non-nullable: a nullable one in a join
+    # condition gets a derived "is not null" filter, computed on every token of the input.
+    prepared = (
+        sources.select("word", "source")
+        .repartition(partitions, "word")
+        .withColumn("source_skeleton", F.coalesce(strip_accents(F.col("source")), F.lit("")))
+        .select(
+            "word",
+            "source",
+            "source_skeleton",
+            F.coalesce(F.length("source"), F.lit(0)).alias("source_len"),
+            F.coalesce(F.length("source_skeleton"), F.lit(0)).alias("source_skeleton_len"),
+            F.coalesce(letter_signature(F.col("source_skeleton")), F.lit(0).cast("bigint")).alias("source_signature"),
+        )
+    )
     banded = prepared.withColumn(
         "word_len",
         F.explode(F.sequence(F.greatest(F.lit(1), F.col("source_len") - 2), F.col("source_len") + 2)),
     )
     names = lookup.select(
         F.col("word").alias("candidate"),
-        F.col("word_len"),
+        F.col("word_len").alias("candidate_len"),
         F.col("skeleton").alias("candidate_skeleton"),
+        F.coalesce(F.length("skeleton"), F.lit(0)).alias("candidate_skeleton_len"),
         F.col("signature").alias("candidate_signature"),
     )
+    condition = F.col("word_len") == F.col("candidate_len")
     if is_small(names, max_broadcast):
-        keys = [banded["word_len"] == names["word_len"]]
-        names_side = F.broadcast(names)
+        names = F.broadcast(names)
     else:
         banded = banded.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(salts)))
-        names_side = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-        keys = [banded["word_len"] == names_side["word_len"], banded["salt"] == names_side["salt"]]
-    limit = max_edits(
-        F.length(banded["source_skeleton"]), F.length(names_side["candidate_skeleton"]), base_ratio
-    )
-    condition = keys[0]
-    for k in keys[1:]:
-        condition = condition & k
-    condition = condition & (
-        F.bit_count(banded["source_signature"].bitwiseXOR(names_side["candidate_signature"])) <= limit
-    )
-    pairs = banded.join(names_side, condition).select(
+        names = names.withColumn(
+            "candidate_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
+        )
+        condition = condition & (F.col("salt") == F.col("candidate_salt"))
+    limit = max_edits(F.col("source_skeleton_len"), F.col("candidate_skeleton_len"), base_ratio)
+    differing = F.bit_count(F.col("source_signature").bitwiseXOR(F.col("candidate_signature")))
+    # threshold argument: stops early and gives -1 beyond the bound. It stays in the join
+    # condition, after the signature test: a later filter would be moved in front of it.
+    edits = F.call_function("levenshtein", F.col("source_skeleton"), F.col("candidate_skeleton"), limit)
+    condition = condition & (differing <= limit) & (edits >= 0)
+    if not exact:
+        base = edit_ratio(F.col("source_skeleton"), F.col("candidate_skeleton"))
+        condition = condition & (base >= base_ratio)
+    return banded.join(names, condition).select(
         "word", "source", "source_skeleton", "candidate", "candidate_skeleton"
     )
-    # threshold argument: stops early and gives -1 beyond the bound
-    edits = F.call_function(
-        "levenshtein",
-        F.col("source_skeleton"),
-        F.col("candidate_skeleton"),
-        max_edits(F.length("source_skeleton"), F.length("candidate_skeleton"), base_ratio),
-    )
-    return pairs.where(edits >= 0)
 
 
 def score_pairs(pairs: DataFrame, exact: bool = True) -> DataFrame:
@@ -399,14 +409,14 @@ def score_pairs(pairs: DataFrame, exact: bool = True) -> DataFrame:
     """
     if exact:
         base = pairs.withColumn(
-            "base_ratio", ratio_udf(MIN_BASE_RATIO)(F.col("source_skeleton"), F.col("candidate_skeleton"))
+            "base_ratio", ratio_udf()(F.col("source_skeleton"), F.col("candidate_skeleton"))
         ).where(F.col("base_ratio") >= MIN_BASE_RATIO)
-        scored = base.withColumn("ratio", ratio_udf(0.0)(F.col("source"), F.col("candidate")))
+        scored = base.withColumn("ratio", ratio_udf()(F.col("source"), F.col("candidate")))
     else:
-        base = pairs.withColumn(
+        # the join has already applied the bound on the base ratio
+        scored = pairs.withColumn(
             "base_ratio", edit_ratio(F.col("source_skeleton"), F.col("candidate_skeleton"))
-        ).where(F.col("base_ratio") >= MIN_BASE_RATIO)
-        scored = base.withColumn("ratio", edit_ratio(F.col("source"), F.col("candidate")))
+        ).withColumn("ratio", edit_ratio(F.col("source"), F.col("candidate")))
     return scored.select(
         "word",
         "candidate",
@@ -428,7 +438,7 @@ def suggestions(
     sources: DataFrame, lookup: DataFrame, limit: int = 3, exact: bool = True, base_ratio: float = MIN_BASE_RATIO
 ) -> DataFrame:
     """Top suggestions for distinct words: word, rank, candidate, ratio, score."""
-    return top_suggestions(score_pairs(candidate_pairs(sources, lookup, base_ratio), exact), limit)
+    return top_suggestions(score_pairs(candidate_pairs(sources, lookup, base_ratio, exact=exact), exact), limit)
 
 
 def corrections(unknown: DataFrame, words: DataFrame, lookup: DataFrame, exact: bool = True) -> DataFrame:
@@ -442,7 +452,7 @@ def corrections(unknown: DataFrame, words: DataFrame, lookup: DataFrame, exact:
     fresh = distinct.join(words.select(F.col("word").alias("source")), "source", "left_anti").where(
         F.length("source") > 1
     )
-    pairs = candidate_pairs(fresh, lookup)
+    pairs = candidate_pairs(fresh, lookup, exact=exact)
     reachable = F.call_function(
         "levenshtein",
         F.col("source"),

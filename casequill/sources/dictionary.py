@@ -33,27 +33,27 @@ def words_of(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def letter_signature(word: Column) -> Column:
-    """64-bit set of letters: bit i for the letter, bit i+26 for its second occurrence.
+    """64-bit set of letters: bit i for letter i, bit i + 26 for its second occurrence.
 
-    Words at small edit distance differ in few bits, so the bit distance is a cheap
-    lower bound; letters outside a-z share the upper bits.
+    The number of differing bits is never more than the number of single-letter
+    insertions and deletions between two words, so it is a cheap lower bound. Letters
+    outside a-z are left out, which keeps the bound safe.
     """
-    # bits of letters outside a-z are shared, so a shared bit may hide differences but
-    # never adds one: the bound stays safe.
-    signature = F.lit(0).cast("long")
-    for i in range(26):
-        letter = chr(ord("a") + i)
-        hits = F.length(word) - F.length(F.translate(word, letter, ""))
-        signature = signature.bitwiseOR(F.when(hits >= 1, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-        signature = signature.bitwiseOR(F.when(hits >= 2, F.lit(1 << (26 + i))).otherwise(F.lit(0)).cast("long"))
-    return signature
+
+    def add(acc: Column, letter: Column) -> Column:
+        index = F.ascii(letter) - ord("a")
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), index)
+        repeated = F.call_function("shiftleft", bit, F.lit(26))
+        seen = acc.bitwiseAND(bit) != 0
+        return F.when(index.between(0, 25), acc.bitwiseOR(F.when(seen, repeated).otherwise(bit))).otherwise(acc)
+
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), add)
 
 
 def lookup_table(words: DataFrame) -> DataFrame:
     """Dictionary with the columns the suggestion join needs."""
-    skeleton = strip_accents(F.col("word"))
+    # non-nullable, so that joins derive no "is not null" filters from the expressions
+    skeleton = F.coalesce(strip_accents(F.col("word")), F.lit(""))
     return words.select(
-        "word",
-        F.length("word").alias("word_len"),
-        skeleton.alias("skeleton"),
-    ).withColumn("signature", letter_signature(F.col("skeleton")))
+        "word", F.coalesce(F.length("word"), F.lit(0)).alias("word_len"), skeleton.alias("skeleton")
+    ).withColumn("signature", F.coalesce(letter_signature(F.col("skeleton")), F.lit(0).cast("bigint")))

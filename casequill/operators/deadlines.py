@@ -58,7 +58,8 @@ def elapsed_color(elapsed: Column, total: Column) -> Column:
 
 
 def percent_of(part: Column, total: Column) -> Column:
-    return F.least(F.lit(100), F.round(part / total * 100).cast("int"))
+    share = F.round(part / total * 100).cast("int")
+    return F.when(share.isNotNull(), F.least(F.lit(100), share))  # least skips nulls
 
 
 def detention_terms(terms: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file path per document: its source as folder, the start of its text as name."""
     suffixes = (".docx", ".PDF", ".txt", ".md", ".zip", ".png")
-    title = F.translate(F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 90), "/.", "-")
+    title = F.translate(F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 90), "/.", "--")
     path = F.concat(
         "source", F.lit("/"), title, F.lit(" "), F.col("doc_id").cast("string"), pick(suffixes, F.col("doc_id"))
     )

@@ -124,7 +124,7 @@ paid AS (SELECT loan_id, sum(principal_paid) AS pp, sum(interest_paid)::DOUBLE A
 owed AS (SELECT loan_id, (principal - coalesce(pp, 0))::DOUBLE AS principal_left, greatest(t - coalesce(ip, 0), 0) AS in_term_left,
    greatest(o - greatest(coalesce(ip, 0) - t, 0), 0) AS overdue_left FROM termed JOIN sums USING (loan_id) LEFT JOIN paid USING (loan_id))"""
 
-_ROUND = "round({0}, 2) AS {0}"
+_ROUND = "floor({0} * 100 + 0.5) / 100 AS {0}"
 
 CALENDAR = """days AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '1995-01-01', DATE '2011-01-31', INTERVAL 1 DAY) s(d)),
 rest AS (SELECT date, dayofweek(date) IN (0, 6) OR (month(date), day(date)) IN ((1, 1), (4, 30), (5, 1), (9, 2)) AS off FROM days),
@@ -167,19 +167,19 @@ FROM documents GROUP BY 1, 2""",
     "batch_totals": f"""WITH {RESULTS} SELECT count(*) AS total_files, count(*) FILTER (success) AS processed, count(*) FILTER (NOT success) AS errors,
 CAST(sum(total_pages) AS BIGINT) AS total_pages FROM results""",
     "loan_segments": f"""WITH {LOANS} SELECT loan_id, seg_start, seg_end, days, CAST(balance AS DOUBLE) AS balance, CAST(amount AS DOUBLE) AS amount,
-CAST(year_rate AS DOUBLE) AS year_rate, overdue, round(num::DOUBLE / 100 / basis, 2) AS interest FROM valued""",
+CAST(year_rate AS DOUBLE) AS year_rate, overdue, floor(num::DOUBLE / 100 / basis * 100 + 0.5) / 100 AS interest FROM valued""",
     "loan_details": f"""WITH {LOANS}, marked AS (SELECT *, CASE WHEN (amount, year_rate, overdue, basis) =
    lag((amount, year_rate, overdue, basis)) OVER (PARTITION BY loan_id ORDER BY seg_start) THEN 0 ELSE 1 END AS changed FROM valued),
 isles AS (SELECT *, sum(changed) OVER (PARTITION BY loan_id ORDER BY seg_start ROWS UNBOUNDED PRECEDING) AS isle FROM marked)
 SELECT loan_id, min(seg_start) AS seg_start, max(seg_end) AS seg_end, CAST(sum(days) AS BIGINT) AS days, CAST(any_value(amount) AS DOUBLE) AS amount,
-CAST(any_value(year_rate) AS DOUBLE) AS year_rate, round(sum(num)::DOUBLE / 100 / any_value(basis), 2) AS interest FROM isles GROUP BY loan_id, isle""",
+CAST(any_value(year_rate) AS DOUBLE) AS year_rate, floor(sum(num)::DOUBLE / 100 / any_value(basis) * 100 + 0.5) / 100 AS interest FROM isles GROUP BY loan_id, isle""",
     "loan_matrix": f"""WITH {LOANS}, {MATRIX} SELECT loan_id, {', '.join(_ROUND.format(c) for c in ('principal_left', 'in_term_left', 'overdue_left'))},
-0.0::DOUBLE AS late_left, round(principal_left + in_term_left + overdue_left, 2) AS total_left FROM owed""",
+0.0::DOUBLE AS late_left, floor((principal_left + in_term_left + overdue_left) * 100 + 0.5) / 100 AS total_left FROM owed""",
     "loan_waterfall": f"""WITH {LOANS}, flow AS (SELECT v.loan_id, v.seg_end,
    (sum(CASE WHEN basis = 360 THEN num ELSE 0 END) OVER w)::DOUBLE / 100 / 360 + (sum(CASE WHEN basis = 365 THEN num ELSE 0 END) OVER w)::DOUBLE / 100 / 365 AS accrued,
    (sum(coalesce(p.interest, 0)) OVER w)::DOUBLE AS paid
    FROM valued v LEFT JOIN per_day p ON p.loan_id = v.loan_id AND p.date = v.seg_end WINDOW w AS (PARTITION BY v.loan_id ORDER BY v.seg_end ROWS UNBOUNDED PRECEDING))
-SELECT loan_id, seg_end, round(accrued, 2) AS accrued, round(paid, 2) AS paid, round(accrued - paid, 2) AS unpaid FROM flow""",
+SELECT loan_id, seg_end, {_ROUND.format('accrued')}, {_ROUND.format('paid')}, floor((accrued - paid) * 100 + 0.5) / 100 AS unpaid FROM flow""",
     "loan_input_checks": f"""WITH {LOANS} SELECT p.loan_id, 'payment' AS kind, count(*) AS n FROM all_payments p LEFT JOIN termed t USING (loan_id)
 WHERE t.loan_id IS NULL OR p.date < start_date OR p.date >= accrual_end GROUP BY p.loan_id
 UNION ALL SELECT loan_id, 'rate', CAST(1 AS BIGINT) FROM loans WHERE loan_id % 2 = 0 AND loan_id % 3 >= 1""",

@@ -136,13 +136,18 @@ def _loan_tables(spark, sf_dir):
     return ls, inputs.valid_payments(ls, inputs.line_payments(spark, sf_dir)), inputs.order_rates(spark, sf_dir)
 
 
+def _cents(amount):
+    """Half-up to two places with plain double arithmetic, the same in every engine."""
+    return F.floor(amount * 100 + 0.5) / 100
+
+
 def _doubles(df, *columns):
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
 def loan_segments(spark, sf_dir):
     segs = loans.segments(*_loan_tables(spark, sf_dir))
-    interest = F.round(loans.interest_of(F.col("numerator"), F.col("day_basis")), 2)
+    interest = _cents(loans.interest_of(F.col("numerator"), F.col("day_basis")))
     return _doubles(
         segs.select("loan_id", "seg_start", "seg_end", long("days", "days"), "balance", "amount", "year_rate", "overdue", interest.alias("interest")),
         "balance", "amount", "year_rate",
@@ -151,19 +156,19 @@ def loan_segments(spark, sf_dir):
 
 def loan_details(spark, sf_dir):
     merged = loans.merge_details(loans.segments(*_loan_tables(spark, sf_dir)))
-    interest = F.round(loans.interest_of(F.col("numerator"), F.col("day_basis")), 2)
+    interest = _cents(loans.interest_of(F.col("numerator"), F.col("day_basis")))
     return _doubles(merged.select("loan_id", "seg_start", "seg_end", long("days", "days"), "amount", "year_rate", interest.alias("interest")), "amount", "year_rate")
 
 
 def loan_matrix(spark, sf_dir):
     owed = loans.result_matrix(*_loan_tables(spark, sf_dir))
-    return owed.select("loan_id", *[F.round(c, 2).alias(c) for c in ("principal_left", "in_term_left", "overdue_left", "late_left", "total_left")])
+    return owed.select("loan_id", *[_cents(F.col(c)).alias(c) for c in ("principal_left", "in_term_left", "overdue_left", "late_left", "total_left")])
 
 
 def loan_waterfall(spark, sf_dir):
     ls, ps, rs = _loan_tables(spark, sf_dir)
     flow = loans.waterfall(loans.segments(ls, ps, rs), ps)
-    return flow.select("loan_id", "seg_end", *[F.round(c, 2).alias(c) for c in ("accrued", "paid", "unpaid")])
+    return flow.select("loan_id", "seg_end", *[_cents(F.col(c)).alias(c) for c in ("accrued", "paid", "unpaid")])
 
 
 def loan_input_checks(spark, sf_dir):

@@ -82,7 +82,9 @@ def file_name(path: Column) -> Column:
 
 def file_suffix(name: Column) -> Column:
     """Last extension with its dot; none for dot-files and for a trailing dot."""
-    return F.regexp_extract(name, r"(?s)^.*[^.].*?(\.[^.]+)$", 1)
+    last = F.substring_index(name, ".", -1)
+    before = F.substring(name, F.lit(1), F.length(name) - F.length(last) - 1)
+    return F.when((last != "") & (F.ltrim(before, F.lit(".")) != ""), F.concat(F.lit("."), last)).otherwise("")
 
 
 def file_stem(name: Column) -> Column:
@@ -126,3 +128,12 @@ def trim_space(text: Column) -> Column:
     """Trim every kind of whitespace from both ends."""
     s = chars.SPACE
     return F.regexp_replace(text, rf"^{s}+|{s}+\z", "")
+
+
+def evaluate_once(df, name: str, value: Column):
+    """Add a costly column that a filter will read.
+
+    A filter on a plain projection is moved below it and evaluates the expression a second
+    time; it is not moved below a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casequill.functions import chars
 from casequill.functions.spans import let
-from casequill.functions.text import file_stem, file_suffix, nfc, remove_diacritics, squeeze_spaces
+from casequill.functions.text import evaluate_once, file_stem, file_suffix, nfc, remove_diacritics, squeeze_spaces
 from casequill.sources import rules
 from casequill.sources.files import describe_paths, visible_files
 
@@ -39,30 +39,39 @@ def clean_special(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, "-{2,}", "-"), "_{2,}", "_")
 
 
+def _feeds_later_rule(table: dict[str, str]) -> bool:
+    """True when some abbreviation is a new word that a phrase of the table contains, so that
+    applying one rule can make another one match."""
+    inside = {w for phrase in table for w in phrase.lower().split()}
+    new = {w for phrase, short in table.items() for w in short.lower().split() if w not in phrase.lower().split()}
+    return bool(inside & new)
+
+
 def abbreviate(text: Column, table=rules.ABBREVIATIONS) -> Column:
     """Whole-word abbreviations, longest phrase first, each seeing the result of the last.
 
-    An ordered fold over the rule table; a plain substring test comes before each pattern.
+    An ordered fold over the rules whose phrase occurs in the text; they are picked once by
+    plain substring tests, unless the table is such that one rule can enable another.
     """
     ordered = sorted(((k, v) for k, v in table.items() if v), key=lambda kv: len(kv[0]), reverse=True)
     steps = F.array(
         *[
             F.struct(
-                F.lit(full).alias("full"),
+                F.lit(f" {full.lower()} ").alias("full"),
                 F.lit(f"(?iu){chars.WORD_START}{chars.quote(full)}{chars.WORD_END}").alias("pattern"),
                 F.lit(short).alias("short"),
             )
             for full, short in ordered
         ]
     )
-    folded = F.aggregate(
-        steps,
-        text,
-        lambda acc, s: F.when(
-            F.contains(F.lower(acc), s["full"]), F.regexp_replace(acc, s["pattern"], s["short"])
-        ).otherwise(acc),
+    spaced = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, chars.NOT_WORD_CHAR, " ")), F.lit(" "))
+    if _feeds_later_rule(table):
+        present = steps
+    else:
+        present = let(spaced, lambda low: F.filter(steps, lambda s: F.contains(low, s["full"])))
+    return squeeze_spaces(
+        F.aggregate(present, text, lambda acc, s: F.regexp_replace(acc, s["pattern"], s["short"]))
     )
-    return squeeze_spaces(folded)
 
 
 def shorten(text: Column, max_length: int = rules.MAX_STEM_LENGTH, table=rules.ABBREVIATIONS) -> Column:
@@ -123,9 +132,22 @@ def compose_stems(files: DataFrame) -> DataFrame:
     )
 
 
+def is_problem(stem: Column, max_length: int = rules.MAX_STEM_LENGTH) -> Column:
+    """True when ``name_reasons`` has something to say; plain tests in generated code."""
+    return (
+        (F.length(stem) > max_length)
+        | F.contains(stem, F.lit("  "))
+        | F.contains(stem, F.lit("__"))
+        | F.regexp_like(stem, F.lit(HAS_ACCENT))
+        | F.regexp_like(stem, F.lit(SPECIAL))
+    )
+
+
 def problem_files(files: DataFrame, max_length: int = rules.MAX_STEM_LENGTH) -> DataFrame:
     """Described files with ``reasons``, only those with at least one."""
-    return files.withColumn("reasons", name_reasons(F.col("stem"), max_length)).where(F.size("reasons") > 0)
+    return files.where(is_problem(F.col("stem"), max_length)).withColumn(
+        "reasons", name_reasons(F.col("stem"), max_length)
+    )
 
 
 def proposals(
@@ -139,9 +161,10 @@ def proposals(
     ``overrides(path, new_name)`` replace the generated name when not blank; they are
     keyed by path.
     """
-    named = compose_stems(problem_files(files, max_length)).withColumn(
-        "generated", clean_name(F.col("composed"), F.col("suffix"), max_length, map_dstroke=map_dstroke)
-    ).where(F.col("generated") != F.col("name"))
+    clean = clean_name(F.col("composed"), F.col("suffix"), max_length, map_dstroke=map_dstroke)
+    named = evaluate_once(compose_stems(problem_files(files, max_length)), "generated", clean).where(
+        F.col("generated") != F.col("name")
+    )
     if overrides is None:
         joined = named.withColumn("typed", F.lit(None).cast("string"))
     else:
@@ -241,7 +264,7 @@ def plan_totals(files: DataFrame, plan: DataFrame, skip_folders=rules.SKIP_FOLDE
     described = describe_paths(visible_files(files.select("path"), skip_folders))
     scanned = described.agg(
         F.count("*").alias("total_scanned"),
-        F.count_if(F.size(name_reasons(F.col("stem"))) > 0).alias("total_problematic"),
+        F.count_if(is_problem(F.col("stem"))).alias("total_problematic"),
     )
     outcome = plan.agg(
         F.count_if(F.col("status") == "PROPOSED").alias("total_proposed"),

@@ -29,6 +29,7 @@ from casequill.functions.spans import (
 )
 from casequill.functions.text import copy_capital, is_upper, nfc, strip_accents
 from casequill.operators.sizing import MAX_BROADCAST_ROWS, is_small
+from casequill.operators.staging import stage
 from casequill.sources import rules
 from casequill.sources.dictionary import letter_signature
 
@@ -330,24 +331,17 @@ MIN_BASE_RATIO = 0.67
 MIN_RATIO, MIN_RATIO_CAPITAL = 0.78, 0.86
 
 
-def candidate_pairs(
+def _pair_join(
     sources: DataFrame,
     lookup: DataFrame,
-    base_ratio: float = MIN_BASE_RATIO,
-    max_broadcast: int = MAX_BROADCAST_ROWS,
-    salts: int = 32,
-    partitions: int | None = None,
-    exact: bool = True,
-) -> DataFrame:
-    """Word pairs within two letters of length that can reach ``base_ratio``.
-
-    ``sources(word, source)`` are distinct; ``lookup`` is the dictionary with skeletons.
-    The join is on length. Its residual conditions are lower bounds of the edit distance
-    (letter signature, then banded edit distance), inside the join operator, so a pair
-    that cannot qualify is never a row and none that can is lost. Dictionaries beyond the
-    broadcast bound are spread over ``salts`` copies of each length so that a frequent
-    length is no single task.
-    """
+    base_ratio: float,
+    max_broadcast: int,
+    salts: int,
+    partitions: int | None,
+    exact: bool,
+    exact_ratio: float | None = None,
+):
+    """Both sides and the condition of the length-blocked word join."""
     if partitions is None:
         partitions = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # few bytes but much work per word: a fixed number of partitions, which adaptive
@@ -387,20 +381,66 @@ def candidate_pairs(
             "candidate_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
         )
         condition = condition & (F.col("salt") == F.col("candidate_salt"))
+
+    # threshold argument: stops early and gives -1 beyond the bound
+    def within(a: str, b: str, bound: Column) -> Column:
+        return F.call_function("levenshtein", F.col(a), F.col(b), bound) >= 0
+
     limit = max_edits(F.col("source_skeleton_len"), F.col("candidate_skeleton_len"), base_ratio)
     differing = F.bit_count(F.col("source_signature").bitwiseXOR(F.col("candidate_signature")))
-    # threshold argument: stops early and gives -1 beyond the bound. It stays in the join
-    # condition, after the signature test: a later filter would be moved in front of it.
-    edits = F.call_function("levenshtein", F.col("source_skeleton"), F.col("candidate_skeleton"), limit)
-    condition = condition & (differing <= limit) & (edits >= 0)
+    # cheapest test first. All of it stays in the join condition: a later filter would be
+    # moved in front of the signature test and run on every pair of a length.
+    condition = condition & (differing <= limit) & within("source_skeleton", "candidate_skeleton", limit)
     if not exact:
         base = edit_ratio(F.col("source_skeleton"), F.col("candidate_skeleton"))
         condition = condition & (base >= base_ratio)
+    if exact_ratio is not None:
+        bound = max_edits(F.col("source_len"), F.col("candidate_len"), exact_ratio)
+        condition = condition & within("source", "candidate", bound)
+    return banded, names, condition
+
+
+def candidate_pairs(
+    sources: DataFrame,
+    lookup: DataFrame,
+    base_ratio: float = MIN_BASE_RATIO,
+    max_broadcast: int = MAX_BROADCAST_ROWS,
+    salts: int = 32,
+    partitions: int | None = None,
+    exact: bool = True,
+) -> DataFrame:
+    """Word pairs within two letters of length that can reach ``base_ratio``.
+
+    ``sources(word, source)`` are distinct; ``lookup`` is the dictionary with skeletons.
+    The join is on length. Its residual conditions are lower bounds of the edit distance
+    (letter signature, then banded edit distance), inside the join operator, so a pair
+    that cannot qualify is never a row and none that can is lost. Dictionaries beyond the
+    broadcast bound are spread over ``salts`` copies of each length so that a frequent
+    length is no single task.
+    """
+    banded, names, condition = _pair_join(
+        sources, lookup, base_ratio, max_broadcast, salts, partitions, exact
+    )
     return banded.join(names, condition).select(
         "word", "source", "source_skeleton", "candidate", "candidate_skeleton"
     )
 
 
+def hopeful_words(
+    sources: DataFrame,
+    lookup: DataFrame,
+    ratio: float,
+    max_broadcast: int = MAX_BROADCAST_ROWS,
+    salts: int = 32,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Words with some candidate whose exact form can reach ``ratio``: a semi join, no pairs."""
+    banded, names, condition = _pair_join(
+        sources, lookup, MIN_BASE_RATIO, max_broadcast, salts, partitions, True, ratio
+    )
+    return banded.join(names, condition, "left_semi").select("word", "source").distinct()
+
+
 def score_pairs(pairs: DataFrame, exact: bool = True) -> DataFrame:
     """Add ratio and score: 0.65 of the exact form plus 0.35 of the accent-free form.
 
@@ -446,22 +486,15 @@ def corrections(unknown: DataFrame, words: DataFrame, lookup: DataFrame, exact:
 
     Words whose composed form is in the dictionary drop out here (text in decomposed
     Unicode). A word can only be reported when some candidate reaches 0.78 on the exact
-    form; words without a pair inside that bound are dropped before scoring.
+    form, so words without one inside that bound are dropped before any pair is built.
     """
     distinct = unknown.select("word").distinct().withColumn("source", nfc(F.col("word")))
     fresh = distinct.join(words.select(F.col("word").alias("source")), "source", "left_anti").where(
         F.length("source") > 1
     )
-    pairs = candidate_pairs(fresh, lookup, exact=exact)
-    reachable = F.call_function(
-        "levenshtein",
-        F.col("source"),
-        F.col("candidate"),
-        max_edits(F.length("source"), F.length("candidate"), MIN_RATIO),
-    )
-    hopeful = F.max((reachable >= 0).cast("int")).over(Window.partitionBy("word"))
-    kept = pairs.withColumn("hopeful", hopeful).where(F.col("hopeful") == 1).drop("hopeful") if exact else pairs
-    best = top_suggestions(score_pairs(kept, exact), 1)
+    if exact:
+        fresh = hopeful_words(fresh, lookup, MIN_RATIO)
+    best = top_suggestions(score_pairs(candidate_pairs(fresh, lookup, exact=exact), exact), 1)
     return best.where(F.col("ratio") >= MIN_RATIO).select(
         "word", F.col("candidate").alias("suggestion"), "ratio"
     )
@@ -471,7 +504,8 @@ def dictionary_issues(
     paras: DataFrame, words: DataFrame, lookup: DataFrame, pack: SpellRules = VIETNAMESE, exact: bool = True
 ) -> DataFrame:
     """Warnings for tokens outside the dictionary that have a close enough suggestion."""
-    unknown = unknown_tokens(paras, words, pack)
+    # read twice: for the distinct words and for the final join
+    unknown = stage(unknown_tokens(paras, words, pack))
     fixes = corrections(unknown, words, lookup, exact)
     capital = F.regexp_like("token", F.lit("^" + chars.UPPER))
     accepted = unknown.join(fixes, "word").where(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casequill.functions.text import evaluate_once
 from casequill.sources import rules
 from casequill.sources.dictionary import lookup_table, words_of
 from casequill.sources.documents import paragraphs
@@ -79,11 +80,13 @@ def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file path per document: its source as folder, the start of its text as name."""
     suffixes = (".docx", ".PDF", ".txt", ".md", ".zip", ".png")
-    title = F.translate(F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 90), "/.", "--")
+    title = F.translate(F.substring(F.substring_index("text", "\n", 1), 1, 90), "/.", "--")
     path = F.concat(
         "source", F.lit("/"), title, F.lit(" "), F.col("doc_id").cast("string"), pick(suffixes, F.col("doc_id"))
     )
-    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "n_chars")
+    # a path is a stored column in an inventory; here it is computed once per row
+    named = evaluate_once(table(spark, sf_dir, "documents"), "path", path)
+    return named.select("doc_id", "path", "n_chars")
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:

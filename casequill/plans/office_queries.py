@@ -82,7 +82,7 @@ def admitted_files(spark, sf_dir):
 
 
 def distinct_uploads(spark, sf_dir):
-    title = F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, 40)
+    title = F.substring(F.substring_index("text", "\n", 1), 1, 40)
     listed = inputs.table(spark, sf_dir, "documents").select(
         title.alias("name"), F.col("n_chars").alias("length"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path")
     )

@@ -11,6 +11,7 @@ from casequill.functions import chars
 from casequill.functions.spans import apply_edits, mark_ranges
 from casequill.functions.text import count_words
 from casequill.operators import pii, spell
+from casequill.operators.staging import shared_folder
 from casequill.plans import inputs
 from casequill.sources import documents as docs
 from casequill.sources import rules
@@ -259,7 +260,7 @@ def decoded_texts(spark, sf_dir):
 def streamed_issue_counts(spark, sf_dir):
     """The drop folder: documents as a file stream through the paragraph rules, then counted."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    folder = f"{drop_folder.shared_folder(spark)}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     stream = drop_folder.read_folder(spark, sf_dir, schema, pattern="documents.parquet")
     paras = docs.non_blank(docs.paragraphs(stream.select("doc_id", "text", "source"), "source"))
     issues = paras.select("source", F.explode(spell.rule_issues(F.col("text"), TEST_PACK)).alias("i")).select("source", "i.severity")

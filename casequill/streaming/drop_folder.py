@@ -7,7 +7,6 @@ per micro-batch through ``foreachBatch``.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster shares for checkpoints; a local one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="spark-")
-
-
 def read_folder(
     spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", pattern: str | None = None
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casequill.functions.dates import add_period, split_days
+from casequill.operators.sizing import broadcast_if_small
 
 #: fixed values: days of a detention month, warning thresholds
 DAYS_PER_MONTH = 30
@@ -126,7 +127,7 @@ def working_calendar(
         marked = days.withColumn("holiday", F.lit(False))
     else:
         off = holidays.select("date").distinct().withColumn("off", F.lit(True))
-        marked = days.join(F.broadcast(off), "date", "left").withColumn(
+        marked = days.join(broadcast_if_small(off), "date", "left").withColumn(
             "holiday", F.coalesce("off", F.lit(False))
         ).drop("off")
     rest = marked.withColumn("rest", is_rest_day(F.col("date")) | F.col("holiday"))
@@ -138,19 +139,19 @@ def working_calendar(
 def rest_days(dates: DataFrame, calendar: DataFrame) -> DataFrame:
     """Rows of ``dates(date, ...)`` that fall on a weekend or holiday."""
     return dates.join(
-        F.broadcast(calendar.where("rest").select("date")), "date", "left_semi"
+        broadcast_if_small(calendar.where("rest").select("date")), "date", "left_semi"
     )
 
 
 def procedural_terms(terms: DataFrame, calendar: DataFrame) -> DataFrame:
     """Evaluate ``terms(term_id, start_date, years, months, days)``: calendar end, end moved to
-    the next working day, and whether it moved. The calendar is broadcast: its size is the
-    number of days covered, not the data. An end outside the calendar is an error."""
+    the next working day, and whether it moved. The calendar, one row per day covered, is
+    broadcast behind a size check. An end outside the calendar is an error."""
     placed = terms.withColumn(
         "calendar_end", add_period(F.col("start_date"), F.col("years"), F.col("months"), F.col("days"))
     )
     joined = placed.join(
-        F.broadcast(calendar.select(F.col("date").alias("calendar_end"), "work_date")), "calendar_end", "left"
+        broadcast_if_small(calendar.select(F.col("date").alias("calendar_end"), "work_date")), "calendar_end", "left"
     )
     return joined.select(
         "term_id",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casequill.functions.text import thousands
+from casequill.operators.sizing import broadcast_if_small
 
 SCHEDULE_SCHEMA = (
     "fee_type string, above decimal(20,2), up_to decimal(20,2), base decimal(20,2), "
@@ -35,8 +38,6 @@ LOWEST = {"ds_co_gia_ngach": 300, "kdtm_co_gia_ngach": 3_000, "lao_dong_co_gia_n
 
 
 def fee_schedule(spark: SparkSession, rows=SCHEDULE, lowest=LOWEST) -> DataFrame:
-    from decimal import Decimal
-
     def money(v):
         return None if v is None else Decimal(v) * _K
 
@@ -50,12 +51,12 @@ def fee_schedule(spark: SparkSession, rows=SCHEDULE, lowest=LOWEST) -> DataFrame
 def fees(claims: DataFrame, schedule: DataFrame) -> DataFrame:
     """Add fee, reason (``no bracket`` when the schedule has none) and fee_text.
 
-    ``claims(claim_id, fee_type, value, discount)``. The schedule is a handful of rows: a
-    broadcast equi-join on the type with the bracket as residual condition.
+    ``claims(claim_id, fee_type, value, discount)``. The schedule is broadcast behind a
+    size check: an equi-join on the type with the bracket as residual condition.
     """
     value = F.col("value")
     joined = claims.join(
-        F.broadcast(schedule.withColumnRenamed("fee_type", "s_type")),
+        broadcast_if_small(schedule.withColumnRenamed("fee_type", "s_type")),
         (F.col("fee_type") == F.col("s_type"))
         & (value > F.col("above"))
         & (F.col("up_to").isNull() | (value <= F.col("up_to"))),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casequill.functions import chars
 from casequill.functions.spans import let
 from casequill.functions.text import evaluate_once, file_stem, file_suffix, nfc, remove_diacritics, squeeze_spaces
+from casequill.operators.staging import stage
 from casequill.sources import rules
 from casequill.sources.files import describe_paths, visible_files
 
@@ -241,7 +242,8 @@ def rename_plan(
     """Dry-run plan for an inventory of paths: path, folder, old_name, new_name, new_path,
     reason, custom, status, error."""
     described = describe_paths(visible_files(files.select("path"), skip_folders))
-    wanted = proposals(described, overrides, max_length, map_dstroke)
+    # read four times below: ranking, reserved names, crowded names
+    wanted = stage(proposals(described, overrides, max_length, map_dstroke))
     existing = describe_paths(files.select("path")).select("folder", "name")
     resolved = resolve_conflicts(wanted, existing)
     parent = F.regexp_extract("path", r"(?s)^(.*/)[^/]*$", 1)

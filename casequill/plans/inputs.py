@@ -93,7 +93,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files per part type; many reduce to the same clean name, and some clean names exist."""
     part = table(spark, sf_dir, "part")
     marks = F.translate(F.col("p_partkey").cast("string"), "0123456789", "!@#$%^*=~?")
-    odd = part.select(F.concat("p_type", F.lit("/"), "p_name", marks, F.lit(".docx")).alias("path"))
+    odd = evaluate_once(part, "path", F.concat("p_type", F.lit("/"), "p_name", marks, F.lit(".docx"))).select("path")
     taken = part.groupBy("p_type", "p_name").agg(F.min("p_size").alias("size")).select(
         F.concat(
             "p_type", F.lit("/"), "p_name",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casequill.functions.text import file_folder, file_name, file_stem, file_suffix
+from casequill.operators.sizing import broadcast_if_small
 from casequill.sources import rules
 
 
@@ -79,7 +80,7 @@ def classify_by_table(files: DataFrame, extensions: DataFrame) -> DataFrame:
     """The same classes by a left join on the extension; a row per known extension."""
     return (
         files.withColumn("ext", F.lower("suffix"))
-        .join(F.broadcast(extensions), "ext", "left")
+        .join(broadcast_if_small(extensions), "ext", "left")
         .withColumn("preview", F.coalesce("preview", F.lit("external")))
         .drop("ext")
     )

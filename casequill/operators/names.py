@@ -294,3 +294,9 @@ def report_lines(plan: DataFrame) -> DataFrame:
         ),
     )
     return plan.select("folder", "old_name", "path", block.alias("block"))
+
+
+def parse_overrides(payload: DataFrame, column: str = "payload") -> DataFrame:
+    """Typed names given as a JSON map of path to name, as ``path, new_name`` rows."""
+    entries = F.explode(F.from_json(column, "map<string,string>"))
+    return payload.select(entries.alias("path", "new_name"))

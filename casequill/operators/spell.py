@@ -642,3 +642,8 @@ def detection_quality(cases: DataFrame, issues: DataFrame) -> DataFrame:
         F.count_if(~is_error).alias("clean_cases"),
         F.count_if(~is_error & F.col("alarmed")).alias("false_alarms"),
     )
+
+
+def parse_accepted(payload: DataFrame, column: str = "payload") -> DataFrame:
+    """Accepted issue ids given as a JSON list per document, as ``doc_id, id`` rows."""
+    return payload.select("doc_id", F.explode(F.from_json(column, "array<string>")).alias("id")).distinct()

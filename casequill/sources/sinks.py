@@ -40,3 +40,9 @@ def write_texts(texts: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_plan(plan: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Rename manifest for whoever owns the storage, one directory per status."""
     plan.write.mode(mode).partitionBy("status").parquet(path)
+
+
+def write_report(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Readable rename report, by folder and then name; a range partitioning, not one task."""
+    ordered = lines.repartitionByRange("folder", "old_name", "path").sortWithinPartitions("folder", "old_name", "path")
+    ordered.select(F.col("block").alias("value")).write.mode(mode).text(path)

@@ -68,13 +68,18 @@ def invalid_payments(loans: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 def overlapping_rates(rates: DataFrame) -> DataFrame:
-    """Rate periods that start before an earlier period of the loan has ended."""
-    before = Window.partitionBy("loan_id").orderBy("from_date", "to_date").rowsBetween(
-        Window.unboundedPreceding, -1
+    """Rate periods that start on the same day as another one of the loan, or before an earlier
+    one has ended. The window runs over distinct start days, not over the rows."""
+    starts = rates.groupBy("loan_id", "from_date").agg(
+        F.max("to_date").alias("latest"), F.count("*").alias("same_start")
+    )
+    before = Window.partitionBy("loan_id").orderBy("from_date").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = starts.withColumn("earlier_end", F.max("latest").over(before)).where(
+        (F.col("same_start") > 1) | (F.col("from_date") <= F.col("earlier_end"))
+    )
+    return rates.join(crossing.select("loan_id", "from_date"), ["loan_id", "from_date"], "left_semi").select(
+        rates.columns
     )
-    return rates.withColumn("latest_end", F.max("to_date").over(before)).where(
-        F.col("from_date") <= F.col("latest_end")
-    ).drop("latest_end")
 
 
 def segments(loans: DataFrame, payments: DataFrame, rates: DataFrame | None = None) -> DataFrame:
@@ -82,7 +87,7 @@ def segments(loans: DataFrame, payments: DataFrame, rates: DataFrame | None = No
     day_basis, numerator.
 
     Boundaries are the loan date, payments, rate periods, due date, change of day-count
-    basis and the day after settlement. Payments are summed per loan and day first, so the
+    basis and the day after settlement. All events are summed per loan and day first, so the
     per-loan windows run over days, not payments. Rate periods must not overlap
     (``overlapping_rates``).
     """
@@ -96,10 +101,8 @@ def segments(loans: DataFrame, payments: DataFrame, rates: DataFrame | None = No
             )
         ).alias("date"),
     ).select("loan_id", "date", no_money.alias("paid"), no_rate.alias("rate_event"))
-    paid = (
-        payments.groupBy("loan_id", "date")
-        .agg(F.sum(F.col("principal_paid").cast(MONEY)).cast(MONEY).alias("paid"))
-        .select("loan_id", "date", "paid", no_rate.alias("rate_event"))
+    paid = payments.select(
+        "loan_id", "date", F.col("principal_paid").cast(MONEY).alias("paid"), no_rate.alias("rate_event")
     )
     events = marks.unionByName(paid)
     if rates is not None:
@@ -118,7 +121,8 @@ def segments(loans: DataFrame, payments: DataFrame, rates: DataFrame | None = No
             "loan_id", "e.date", no_money.alias("paid"), F.col("e.rate_event").cast(f"struct<starts:int,rate:{RATE}>").alias("rate_event")
         )
         events = events.unionByName(changes)
-    # one row per loan and day; a period that starts wins over one that ends that day
+    # one row per loan and day, combined before the shuffle; a period that starts wins over
+    # one that ends that day
     days = events.groupBy("loan_id", "date").agg(
         F.sum("paid").cast(MONEY).alias("paid"), F.max("rate_event").alias("rate_event")
     )

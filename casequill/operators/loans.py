@@ -92,7 +92,7 @@ def segments(loans: DataFrame, payments: DataFrame, rates: DataFrame | None = No
     (``overlapping_rates``).
     """
     termed = with_terms(loans)
-    no_money, no_rate = F.lit(0).cast(MONEY), F.lit(None).cast(f"struct<starts:int,rate:{RATE}>")
+    no_money, no_rate, no_end = F.lit(0).cast(MONEY), F.lit(None).cast(RATE), F.lit(0)
     marks = termed.select(
         "loan_id",
         F.explode(
@@ -100,42 +100,38 @@ def segments(loans: DataFrame, payments: DataFrame, rates: DataFrame | None = No
                 F.array("start_date", "due_date", "accrual_end", F.lit(BASIS_CHANGE))
             )
         ).alias("date"),
-    ).select("loan_id", "date", no_money.alias("paid"), no_rate.alias("rate_event"))
+    ).select("loan_id", "date", no_money.alias("paid"), no_rate.alias("starts"), no_end.alias("ends"))
     paid = payments.select(
-        "loan_id", "date", F.col("principal_paid").cast(MONEY).alias("paid"), no_rate.alias("rate_event")
+        "loan_id", "date", F.col("principal_paid").cast(MONEY).alias("paid"), no_rate.alias("starts"), no_end.alias("ends")
     )
     events = marks.unionByName(paid)
     if rates is not None:
         period_rate = yearly_rate(F.col("rate"), F.col("unit"))
         edges = F.array(
-            F.struct(
-                F.col("from_date").alias("date"),
-                F.struct(F.lit(1).alias("starts"), period_rate.alias("rate")).alias("rate_event"),
-            ),
-            F.struct(
-                F.date_add("to_date", 1).alias("date"),
-                F.struct(F.lit(0).alias("starts"), F.lit(None).cast(RATE).alias("rate")).alias("rate_event"),
-            ),
+            F.struct(F.col("from_date").alias("date"), period_rate.alias("starts"), F.lit(0).alias("ends")),
+            F.struct(F.date_add("to_date", 1).alias("date"), no_rate.alias("starts"), F.lit(1).alias("ends")),
         )
         changes = rates.select("loan_id", F.explode(edges).alias("e")).select(
-            "loan_id", "e.date", no_money.alias("paid"), F.col("e.rate_event").cast(f"struct<starts:int,rate:{RATE}>").alias("rate_event")
+            "loan_id", "e.date", no_money.alias("paid"), "e.starts", "e.ends"
         )
         events = events.unionByName(changes)
-    # one row per loan and day, combined before the shuffle; a period that starts wins over
-    # one that ends that day
+    # one row per loan and day, combined before the shuffle; plain numbers, so that it stays
+    # a hash aggregation
     days = events.groupBy("loan_id", "date").agg(
-        F.sum("paid").cast(MONEY).alias("paid"), F.max("rate_event").alias("rate_event")
+        F.sum("paid").cast(MONEY).alias("paid"), F.max("starts").alias("starts"), F.max("ends").alias("ends")
     )
     so_far = Window.partitionBy("loan_id").orderBy("date").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     ordered = Window.partitionBy("loan_id").orderBy("date")
+    # a period that starts wins over one that ends that day
+    change = F.when(F.col("starts").isNotNull() | (F.col("ends") == 1), F.struct(F.col("starts").alias("rate")))
     running = days.select(
         "loan_id",
         F.col("date").alias("seg_start"),
         F.lead("date").over(ordered).alias("seg_end"),
         F.sum("paid").over(so_far).cast(MONEY).alias("paid_so_far"),
-        F.last("rate_event", ignorenulls=True).over(so_far).alias("rate_event"),
+        F.last(change, ignorenulls=True).over(so_far).alias("rate_event"),
     )
     joined = running.join(
         termed.select(

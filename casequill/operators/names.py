@@ -265,16 +265,16 @@ def plan_totals(files: DataFrame, plan: DataFrame, skip_folders=rules.SKIP_FOLDE
     """Batch totals: scanned files, files with a problem, proposed, unchanged, errors, custom."""
     described = describe_paths(visible_files(files.select("path"), skip_folders))
     scanned = described.agg(
-        F.count("*").alias("total_scanned"),
-        F.count_if(is_problem(F.col("stem"))).alias("total_problematic"),
+        F.count("*").alias("total_scanned"), F.count_if(is_problem(F.col("stem"))).alias("total_problematic")
     )
     outcome = plan.agg(
         F.count_if(F.col("status") == "PROPOSED").alias("total_proposed"),
         F.count_if(F.col("status") == "ERROR").alias("total_errors"),
         F.count_if("custom").alias("custom_used"),
     )
-    both = scanned.withColumn("k", F.lit(1)).join(outcome.withColumn("k", F.lit(1)), "k").drop("k")
-    return both.withColumn(
+    both = scanned.unionByName(outcome, allowMissingColumns=True)
+    totals = both.agg(*[F.sum(c).alias(c) for c in both.columns])
+    return totals.withColumn(
         "total_unchanged", F.col("total_problematic") - F.col("total_proposed") - F.col("total_errors")
     )
 

@@ -39,13 +39,13 @@ def document_blocks(pages: DataFrame, fmt: str, stamp: str) -> DataFrame:
     ``pages(doc_id, page_no, title, text)`` with pages numbered from 1 without gaps. Only
     the per-document count is aggregated; page texts are not shuffled.
     """
-    totals = pages.groupBy("doc_id").agg(F.count("*").alias("total"), F.max("title").alias("title"))
+    totals = pages.groupBy("doc_id").agg(F.count("*").alias("total"))
     return (
         pages.select(
             "doc_id", F.col("page_no").alias("block_no"), page_block(F.col("page_no"), F.col("text"), fmt).alias("block")
         )
         .unionByName(
-            totals.select(
+            pages.where(F.col("page_no") == 1).select(
                 "doc_id", F.lit(0).cast("bigint").alias("block_no"), _header(F.col("title"), stamp, fmt).alias("block")
             )
         )

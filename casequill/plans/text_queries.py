@@ -11,7 +11,7 @@ from casequill.functions import chars
 from casequill.functions.spans import apply_edits, mark_ranges
 from casequill.functions.text import count_words
 from casequill.operators import pii, spell
-from casequill.operators.staging import shared_folder
+from casequill.operators.staging import shared_folder, stage
 from casequill.plans import inputs
 from casequill.sources import documents as docs
 from casequill.sources import rules
@@ -74,7 +74,7 @@ def numbered_issues(spark, sf_dir):
 
 def accepted_issues(spark, sf_dir):
     """Accept what a style view shows, clear one message again, keep what can be applied."""
-    issues = spell.number_issues(_format_rows(spark, sf_dir))
+    issues = stage(spell.number_issues(_format_rows(spark, sf_dir)))
     shown = spell.accept(spell.default_accepted(issues), spell.visible(issues, "style"))
     cleared = spell.unaccept(shown, issues.where(F.col("original").isin("?", "!")))
     return spell.applicable(issues, cleared).groupBy("doc_id").agg(F.count("*").alias("accepted"))

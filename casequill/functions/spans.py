@@ -7,6 +7,8 @@ so the operators built on it also run on streams.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def rule_array(rows: list[dict], schema: str) -> Column:
+    """A rule set as one constant array of structs, folded to a literal by the optimizer."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{schema}>>")
+
+
 def empty_spans() -> Column:
     return F.array().cast(SPAN_TYPE)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casequill.functions import chars
-from casequill.functions.spans import let
+from casequill.functions.spans import let, rule_array
 from casequill.functions.text import evaluate_once, file_stem, file_suffix, nfc, remove_diacritics, squeeze_spaces
 from casequill.operators.staging import stage
 from casequill.sources import rules
@@ -55,15 +55,16 @@ def abbreviate(text: Column, table=rules.ABBREVIATIONS) -> Column:
     plain substring tests, unless the table is such that one rule can enable another.
     """
     ordered = sorted(((k, v) for k, v in table.items() if v), key=lambda kv: len(kv[0]), reverse=True)
-    steps = F.array(
-        *[
-            F.struct(
-                F.lit(f" {full.lower()} ").alias("full"),
-                F.lit(f"(?iu){chars.WORD_START}{chars.quote(full)}{chars.WORD_END}").alias("pattern"),
-                F.lit(short).alias("short"),
-            )
+    steps = rule_array(
+        [
+            {
+                "full": f" {full.lower()} ",
+                "pattern": f"(?iu){chars.WORD_START}{chars.quote(full)}{chars.WORD_END}",
+                "short": short,
+            }
             for full, short in ordered
-        ]
+        ],
+        "full:string,pattern:string,short:string",
     )
     spaced = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, chars.NOT_WORD_CHAR, " ")), F.lit(" "))
     if _feeds_later_rule(table):

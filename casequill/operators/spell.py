@@ -25,6 +25,7 @@ from casequill.functions.spans import (
     keep_free,
     let,
     mark_hits,
+    rule_array,
     substring_of,
 )
 from casequill.functions.text import copy_capital, is_upper, nfc, strip_accents
@@ -90,16 +91,17 @@ def phrase_issues(text: Column, pack: SpellRules = VIETNAMESE) -> Column:
     if not pack.phrases:
         return none
     ordered = sorted(pack.phrases.items(), key=lambda kv: len(kv[0]), reverse=True)
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(rank).alias("rank"),
-                F.lit(wrong.lower()).alias("wrong"),
-                F.lit(f"(?iu){chars.WORD_START}{chars.quote(wrong)}{chars.WORD_END}").alias("pattern"),
-                F.lit(right).alias("right"),
-            )
+    table = rule_array(
+        [
+            {
+                "rank": rank,
+                "wrong": wrong.lower(),
+                "pattern": f"(?iu){chars.WORD_START}{chars.quote(wrong)}{chars.WORD_END}",
+                "right": right,
+            }
             for rank, (wrong, right) in enumerate(ordered)
-        ]
+        ],
+        "rank:int,wrong:string,pattern:string,right:string",
     )
     span_type = "array<struct<rank:int,start:int,end:int,right:string>>"
 
@@ -137,7 +139,7 @@ def phrase_issues(text: Column, pack: SpellRules = VIETNAMESE) -> Column:
     return F.when(any_phrase, detect(present)).otherwise(none)
 
 
-FORMAT_RULE_TYPE = "array<struct<pattern:string,find:string,replace:string,message:string>>"
+FORMAT_RULE_FIELDS = "pattern:string,find:string,replace:string,message:string"
 
 
 def format_issues(text: Column, taken: Column, pack: SpellRules = VIETNAMESE) -> Column:
@@ -151,17 +153,7 @@ def format_issues(text: Column, taken: Column, pack: SpellRules = VIETNAMESE) ->
         ordered = tuple(sorted(ordered, key=lambda r: r.message != rules.MESSAGE_REPEATED))
     # back references count groups from the left, so patterns with a group come first
     any_hit = "|".join(f"(?:{r.pattern})" for r in sorted(ordered, key=lambda r: "\\1" not in r.pattern))
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r.pattern).alias("pattern"),
-                F.lit(r.find).cast("string").alias("find"),
-                F.lit(r.replace).alias("replace"),
-                F.lit(r.message).alias("message"),
-            )
-            for r in ordered
-        ]
-    ).cast(FORMAT_RULE_TYPE)
+    table = rule_array([r._asdict() for r in ordered], FORMAT_RULE_FIELDS)
 
     def suggestion(rule: Column, hit: Column) -> Column:
         return F.when(rule["find"].isNull(), F.concat(hit, rule["replace"])).otherwise(
@@ -182,7 +174,7 @@ def format_issues(text: Column, taken: Column, pack: SpellRules = VIETNAMESE) ->
         )
         return by_start(F.concat(kept, fresh.cast(ISSUES_TYPE)))
 
-    active = F.when(F.regexp_like(text, F.lit(any_hit)), table).otherwise(F.array().cast(FORMAT_RULE_TYPE))
+    active = F.when(F.regexp_like(text, F.lit(any_hit)), table).otherwise(F.array().cast(f"array<struct<{FORMAT_RULE_FIELDS}>>"))
     return F.aggregate(active, taken.cast(ISSUES_TYPE), layer)
 
 

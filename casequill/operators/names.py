@@ -180,7 +180,7 @@ def proposals(
         F.coalesce("typed", "generated").alias("target"),
         F.array_join("reasons", "; ").alias("reason"),
         F.col("typed").isNotNull().alias("custom"),
-    )
+    ).where(F.col("target") != F.col("name"))  # a typed name can be the name it has
 
 
 def _numbered_forms(names: DataFrame) -> DataFrame:

@@ -116,13 +116,16 @@ def test_reasons(spark):
 
 def test_conflicts_overrides_and_totals(spark):
     paths = ["d/a!.txt", "d/a#.txt", "d/a%.txt", "d/a.txt", "d/a_2.txt", "e/a!.txt", "x!.md", "d/.hid!.txt", ".git/a!.txt", "ok.txt"]
+    paths.append("keep!.txt")
     inventory = spark.createDataFrame([(p,) for p in paths], "path string")
-    overrides = spark.createDataFrame([("x!.md", " Hồ sơ.md "), ("e/a!.txt", "  ")], "path string, new_name string")
+    overrides = spark.createDataFrame(
+        [("x!.md", " Hồ sơ.md "), ("e/a!.txt", "  "), ("keep!.txt", "keep!.txt")], "path string, new_name string"
+    )
     plan = names.rename_plan(inventory, overrides)
     got = {r.path: r.new_path for r in plan.collect()}
     assert got == {"d/a!.txt": "d/a_1.txt", "d/a#.txt": "d/a_3.txt", "d/a%.txt": "d/a_4.txt", "e/a!.txt": "e/a.txt", "x!.md": "Hồ sơ.md"}
     t = names.plan_totals(inventory, plan).collect()[0]
-    assert (t.total_scanned, t.total_problematic, t.total_proposed, t.total_errors, t.custom_used, t.total_unchanged) == (8, 5, 5, 0, 1, 0)
+    assert (t.total_scanned, t.total_problematic, t.total_proposed, t.total_errors, t.custom_used, t.total_unchanged) == (9, 6, 5, 0, 1, 1)
     assert {(r.folder, r.files) for r in names.files_per_folder(plan).collect()} == {("d", 3), ("e", 1), ("(Thư mục gốc)", 1)}
     assert names.report_lines(plan).count() == 5
 

@@ -55,7 +55,7 @@ def test_word_list(words):
     assert not any(w.isdigit() or "/" in w for w in got)
 
 
-def test_spans_match_reference_regex(spark):
+def test_spans_match_plain_regex(spark):
     samples = ["", "a", "ab,cd ;x!!  y", "x" * 70 + ",y" * 90, "đương ương\u0001x,y", "a  b\t\tc , d"]
     df = texts(spark, samples)
     for pattern in (r"[,;:!?](?=[^\s])", r"[ \t]{2,}", r"\p{L}+"):

@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequill.llm import exact_dedup
+from casequill.llm import exact_dedup, packing, simhash
 from casequill.llm.common import table
 
 
+#: the vocabulary that the contracts name
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path() -> str:
+    """Where the public vocabulary lies; it is installed on every machine and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
     return found.select(
@@ -16,6 +36,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_packing": op9_packing,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequill.llm import exact_dedup, packing, simhash
+from casequill.llm import exact_dedup, packing, quality, simhash
 from casequill.llm.common import table
 
 
@@ -40,8 +40,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()).withColumnRenamed("id", "doc_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", predicted.alias("predicted"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }

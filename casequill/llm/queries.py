@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequill.llm import exact_dedup, packing, quality, simhash
+from casequill.llm import exact_dedup, packing, quality, simhash, token_store
 from casequill.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_store.write_store(table(spark, sf_dir, "documents"), vocabulary_path())
+    return token_store.read_store(folder, manifest).withColumnRenamed("key", "doc_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
     return found.select(
@@ -48,6 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_token_store": op3_token_store,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,

@@ -9,6 +9,34 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 FROM d JOIN g USING (body)
 """
 
+MIXING = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+t AS (SELECT source, sum(n_tokens)::DOUBLE AS tokens, count(*) AS documents FROM d GROUP BY source),
+r AS (SELECT max(tokens) / min(tokens) AS ratio, count(*) AS sources, max(documents) AS most FROM t),
+halved(step, low, high) AS (
+    SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+    UNION ALL
+    SELECT step + 1,
+           CASE WHEN pow(ratio, 1 - (low + high) / 2) > 2.0 THEN (low + high) / 2 ELSE low END,
+           CASE WHEN pow(ratio, 1 - (low + high) / 2) > 2.0 THEN high ELSE (low + high) / 2 END
+    FROM halved, r WHERE step < 40),
+a AS (SELECT low AS a, ceil(log2(most) / 2)::INT AS bits FROM halved, r WHERE step = 40),
+w AS (SELECT source, tokens, pow(tokens, a) AS power, bits FROM t, a),
+q AS (SELECT source, tokens::BIGINT AS tokens, power / sum(power) OVER () AS weight, bits,
+             round(power * max(tokens / power) OVER ())::BIGINT AS quota FROM w),
+e AS (SELECT *, quota // tokens AS epochs, quota - (quota // tokens) * tokens AS rest FROM q),
+n AS (SELECT d.doc_id, d.source, d.n_tokens, e.weight, e.epochs, e.rest,
+             (('0x' || substr(md5('mix:' || doc_id), 1, 8))::BIGINT >> (32 - bits)) AS block
+      FROM d JOIN e USING (source)),
+copies AS (SELECT *, unnest(range(epochs + 1)) AS epoch FROM n),
+ordered AS (SELECT *, md5('mix:' || source || ':' || epoch || ':' || block) || md5('mix:' || epoch || ':' || doc_id) AS place FROM copies),
+summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY place) AS filled FROM ordered)
+SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, epoch, block, place
+FROM summed WHERE epoch < epochs OR (rest > 0 AND filled <= rest)
+"""
+
 ORACLES = {
+    "op7_mixing": MIXING,
     "op8_exact_dedup": EXACT_DEDUP,
 }

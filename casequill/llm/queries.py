@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequill.llm import exact_dedup, packing, quality, simhash, token_store
+from casequill.llm import exact_dedup, mixing, packing, quality, simhash, token_store
 from casequill.llm.common import table
 
 
@@ -34,6 +34,13 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(folder, manifest).withColumnRenamed("key", "doc_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.draw(table(spark, sf_dir, "documents"))
+    return drawn.select(
+        F.col("id").alias("doc_id"), "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block", "place"
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
     return found.select(
@@ -54,6 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
+    "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,

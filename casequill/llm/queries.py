@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequill.llm import exact_dedup, mixing, packing, quality, simhash, token_store
+from casequill.llm import disclosure, exact_dedup, mixing, packing, quality, simhash, token_store
 from casequill.llm.common import table
 
 
@@ -34,6 +34,18 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(folder, manifest).withColumnRenamed("key", "doc_id")
 
 
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.spans(table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    number = {k: (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in disclosure.PATTERNS}
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *number.values(),
+        F.sha2(disclosure.as_string(F.col("spans")).cast("binary"), 256).alias("base_sha256"),
+        disclosure.as_string(F.concat("spans", "words")).alias("spans"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draw(table(spark, sf_dir, "documents"))
     return drawn.select(
@@ -61,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
+    "op4_disclosure": op4_disclosure,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,

@@ -36,7 +36,24 @@ SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, epoch, block, place
 FROM summed WHERE epoch < epochs OR (rest > 0 AND filled <= rest)
 """
 
+METRIC_JOIN = r"""
+WITH RECURSIVE
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+linked AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b
+           WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reached(a, b) AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a),
+component AS (SELECT a, min(b) AS low FROM reached GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM linked GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN component c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
 ORACLES = {
+    "op6_metric_join": METRIC_JOIN,
     "op7_mixing": MIXING,
     "op8_exact_dedup": EXACT_DEDUP,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequill.llm import disclosure, exact_dedup, mixing, packing, quality, simhash, token_store
+from casequill.llm import disclosure, exact_dedup, metric_join, mixing, packing, quality, simhash, token_store
 from casequill.llm.common import table
 
 
@@ -46,6 +46,12 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metric_join.linked_vectors(table(spark, sf_dir, "embeddings"))
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draw(table(spark, sf_dir, "documents"))
     return drawn.select(
@@ -74,6 +80,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
     "op4_disclosure": op4_disclosure,
+    "op6_metric_join": op6_metric_join,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,

@@ -52,7 +52,30 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_
 FROM embeddings LEFT JOIN component c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
+SENTENCE_SPANS = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?][ \t]|\n)', '\1' || chr(1), 'g'), chr(1)),
+                                      lambda s: s <> '') AS parts FROM documents),
+p AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS part FROM d),
+s AS (SELECT doc_id, pos, lower(trim(regexp_replace(part, '[\x20\x09-\x0D]+', ' ', 'g'))) AS plain FROM p),
+w AS (SELECT doc_id, pos, plain, len(string_split(plain, ' ')) AS words FROM s WHERE plain <> ''),
+r AS (SELECT doc_id, pos, plain, words,
+             lead(pos, 1) OVER o AS pos2, lead(plain, 1) OVER o AS plain2, lead(words, 1) OVER o AS words2,
+             lead(pos, 2) OVER o AS pos3, lead(plain, 2) OVER o AS plain3, lead(words, 2) OVER o AS words3
+      FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+spans AS (
+    SELECT doc_id, pos, pos AS until, plain AS body FROM r WHERE words >= 30
+    UNION ALL SELECT doc_id, pos, pos2, plain || chr(10) || plain2 FROM r WHERE words + words2 >= 30
+    UNION ALL SELECT doc_id, pos, pos3, plain || chr(10) || plain2 || chr(10) || plain3 FROM r WHERE words + words2 + words3 >= 10),
+seen AS (SELECT doc_id, pos, until, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos, until) AS nth FROM spans),
+cut AS (SELECT DISTINCT doc_id, unnest(range(pos, until + 1)) AS pos FROM seen WHERE nth > 1),
+n AS (SELECT doc_id, count(*) AS n_removed, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS removed FROM cut GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(part, '' ORDER BY pos) AS body FROM p ANTI JOIN cut USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(body, '')) AS text_sha256
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 ORACLES = {
+    "op5_sentence_spans": SENTENCE_SPANS,
     "op6_metric_join": METRIC_JOIN,
     "op7_mixing": MIXING,
     "op8_exact_dedup": EXACT_DEDUP,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequill.llm import disclosure, exact_dedup, metric_join, mixing, packing, quality, simhash, token_store
+from casequill.llm import disclosure, exact_dedup, metric_join, mixing, packing, quality, sentence_spans, simhash, token_store
 from casequill.llm.common import table
 
 
@@ -46,6 +46,16 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = sentence_spans.cut_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), mark="removed")
+    return cut.select(
+        "doc_id",
+        F.size("removed").cast("bigint").alias("n_removed"),
+        F.array_join("removed", ",").alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metric_join.linked_vectors(table(spark, sf_dir, "embeddings"))
     kept = F.col("id").eqNullSafe(F.col("component_id"))
@@ -80,6 +90,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
     "op4_disclosure": op4_disclosure,
+    "op5_sentence_spans": op5_sentence_spans,
     "op6_metric_join": op6_metric_join,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,

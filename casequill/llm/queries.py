@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequill.llm import disclosure, exact_dedup, metric_join, mixing, packing, quality, sentence_spans, simhash, token_store
+from casequill.llm import disclosure, exact_dedup, language_id, metric_join, mixing, packing, quality, sentence_spans, simhash, token_store
 from casequill.llm.common import table
 
 
@@ -20,6 +20,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("page_id"), "host", "declared", "text_lang", "lang", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
     return found.select(
@@ -87,6 +92,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
     "op4_disclosure": op4_disclosure,

@@ -18,14 +18,19 @@ def whole_text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def keep_rows(df: DataFrame, key: str, ids: DataFrame, n_ids: int, how: str) -> DataFrame:
-    """Rows of ``df`` with a key in (``left_semi``) or not in (``left_anti``) the one column of ``ids``.
+def text_tag(text: str) -> Column:
+    """Tells apart the texts of rows with equal or null ids."""
+    return F.xxhash64(whole_text(text))
 
-    ``ids`` is a written table of ``n_ids`` rows. Long keys that fit the bound are broadcast, so
-    that texts need no shuffle; beyond it both sides are shuffled. Null keys match null keys.
+
+def keep_rows(df: DataFrame, doc_id: str, text: str, listed: DataFrame, n: int, how: str) -> DataFrame:
+    """Rows of ``df`` whose id and text are listed (``left_semi``) or not (``left_anti``).
+
+    ``listed`` is a written table of ``n`` rows (id, tag). Within the bound it is broadcast, so that
+    texts need no shuffle; beyond it both sides are shuffled. Null ids match null ids.
     """
-    column = ids.columns[0]
-    ids = ids.select(F.col(column).alias("_listed"))
-    if dict(ids.dtypes)["_listed"] in ("bigint", "int") and n_ids * 16 <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
-    return df.join(ids, df[key].eqNullSafe(ids["_listed"]), how)
+    listed = listed.select(F.col("id").alias("_listed_id"), F.col("tag").alias("_listed_tag"))
+    if n * 32 <= BROADCAST_BYTES and dict(listed.dtypes)["_listed_id"] in ("int", "bigint"):
+        listed = F.broadcast(listed)
+    same = df[doc_id].eqNullSafe(listed["_listed_id"]) & (F.xxhash64(F.coalesce(df[text].cast("string"), F.lit(""))) == listed["_listed_tag"])
+    return df.join(listed, same, how)

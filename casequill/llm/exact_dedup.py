@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casequill.llm.common import keep_rows, whole_text
+from casequill.llm.common import keep_rows, text_tag, whole_text
 from casequill.operators.staging import stage
 
 #: distinct keys that a bucket takes before it is split
@@ -79,9 +79,10 @@ def directory(keys: DataFrame, bucket_keys: int, max_depth: int) -> DataFrame:
 
 
 def build_index(docs: DataFrame, text: str, doc_id: str, bucket_keys: int, max_depth: int) -> tuple[DataFrame, DataFrame]:
-    """The index (bucket, key, link, digest, keep_id, group_size) and the keyed documents (id, key, digest)."""
-    rows = docs.select(F.col(doc_id).alias("id"), normalised(text).alias("body")).withColumn("key", F.xxhash64("body"))
-    keyed = stage(rows.select("id", "key", F.unhex(F.sha2("body", 256)).alias("digest")))
+    """The index (bucket, key, link, digest, keep_id, group_size) and the keyed documents (id, tag, key, digest)."""
+    rows = docs.select(F.col(doc_id).alias("id"), text_tag(text).alias("tag"), normalised(text).alias("body"))
+    rows = rows.withColumn("key", F.xxhash64("body"))
+    keyed = stage(rows.select("id", "tag", "key", F.unhex(F.sha2("body", 256)).alias("digest")))
     slots, depth = directory(keyed.select("key"), bucket_keys, max_depth)
     slots = F.broadcast(stage(slots))
     owned = rows.withColumn("slot", slot(F.col("key"), depth)).join(slots, "slot")
@@ -94,21 +95,28 @@ def build_index(docs: DataFrame, text: str, doc_id: str, bucket_keys: int, max_d
 def exact_copies(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH
 ) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, digest of the normalised text, bucket and link in its chain."""
+    """One row per document: id, tag, keep_id, group_size, kept, digest of the normalised text, bucket and link in its chain."""
     index, keyed = build_index(docs, text, doc_id, bucket_keys, max_depth)
     return keyed.join(index, ["key", "digest"]).select(
-        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "bucket", "link"
+        "id", "tag", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "bucket", "link"
     )
 
 
 def distinct_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **index_options) -> DataFrame:
     """``docs`` with one row of every group of equal texts, all columns as they were."""
-    found = stage(exact_copies(docs, text, doc_id, **index_options).select("id", "kept"))
-    dropped = found.where("not kept").select("id").distinct()
-    rows = keep_rows(docs, doc_id, dropped, dropped.count(), "left_anti")
-    repeated = found.where("kept").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    found = stage(exact_copies(docs, text, doc_id, **index_options).select("id", "tag", "digest", "kept"))
+    # an id that stays can have several rows: of those one text stays, and one row of it
+    staying = found.where("kept").groupBy(F.col("id").alias("i"), F.col("digest").alias("d"))
+    several = stage(staying.agg(F.min("tag").alias("low"), F.max("tag").alias("high"), F.count("*").alias("n")).where("n > 1"))
+    other = found.where("kept").join(
+        several.where("low < high"), F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")) & (F.col("tag") > F.col("low"))
+    )
+    dropped = stage(found.where("not kept").select("id", "tag").union(other.select("id", "tag")).distinct())
+    rows = keep_rows(docs, doc_id, text, dropped, dropped.count(), "left_anti")
+    repeated = several.select(F.col("i").alias("id"), F.col("low").alias("tag"))
     n = repeated.count()
     if not n:
         return rows
-    twice = keep_rows(rows, doc_id, repeated, n, "left_semi").dropDuplicates([doc_id])
-    return keep_rows(rows, doc_id, repeated, n, "left_anti").unionByName(twice)
+    once = keep_rows(rows, doc_id, text, repeated, n, "left_semi").withColumn("_text_tag", text_tag(text))
+    once = once.dropDuplicates([doc_id, "_text_tag"]).drop("_text_tag")
+    return keep_rows(rows, doc_id, text, repeated, n, "left_anti").unionByName(once)

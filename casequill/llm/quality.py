@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casequill.llm.common import keep_rows, whole_text
+from casequill.llm.common import keep_rows, text_tag, whole_text
 from casequill.operators.staging import stage
 
 #: the fit uses about so many labelled rows at most
@@ -82,15 +82,15 @@ def statistics(text: str) -> list[float]:
 
 
 def describe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, stats) of every document."""
+    """(id, tag, stats) of every document; ``tag`` is a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = pa.array([statistics(x.as_py()) for x in batch.column(1)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), stats], ["id", "stats"])
+            stats = pa.array([statistics(x.as_py()) for x in batch.column(2)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], stats], ["id", "tag", "stats"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), whole_text(text).alias("body"))
-    return rows.mapInArrow(run, "id bigint, stats array<double>")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), text_tag(text).alias("tag"), whole_text(text).alias("body"))
+    return rows.mapInArrow(run, "id bigint, tag bigint, stats array<double>")
 
 
 def fold(doc_id: str) -> Column:
@@ -211,21 +211,24 @@ def fit(
 def score_documents(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", **fit_options
 ) -> DataFrame:
-    """One row per document: id, held_out, score (probability of label 1)."""
+    """One row per document: id, tag, held_out, score (probability of label 1)."""
     described = stage(describe(docs, text, doc_id))
     model = fit(described, labels, label, doc_id, **fit_options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = _matrix(batch.column(1), len(STATISTICS))
+            stats = _matrix(batch.column(2), len(STATISTICS))
             scores = model.score(stats) if model else np.full(len(stats), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores)], ["id", "tag", "score"])
 
-    scored = described.mapInArrow(run, "id bigint, score double")
-    return scored.select("id", F.coalesce(fold("id") == 0, F.lit(False)).alias("held_out"), "score")
+    scored = described.mapInArrow(run, "id bigint, tag bigint, score double")
+    return scored.select("id", "tag", F.coalesce(fold("id") == 0, F.lit(False)).alias("held_out"), "score")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", threshold: float = THRESHOLD, **options) -> DataFrame:
+def good_documents(
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, **options
+) -> DataFrame:
     """``docs`` without the rows that the classifier rejects, all columns as they were."""
-    low = stage(score_documents(docs, labels, doc_id=doc_id, **options).where(F.col("score") < threshold).select("id").distinct())
-    return keep_rows(docs, doc_id, low, low.count(), "left_anti")
+    scored = score_documents(docs, labels, text, doc_id, **options)
+    low = stage(scored.where(F.col("score") < threshold).select("id", "tag").distinct())
+    return keep_rows(docs, doc_id, text, low, low.count(), "left_anti")

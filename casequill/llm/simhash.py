@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casequill.llm.common import keep_rows, whole_text
+from casequill.llm.common import keep_rows, text_tag, whole_text
 from casequill.llm.components import smallest_reachable
 from casequill.operators.staging import stage
 
@@ -65,15 +65,15 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """(id, print): the fingerprint as a signed long."""
+    """(id, tag, print): a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["id", "print"])
+            prints = np.array([fingerprint(x.as_py(), width) for x in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints)], ["id", "tag", "print"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), whole_text(text).alias("body"))
-    return rows.mapInArrow(run, "id bigint, print bigint")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), text_tag(text).alias("tag"), whole_text(text).alias("body"))
+    return rows.mapInArrow(run, "id bigint, tag bigint, print bigint")
 
 
 def covering_masks(radius: int = RADIUS, seed: int = 1) -> list[int]:
@@ -167,17 +167,18 @@ def near_copies(
     radius: int = RADIUS,
     crowded: int = CROWDED,
 ) -> DataFrame:
-    """One row per document: id, print and component, the smallest id that its links reach."""
+    """One row per document: id, tag, print and component, the smallest id that its links reach."""
     prints = stage(fingerprints(docs, text, doc_id, width))
     classes = stage(prints.groupBy("print").agg(F.min("id").alias("name")))
     reached = smallest_reachable(links(classes.where("name IS NOT NULL"), radius, crowded))
     named = classes.join(reached.withColumnRenamed("node", "name"), "name", "left").select(
         "print", F.coalesce("component", "name").alias("component")
     )
-    return prints.join(named, "print").select("id", "print", "component")
+    return prints.join(named, "print").select("id", "tag", "print", "component")
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with the document of smallest id of each component, all columns as they were."""
-    found = stage(near_copies(docs, text, doc_id, **options).where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct())
-    return keep_rows(docs, doc_id, found, found.count(), "left_anti")
+    found = near_copies(docs, text, doc_id, **options)
+    dropped = stage(found.where(~F.col("id").eqNullSafe(F.col("component"))).select("id", "tag").distinct())
+    return keep_rows(docs, doc_id, text, dropped, dropped.count(), "left_anti")

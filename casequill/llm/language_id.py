@@ -47,7 +47,7 @@ TRIGRAM_PSEUDO, VALUE_PSEUDO, PARENT = 0.5, 1.0, 5.0
 VALUES = 50
 
 _HIDDEN = ("script", "style", "noscript", "template")
-_MARK_UP = re.compile(r"&(?:#?\w{1,10});")
+_ENTITY = re.compile(r"&(?:#?\w{1,10});")
 
 
 def visible_text(html: str) -> str:
@@ -63,10 +63,11 @@ def visible_text(html: str) -> str:
             end, step = (close.end() - 1, 1) if close else (-1, 0)
         else:
             end, step = html.find(">", start), 1
-        if end < 0:
-            return " ".join(out)
+        if end < 0:  # nothing that is visible follows
+            at = len(html)
+            break
         at = end + step
-    return _MARK_UP.sub(" ", " ".join([*out, html[at:]]))
+    return _ENTITY.sub(" ", " ".join([*out, html[at:]]))
 
 
 def trigrams(text: str) -> np.ndarray:

@@ -16,13 +16,12 @@ Near an entity means within ``reach`` characters. A pair counts only if it is fo
 ``support`` different surroundings, so copies of one passage are one observation and a rare word
 that merely stands beside an address once is left alone.
 
-All of it are built-in functions. Texts are read where they lie: findings, then words of all
-documents reduced to those that some pair has, then the texts of the documents concerned. Words
-are counted once per document and summed before the shuffle; a value in a third of all documents
-is spread by document and word until then.
+All of it are built-in functions. Texts are read where they lie: for findings, for the words of
+all documents, and for the documents concerned. Words are counted once per document and summed
+before the shuffle; a value in a third of all documents is spread by document and word until then.
 
-Defined cases: a null text counts as empty. Rows of equal id are one document for the counts,
-and each gets the spans of its own text. A null id is an id like others. No rows in, no rows out.
+Defined cases: a null text counts as empty. Rows that repeat id and text count once next to an
+entity and each for the words' own counts, and each row gets the spans of its own text. A null id is an id like others. No rows in, no rows out.
 Only the id and text columns are read; ``sanitise`` returns all.
 """
 
@@ -141,22 +140,19 @@ def disclosing_words(
     support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """(entity, word, share, action) of pairs at or above the lower threshold. Written."""
-    held = found.select("id", F.explode("near").alias("near")).select("id", "near.entity", "near.around")
-    pairs = held.select("id", "entity", F.xxhash64("around").alias("around"), F.explode(_words(F.col("around"))).alias("word"))
+    held = found.select(F.struct("id", "tag").alias("place"), F.explode("near").alias("near"))
+    held = held.select("place", "near.entity", "near.around")
+    pairs = held.select("place", "entity", F.xxhash64("around").alias("around"), F.explode(_words(F.col("around"))).alias("word"))
     pairs = stage(
         pairs.groupBy("entity", "word")
-        .agg(F.countDistinct("id").alias("together"), F.countDistinct("around").alias("seen"))
+        .agg(F.countDistinct("place").alias("together"), F.countDistinct("around").alias("seen"))
         .where(F.col("seen") >= support)
     )
-    words = stage(pairs.select("word").distinct())
-    if words.isEmpty():
+    if pairs.isEmpty():
         return pairs.select("entity", "word", F.lit(0.0).alias("share"), F.lit("").alias("action"))
-    size = words.agg(F.sum(F.octet_length("word") + 32)).first()[0]
-    asked = F.broadcast(words) if size <= BROADCAST_BYTES else words
-    spread = docs.select(F.col(doc_id).alias("id"), F.explode(_words(whole_text(text))).alias("word")).join(asked, "word", "left_semi")
-    held_by = spread.groupBy("word").agg(F.countDistinct("id").alias("of_word"))
-    of_entity = held.groupBy("entity").agg(F.countDistinct("id").alias("of_entity"))
-    total = float(found.agg(F.countDistinct("id")).first()[0] or 1)
+    held_by = docs.select(F.explode(_words(whole_text(text))).alias("word")).groupBy("word").agg(F.count("*").alias("of_word"))
+    of_entity = held.groupBy("entity").agg(F.countDistinct("place").alias("of_entity"))
+    total = float(found.count())
     told = F.log(F.col("together") * F.lit(total) / (F.col("of_entity") * F.col("of_word")))
     own = F.log(F.lit(total) / F.col("of_entity"))
     share = F.when(own > 0, F.least(told / own, F.lit(1.0))).otherwise(0.0)

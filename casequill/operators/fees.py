@@ -58,7 +58,7 @@ def fees(claims: DataFrame, schedule: DataFrame) -> DataFrame:
     joined = claims.join(
         broadcast_if_small(schedule.withColumnRenamed("fee_type", "s_type")),
         (F.col("fee_type") == F.col("s_type"))
-        & (value > F.col("above"))
+        & ((value > F.col("above")) | ((value == 0) & (F.col("above") == 0)))
         & (F.col("up_to").isNull() | (value <= F.col("up_to"))),
         "left",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casequill.functions import chars
 from casequill.functions.spans import let, rule_array
 from casequill.functions.text import evaluate_once, file_stem, file_suffix, nfc, remove_diacritics, squeeze_spaces
+from casequill.operators.sizing import running_total
 from casequill.operators.staging import stage
 from casequill.sources import rules
 from casequill.sources.files import describe_paths, visible_files
@@ -184,53 +185,38 @@ def proposals(
 
 
 def _numbered_forms(names: DataFrame) -> DataFrame:
-    """``folder, target, n`` for names of the form stem_n.suffix with n from 1 to 99."""
-    parts = names.select(
-        "folder",
-        F.regexp_extract("name", r"(?s)^(.*)_([1-9]\d?)(\.[^.]+)?$", 1).alias("base"),
-        F.regexp_extract("name", r"(?s)^(.*)_([1-9]\d?)(\.[^.]+)?$", 2).alias("n"),
-        F.regexp_extract("name", r"(?s)^(.*)_([1-9]\d?)(\.[^.]+)?$", 3).alias("tail"),
-    ).where(F.col("n") != "")
-    return parts.select("folder", F.concat("base", "tail").alias("target"), F.col("n").cast("int").alias("n"))
+    """``folder, target, n`` for names of the form stem_n.suffix with n from 1 on."""
+    form = r"(?s)^(.*)_([1-9][0-9]{0,8})(\.[^.]+)?$"
+    parts = names.select("folder", *[F.regexp_extract("name", form, i).alias(c) for i, c in ((1, "base"), (2, "n"), (3, "tail"))])
+    numbered = parts.where(F.col("n") != "")
+    return numbered.select("folder", F.concat("base", "tail").alias("target"), F.col("n").cast("bigint").alias("n"))
 
 
-def resolve_conflicts(wanted: DataFrame, existing: DataFrame) -> DataFrame:
-    """Give each wanted target a free name: itself, else ``_1`` .. ``_99`` in path order.
+def resolve_conflicts(wanted: DataFrame, existing: DataFrame, max_tries: int | None = None) -> DataFrame:
+    """Give each wanted target a free name: itself, else ``_1``, ``_2`` .. in path order.
 
     ``existing(folder, name)`` are the names in place. Names that exist and names other
-    files will get are both avoided. At most 100 files per wanted name can be served, so
-    only the first 100 paths of a name are ranked; the rank filter runs before the shuffle,
-    and the rest of a crowded name is reported as an error without passing through a window.
+    files will get are both avoided. The file of rank ``r`` (from 0) gets the free number with
+    ``r`` free ones below it, which is ``r`` plus the taken numbers with at most ``r`` free ones
+    below them. Ranks and counts are running totals over ranges, so a crowded name is never one
+    group. With ``max_tries`` numbers from there on are refused and ``new_name`` is null.
     """
     group = ["folder", "target"]
-    ranked = wanted.withColumn(
-        "rank", F.row_number().over(Window.partitionBy(*group).orderBy("path"))
-    ).where(F.col("rank") <= rules.MAX_SUFFIX_TRIES)
+    ranked = running_total(wanted, group, ["path"], F.lit(1), "rank").withColumn("at", F.col("rank") - 1).drop("rank")
     reserved = wanted.select("folder", F.col("target").alias("name"))
     taken = (
-        existing.select("folder", F.col("name").alias("target"), F.lit(0).alias("n"))
+        existing.select("folder", F.col("name").alias("target"), F.lit(0).cast("bigint").alias("n"))
         .unionByName(_numbered_forms(existing.select("folder", "name").unionByName(reserved)))
-        .groupBy(*group)
-        .agg(F.collect_set("n").alias("taken"))  # at most 100 different numbers
-    )
-    numbers = F.sequence(F.lit(0), F.lit(rules.MAX_SUFFIX_TRIES - 1))
-    free = F.array_except(numbers, F.coalesce("taken", F.array().cast("array<int>")))
-    served = ranked.join(taken, group, "left").withColumn("n", F.get(free, F.col("rank") - 1)).drop("taken", "rank")
-    last_served = ranked.where(F.col("rank") == rules.MAX_SUFFIX_TRIES).select(*group, F.col("path").alias("last_path"))
-    crowded = (
-        wanted.join(last_served, group)
-        .where(F.col("path") > F.col("last_path"))
-        .drop("last_path")
-        .withColumn("n", F.lit(None).cast("int"))
+        .join(wanted.select(*group).distinct(), group, "left_semi")
+        .distinct()
     )
+    free_below = running_total(taken, group, ["n"], F.lit(1), "upto").select(*group, (F.col("n") - F.col("upto") + 1).alias("at"))
+    both = free_below.withColumn("is_file", F.lit(0)).unionByName(ranked.withColumn("is_file", F.lit(1)), allowMissingColumns=True)
+    placed = running_total(both, group, ["at", "is_file", "path"], 1 - F.col("is_file"), "skipped").where("is_file = 1")
+    placed = placed.withColumn("n", F.col("at") + F.col("skipped"))
     stem, suffix = file_stem(F.col("target")), file_suffix(F.col("target"))
-    both = served.select(*wanted.columns, "n").unionByName(crowded.select(*wanted.columns, "n"))
-    return both.withColumn(
-        "new_name",
-        F.when(F.col("n") == 0, F.col("target")).when(
-            F.col("n").isNotNull(), F.concat(stem, F.lit("_"), F.col("n").cast("string"), suffix)
-        ),
-    )
+    named = F.when(F.col("n") == 0, F.col("target")).otherwise(F.concat(stem, F.lit("_"), F.col("n").cast("string"), suffix))
+    return placed.select(*wanted.columns, (named if max_tries is None else F.when(F.col("n") < max_tries, named)).alias("new_name"))
 
 
 def rename_plan(
@@ -239,6 +225,7 @@ def rename_plan(
     max_length: int = rules.MAX_STEM_LENGTH,
     skip_folders=rules.SKIP_FOLDERS,
     map_dstroke: bool = False,
+    max_tries: int | None = None,
 ) -> DataFrame:
     """Dry-run plan for an inventory of paths: path, folder, old_name, new_name, new_path,
     reason, custom, status, error."""
@@ -246,7 +233,7 @@ def rename_plan(
     # read four times below: ranking, reserved names, crowded names
     wanted = stage(proposals(described, overrides, max_length, map_dstroke))
     existing = describe_paths(files.select("path")).select("folder", "name")
-    resolved = resolve_conflicts(wanted, existing)
+    resolved = resolve_conflicts(wanted, existing, max_tries)
     parent = F.regexp_extract("path", r"(?s)^(.*/)[^/]*$", 1)
     failed = F.col("new_name").isNull()
     return resolved.select(

@@ -36,22 +36,24 @@ def _footer(total: Column, fmt: str) -> Column:
 def document_blocks(pages: DataFrame, fmt: str, stamp: str) -> DataFrame:
     """Header, pages and footer of each document as rows: doc_id, block_no, block.
 
-    ``pages(doc_id, page_no, title, text)`` with pages numbered from 1 without gaps. Only
-    the per-document count is aggregated; page texts are not shuffled.
+    ``pages(doc_id, page_no, title, text)`` with pages numbered from 1; the title is that of the
+    first page there is. Only counts and titles are aggregated; page texts are not shuffled.
     """
-    totals = pages.groupBy("doc_id").agg(F.count("*").alias("total"))
+    totals = pages.groupBy("doc_id").agg(
+        F.count("*").alias("total"), F.max("page_no").alias("last"), F.min_by("title", "page_no").alias("title")
+    )
     return (
         pages.select(
             "doc_id", F.col("page_no").alias("block_no"), page_block(F.col("page_no"), F.col("text"), fmt).alias("block")
         )
         .unionByName(
-            pages.where(F.col("page_no") == 1).select(
+            totals.select(
                 "doc_id", F.lit(0).cast("bigint").alias("block_no"), _header(F.col("title"), stamp, fmt).alias("block")
             )
         )
         .unionByName(
             totals.select(
-                "doc_id", (F.col("total") + 1).alias("block_no"), _footer(F.col("total"), fmt).alias("block")
+                "doc_id", (F.col("last") + 1).alias("block_no"), _footer(F.col("total"), fmt).alias("block")
             )
         )
     )

@@ -15,15 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for per-row text work when the input comes in fewer file splits than
-    there are cores. Large inputs have more splits than cores and are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
 
 
 def document_paragraphs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
@@ -78,9 +71,9 @@ def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file path per document: its source as folder, the start of its text as name."""
+    """One file path per document: its source as folder, the first line of its text as name."""
     suffixes = (".docx", ".PDF", ".txt", ".md", ".zip", ".png")
-    title = F.translate(F.substring(F.substring_index("text", "\n", 1), 1, 90), "/.", "--")
+    title = F.translate(F.substring_index("text", "\n", 1), "/.", "--")
     path = F.concat(
         "source", F.lit("/"), title, F.lit(" "), F.col("doc_id").cast("string"), pick(suffixes, F.col("doc_id"))
     )
@@ -145,12 +138,15 @@ def line_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def valid_payments(loans: DataFrame, payments: DataFrame) -> DataFrame:
-    """Payments inside the accrual period of their loan."""
-    span = loans.select("loan_id", "start_date", "settle_date")
-    return payments.join(span, "loan_id").where(
-        F.col("date").between(F.col("start_date"), F.col("settle_date"))
-    ).select(payments.columns)
+def covering_loans(loans: DataFrame, payments: DataFrame) -> DataFrame:
+    """Loans that start by their first payment and are not settled before their last one."""
+    paid = payments.groupBy("loan_id").agg(F.min("date").alias("first_paid"), F.max("date").alias("last_paid"))
+    return (
+        loans.join(paid, "loan_id", "left")
+        .withColumn("start_date", F.least("start_date", "first_paid"))
+        .withColumn("settle_date", F.greatest("settle_date", "last_paid"))
+        .drop("first_paid", "last_paid")
+    )
 
 
 def order_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

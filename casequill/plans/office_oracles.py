@@ -7,7 +7,7 @@ from casequill.sources import rules
 
 TITLES = f"""titles AS (
   SELECT doc_id, n_chars, source AS folder,
-         translate(substr(split_part(text, {NL}, 1), 1, 90), '/.', '--') || ' ' || doc_id AS stem,
+         translate(split_part(text, {NL}, 1), '/.', '--') || ' ' || doc_id AS stem,
          {_pick(('.docx', '.PDF', '.txt', '.md', '.zip', '.png'), 'doc_id')} AS suffix FROM documents),
 named AS (SELECT *, folder || '/' || stem || suffix AS path, stem || suffix AS name FROM titles WHERE NOT starts_with(stem, '.'))"""
 
@@ -59,7 +59,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY folder, target ORDER BY pat
 in_use AS (SELECT DISTINCT folder, name FROM part_files UNION SELECT DISTINCT folder, target FROM wanted),
 slots AS (
   SELECT t.folder, t.target, n, CASE WHEN n = 0 THEN t.target ELSE regexp_replace(t.target, '\\.docx$', '') || '_' || n || '.docx' END AS candidate
-  FROM (SELECT DISTINCT folder, target FROM wanted) t, range(0, 100) r(n)),
+  FROM (SELECT DISTINCT folder, target FROM wanted) t, range(0, (SELECT count(*) FROM in_use) + 1) r(n)),
 free AS (
   SELECT s.folder, s.target, candidate, row_number() OVER (PARTITION BY s.folder, s.target ORDER BY n) AS k FROM slots s
   WHERE CASE WHEN n = 0 THEN (s.folder, candidate) NOT IN (SELECT (folder, name) FROM part_files)
@@ -80,22 +80,24 @@ RESULTS = """results AS (SELECT conv_id AS doc_id, 'hs-' || conv_id || CASE WHEN
   conv_id % 7 <> 0 AS success, CASE WHEN conv_id % 7 <> 0 THEN count(*) END AS total_pages,
   CASE WHEN conv_id % 7 = 0 THEN 'extension' END AS error FROM conversations GROUP BY conv_id)"""
 
-LOANS = """loans AS (
+LOANS = """all_payments AS (
+  SELECT l_orderkey AS loan_id, CAST(CAST(l_shipdate AS DATE) + INTERVAL 240 MONTH AS DATE) AS date,
+         CAST(l_quantity * 10 AS DECIMAL(20,2)) AS principal_paid, CAST(l_quantity * 3 AS DECIMAL(20,2)) AS interest_paid FROM lineitem),
+paid_span AS (SELECT loan_id, min(date) AS first_paid, max(date) AS last_paid FROM all_payments GROUP BY loan_id),
+as_agreed AS (
   SELECT o_orderkey AS loan_id, CAST(o_totalprice AS DECIMAL(20,2)) AS principal,
          CAST(CASE WHEN o_orderkey % 5 = 0 THEN 15.0 ELSE o_orderkey % 9 + 6.5 END AS DECIMAL(9,4)) AS base_rate,
          CASE WHEN o_orderkey % 4 = 0 THEN CAST(15.25 AS DECIMAL(9,4)) END AS agreed,
          o_orderkey % 3 = 0 AS fixed, o_custkey % 24 + 1 AS months, o_orderkey % 30 AS days,
          CAST(CAST(o_orderdate AS DATE) + INTERVAL 240 MONTH AS DATE) AS start_date FROM orders),
+loans AS (SELECT a.* REPLACE (least(start_date, first_paid) AS start_date), start_date AS agreed_start, last_paid FROM as_agreed a LEFT JOIN paid_span USING (loan_id)),
 termed AS (
   SELECT *, CAST(CAST(start_date + to_months(CAST(months AS INTEGER)) AS DATE) + CAST(days AS INTEGER) AS DATE) AS due_date,
-         start_date + CAST(loan_id % 40 * 30 + 101 AS INTEGER) AS accrual_end FROM loans),
-all_payments AS (
-  SELECT l_orderkey AS loan_id, CAST(CAST(l_shipdate AS DATE) + INTERVAL 240 MONTH AS DATE) AS date,
-         CAST(l_quantity * 10 AS DECIMAL(20,2)) AS principal_paid, CAST(l_quantity * 3 AS DECIMAL(20,2)) AS interest_paid FROM lineitem),
-payments AS (SELECT p.* FROM all_payments p JOIN termed t USING (loan_id) WHERE p.date >= start_date AND p.date < accrual_end),
+         greatest(agreed_start + CAST(loan_id % 40 * 30 + 100 AS INTEGER), last_paid) + 1 AS accrual_end FROM loans),
+payments AS (SELECT * FROM all_payments),
 rates AS (
-  SELECT loan_id, CAST(12.5 AS DECIMAL(9,4)) AS rate, start_date + 10 AS from_date, start_date + 40 AS to_date FROM loans WHERE loan_id % 2 = 0
-  UNION ALL SELECT loan_id, CAST(18.0 AS DECIMAL(9,4)), start_date + 41, start_date + 60 FROM loans WHERE loan_id % 2 = 0),
+  SELECT loan_id, CAST(12.5 AS DECIMAL(9,4)) AS rate, agreed_start + 10 AS from_date, agreed_start + 40 AS to_date FROM loans WHERE loan_id % 2 = 0
+  UNION ALL SELECT loan_id, CAST(18.0 AS DECIMAL(9,4)), agreed_start + 41, agreed_start + 60 FROM loans WHERE loan_id % 2 = 0),
 cuts AS (
   SELECT loan_id, start_date AS d FROM termed UNION SELECT loan_id, due_date FROM termed UNION SELECT loan_id, accrual_end FROM termed
   UNION SELECT loan_id, DATE '2018-01-01' FROM termed UNION SELECT loan_id, date FROM payments
@@ -152,7 +154,7 @@ CAST(0 AS BIGINT) AS total_unchanged FROM plan""",
     "preview_classes": f"""WITH {TITLES}, c AS (SELECT folder, CASE lower(suffix) WHEN '.txt' THEN 'text' WHEN '.md' THEN 'text' WHEN '.png' THEN 'image' ELSE 'external' END AS preview FROM named)
 SELECT folder, preview, preview AS again, count(*) AS files FROM c GROUP BY folder, preview""",
     "admitted_files": f"""WITH {TITLES} SELECT doc_id, name, CASE WHEN lower(suffix) NOT IN ('.docx', '.pdf', '.txt') THEN 'extension' WHEN n_chars > 3000 THEN 'size' END AS reject_reason FROM named""",
-    "distinct_uploads": f"""SELECT substr(split_part(text, {NL}, 1), 1, 40) AS name, n_chars AS length, min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS path, count(*) AS copies
+    "distinct_uploads": f"""SELECT split_part(text, {NL}, 1) AS name, n_chars AS length, min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS path, count(*) AS copies
 FROM documents GROUP BY 1, 2""",
     "unlabelled_documents": "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "markdown_documents": _pages(
@@ -180,8 +182,8 @@ CAST(any_value(year_rate) AS DOUBLE) AS year_rate, floor(sum(num)::DOUBLE / 100
    (sum(coalesce(p.interest, 0)) OVER w)::DOUBLE AS paid
    FROM valued v LEFT JOIN per_day p ON p.loan_id = v.loan_id AND p.date = v.seg_end WINDOW w AS (PARTITION BY v.loan_id ORDER BY v.seg_end ROWS UNBOUNDED PRECEDING))
 SELECT loan_id, seg_end, {_ROUND.format('accrued')}, {_ROUND.format('paid')}, floor((accrued - paid) * 100 + 0.5) / 100 AS unpaid FROM flow""",
-    "loan_input_checks": f"""WITH {LOANS} SELECT p.loan_id, 'payment' AS kind, count(*) AS n FROM all_payments p LEFT JOIN termed t USING (loan_id)
-WHERE t.loan_id IS NULL OR p.date < start_date OR p.date >= accrual_end GROUP BY p.loan_id
+    "loan_input_checks": f"""WITH {LOANS} SELECT p.loan_id, 'payment' AS kind, count(*) AS n FROM all_payments p LEFT JOIN as_agreed t USING (loan_id)
+WHERE t.loan_id IS NULL OR p.date < start_date OR p.date > start_date + CAST(loan_id % 40 * 30 + 100 AS INTEGER) GROUP BY p.loan_id
 UNION ALL SELECT loan_id, 'rate', CAST(1 AS BIGINT) FROM loans WHERE loan_id % 2 = 0 AND loan_id % 3 >= 1""",
     "court_fees": f"""WITH {FEES} SELECT claim_id, fee, replace(format('{{:,}}', CAST(round_even(fee, 0) AS BIGINT)), ',', '.') AS fee_text,
 CASE WHEN fee IS NULL THEN 'no bracket' END AS reason FROM charged""",

@@ -26,12 +26,7 @@ def long(column, name):
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.visible_files(files.describe_paths(inputs.spread(inputs.title_files(spark, sf_dir))))
-
-
-def file_inventory(spark, sf_dir):
-    """Files below the data folder, listed without opening them."""
-    return files.describe_paths(files.visible_files(files.list_files(spark, sf_dir))).select("folder", "stem", "suffix", "length")
+    return files.visible_files(files.describe_paths(inputs.title_files(spark, sf_dir)))
 
 
 def bad_names(spark, sf_dir):
@@ -82,7 +77,7 @@ def admitted_files(spark, sf_dir):
 
 
 def distinct_uploads(spark, sf_dir):
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 40)
+    title = F.substring_index("text", "\n", 1)
     listed = inputs.table(spark, sf_dir, "documents").select(
         title.alias("name"), F.col("n_chars").alias("length"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path")
     )
@@ -133,7 +128,8 @@ def batch_totals(spark, sf_dir):
 
 def _loan_tables(spark, sf_dir):
     ls = inputs.order_loans(spark, sf_dir)
-    return ls, inputs.valid_payments(ls, inputs.line_payments(spark, sf_dir)), inputs.order_rates(spark, sf_dir)
+    paid = inputs.line_payments(spark, sf_dir)
+    return inputs.covering_loans(ls, paid), paid, inputs.order_rates(spark, sf_dir)
 
 
 def _cents(amount):
@@ -294,7 +290,7 @@ def case_statistics(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        file_inventory, bad_names, clean_names, rename_plan, rename_totals, files_per_folder, rename_report, preview_classes,
+        bad_names, clean_names, rename_plan, rename_totals, files_per_folder, rename_report, preview_classes,
         admitted_files, distinct_uploads, unlabelled_documents, markdown_documents, text_documents, document_results,
         batch_totals, loan_segments, loan_details, loan_matrix, loan_waterfall, loan_input_checks, court_fees,
         detention_terms, procedural_terms, rest_day_orders, custody_terms, order_ages, case_parties, case_statistics,

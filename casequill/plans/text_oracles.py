@@ -169,16 +169,16 @@ CAST(strpos(text, value) - 1 AS BIGINT) AS first_pos, suggestion FROM found""",
 || 'Người làm chứng Tên-B khai đã gặp bà Tên-A tại tòa án.' AS text, CAST(6 AS BIGINT) AS replaced FROM notes""",
     "entity_payloads": f"""WITH {NOTES} SELECT doc_id, '{{"entities":[' || string_agg('{{"type":"' || type || '","value":"' || value || '","suggestion":"'
 || suggestion || '"}}', ',' ORDER BY entity_no) || ']}}' AS payload FROM found GROUP BY doc_id""",
-    "personal_numbers": r"""WITH texts AS (SELECT 'document' AS origin, doc_id, text FROM documents
-  UNION ALL SELECT 'conversation', conv_id * 1000 + turn, text FROM conversations),
-runs AS (SELECT DISTINCT origin, doc_id, unnest(regexp_extract_all(text, '\p{Nd}+')) AS value FROM texts),
-doubled AS (SELECT origin, doc_id, chr(10) || regexp_replace(text, '(\P{Nd})', '\1\1', 'g') || chr(10) AS d FROM texts),
-hits AS (SELECT origin, doc_id, unnest(regexp_extract_all(d, '\P{Nd}((?:\+\+84|0)(?:(?:  |\.\.|--)?\p{Nd}){9,10})\P{Nd}', 1)) AS h FROM doubled),
-phones AS (SELECT DISTINCT origin, doc_id, replace(replace(replace(replace(h, '++', '+'), '  ', ' '), '..', '.'), '--', '-') AS value FROM hits),
+    "personal_numbers": r"""WITH texts AS (SELECT 'document' AS origin, doc_id, CAST(0 AS BIGINT) AS turn, text FROM documents
+  UNION ALL SELECT 'conversation', conv_id, turn, text FROM conversations),
+runs AS (SELECT DISTINCT origin, doc_id, turn, unnest(regexp_extract_all(text, '\p{Nd}+')) AS value FROM texts),
+doubled AS (SELECT origin, doc_id, turn, chr(10) || regexp_replace(text, '(\P{Nd})', '\1\1', 'g') || chr(10) AS d FROM texts),
+hits AS (SELECT origin, doc_id, turn, unnest(regexp_extract_all(d, '\P{Nd}((?:\+\+84|0)(?:(?:  |\.\.|--)?\p{Nd}){9,10})\P{Nd}', 1)) AS h FROM doubled),
+phones AS (SELECT DISTINCT origin, doc_id, turn, replace(replace(replace(replace(h, '++', '+'), '  ', ' '), '..', '.'), '--', '-') AS value FROM hits),
 digits AS (SELECT *, regexp_replace(value, '\P{Nd}', '', 'g') AS n FROM phones)
-SELECT origin, doc_id, 'SĐT' AS type, value, substr(n, 1, 4) || 'xxxx' || right(n, 3) AS mask FROM digits
+SELECT origin, doc_id, turn, 'SĐT' AS type, value, substr(n, 1, 4) || 'xxxx' || right(n, 3) AS mask FROM digits
  WHERE CASE WHEN starts_with(value, '+84') THEN length(n) IN (11, 12) ELSE length(n) IN (10, 11) END
-UNION ALL SELECT origin, doc_id, CASE length(value) WHEN 12 THEN 'CCCD' ELSE 'CMND' END, value, substr(value, 1, 3) || 'xxx' || right(value, 3)
+UNION ALL SELECT origin, doc_id, turn, CASE length(value) WHEN 12 THEN 'CCCD' ELSE 'CMND' END, value, substr(value, 1, 3) || 'xxx' || right(value, 3)
  FROM runs WHERE length(value) IN (9, 12)""",
     "replaced_terms": f"""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[{WORD}]+') AS ws FROM documents),
 o AS (SELECT doc_id, {_BOUNDED} AS b, ws[1] AS w1, ws[-1] AS w2 FROM w WHERE len(ws) > 0),
@@ -198,6 +198,6 @@ uniq AS (SELECT item_id, old, seq FROM (SELECT *, row_number() OVER (PARTITION B
 lists AS (SELECT u.item_id, count(*) AS usable, arg_min(old, (-length(old)) * 100000 + seq) AS first_old,
    any_value(n) > 500 AS too_many FROM uniq u JOIN (SELECT item_id, count(*) AS n FROM words GROUP BY item_id) USING (item_id) GROUP BY u.item_id)
 SELECT doc_id, usable, first_old, CASE WHEN too_many THEN 'too many replacements' END AS reject_reason
-FROM documents d JOIN lists l ON l.item_id = d.doc_id % 40""",
-    "decoded_texts": "SELECT doc_id, md5(substr(text, 1, 5000)) AS digest, length(text) > 5000 AS truncated FROM documents",
+FROM documents d JOIN lists l ON l.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""",
+    "decoded_texts": "SELECT doc_id, md5(text) AS digest, false AS truncated FROM documents",
 }

@@ -173,7 +173,7 @@ def note_entities(spark, sf_dir):
 
 
 def spread_notes(spark, sf_dir):
-    return inputs.spread(inputs.case_notes(spark, sf_dir))
+    return inputs.case_notes(spark, sf_dir)
 
 
 def anonymised_notes(spark, sf_dir):
@@ -188,9 +188,9 @@ def entity_payloads(spark, sf_dir):
 
 def personal_numbers(spark, sf_dir):
     """Phone and identity numbers in documents and conversations."""
-    texts = inputs.table(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), "doc_id", "text").unionByName(
+    texts = inputs.table(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), "doc_id", F.lit(0).cast("bigint").alias("turn"), "text").unionByName(
         inputs.table(spark, sf_dir, "conversations").select(
-            F.lit("conversation").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"
+            F.lit("conversation").alias("origin"), F.col("conv_id").alias("doc_id"), "turn", "text"
         )
     )
     text = F.col("text")
@@ -199,8 +199,8 @@ def personal_numbers(spark, sf_dir):
         F.struct(F.lit(rules.TYPE_ID12).alias("type"), F.transform(pii.numbers_of_length(text, 12), lambda v: F.struct(v.alias("value"), pii.mask_number(v).alias("mask"))).alias("found")),
         F.struct(F.lit(rules.TYPE_ID9).alias("type"), F.transform(pii.numbers_of_length(text, 9), lambda v: F.struct(v.alias("value"), pii.mask_number(v).alias("mask"))).alias("found")),
     )
-    found = inputs.spread(texts).select("origin", "doc_id", F.explode(kinds).alias("k"))
-    return found.select("origin", "doc_id", "k.type", F.explode("k.found").alias("f")).select("origin", "doc_id", "type", "f.value", "f.mask")
+    found = texts.select("origin", "doc_id", "turn", F.explode(kinds).alias("k"))
+    return found.select("origin", "doc_id", "turn", "k.type", F.explode("k.found").alias("f")).select("origin", "doc_id", "turn", "type", "f.value", "f.mask")
 
 
 def document_entities(spark, sf_dir):
@@ -226,8 +226,9 @@ def replaced_terms(spark, sf_dir):
 
 def replacement_lists(spark, sf_dir):
     """Typed-in lists joined to documents: the words of one benchmark text each, under review limits."""
-    documents = inputs.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    words = inputs.table(spark, sf_dir, "benchmark").select(
+    benchmark = inputs.table(spark, sf_dir, "benchmark")
+    documents = inputs.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % benchmark.count()).alias("item_id"))
+    words = benchmark.select(
         "item_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("seq", "old")
     )
     lists = pii.collect_items(words.select(F.col("item_id").alias("doc_id"), "seq", "old", F.lit("#").alias("new")))
@@ -253,7 +254,7 @@ def decoded_texts(spark, sf_dir):
         .otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
     )
     files = inputs.documents(spark, sf_dir).select(F.col("doc_id").alias("path"), F.lit(0).alias("length"), content.alias("content"))
-    read = docs.text_files(files, max_chars=5000)
+    read = docs.text_files(files)
     return read.select(F.col("path").alias("doc_id"), F.md5("text").alias("digest"), "truncated")
 
 

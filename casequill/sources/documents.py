@@ -71,20 +71,26 @@ def decode_bytes(content: Column) -> Column:
     )
 
 
-def text_files(
-    files: DataFrame, max_bytes: int = 512 * 1024, max_chars: int = 200 * 1024
-) -> DataFrame:
+def text_files(files: DataFrame, max_bytes: int | None = None, max_chars: int | None = None) -> DataFrame:
     """``path, length, content`` rows to ``path, length, text, truncated``.
 
-    Reads at most ``max_bytes`` of a file and shows at most ``max_chars`` characters,
-    which is what the preview is for; ``truncated`` tells when text was cut.
+    Whole files by default. A preview reads at most ``max_bytes`` of a file, back to the last
+    whole UTF-8 character, and shows at most ``max_chars`` characters; ``truncated`` tells
+    when either cut the text.
     """
-    decoded = files.select(
-        "path", "length", decode_bytes(F.substring("content", 1, max_bytes)).alias("full")
-    )
+    content, cut = F.col("content"), F.lit(False)
+    if max_bytes is not None:
+        cut = F.octet_length("content") > max_bytes
+        first = F.substring("content", 1, max_bytes)
+        # a character begins at most three bytes before the cut; if the bytes up to there are
+        # valid UTF-8, what is behind them is the part of a character
+        shorter = [F.substring("content", 1, max_bytes - k) for k in range(4)]
+        whole = F.coalesce(*[F.when(F.is_valid_utf8(x.cast("string")), x) for x in shorter], first)
+        content = F.when(cut, whole).otherwise(F.col("content"))
+    decoded = files.select("path", "length", decode_bytes(content).alias("full"), cut.alias("cut"))
+    if max_chars is None:
+        return decoded.select("path", "length", F.col("full").alias("text"), F.col("cut").alias("truncated"))
     return decoded.select(
-        "path",
-        "length",
-        F.substring("full", 1, max_chars).alias("text"),
-        (F.length("full") > max_chars).alias("truncated"),
-    )
+        "path", "length", F.substring("full", 1, max_chars).alias("text"),
+        (F.col("cut") | (F.length("full") > max_chars)).alias("truncated"),
+    )

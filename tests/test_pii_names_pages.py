@@ -134,10 +134,12 @@ def test_crowded_name(spark):
     marks = "!#%@*^~$"
     stems = [a + b + c for a in marks for b in marks for c in marks][:130]
     inventory = spark.createDataFrame([(f"d/f{s}.txt",) for s in stems] + [("d/f.txt",)], "path string")
-    plan = names.rename_plan(inventory).collect()
+    plan = names.rename_plan(inventory, max_tries=rules.MAX_SUFFIX_TRIES).collect()
     good = [r.new_name for r in plan if r.status == "PROPOSED"]
     assert len(plan) == 130 and len(good) == len(set(good)) == 99
     assert all(r.error == rules.ERROR_NO_FREE_NAME for r in plan if r.status == "ERROR")
+    unbounded = names.rename_plan(inventory).collect()
+    assert sorted(r.new_name for r in unbounded) == sorted(f"f_{n}.txt" for n in range(1, 131))
 
 
 def test_admission_and_classes(spark):

@@ -1,4 +1,4 @@
-"""Size checks before broadcasts, and row numbers that do not collect a hot group."""
+"""Size checks before broadcasts, and running totals that do not collect a hot group."""
 
 from __future__ import annotations
 
@@ -10,11 +10,27 @@ from casequill.operators.staging import stage
 
 #: largest side that is sent to every executor
 MAX_BROADCAST_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when the frame has at most ``max_rows`` rows; reads no further than the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def _bytes(df: DataFrame) -> Column:
+    """Size of a row: strings by their bytes, nested values by their JSON, others 8 bytes, and 16 for the row."""
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind == "string" or kind == "binary":
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.octet_length(F.to_json(F.struct(column)))
+        else:
+            size = size + 8
+    return size
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when the frame has at most so many rows and bytes. Both are summed in the tasks."""
+    rows, size = df.agg(F.count("*"), F.sum(_bytes(df))).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -86,6 +86,12 @@ def text_files(files: DataFrame, max_bytes: int | None = None, max_chars: int |
         # valid UTF-8, what is behind them is the part of a character
         shorter = [F.substring("content", 1, max_bytes - k) for k in range(4)]
         whole = F.coalesce(*[F.when(F.is_valid_utf8(x.cast("string")), x) for x in shorter], first)
+        # UTF-16: whole units, and no first half of a pair at the end
+        even = max_bytes - max_bytes % 2
+        mark = F.hex(F.substring("content", 1, 2))
+        high = F.hex(F.substring("content", F.when(mark == "FFFE", even).otherwise(even - 1), F.lit(1)))
+        units = F.substring("content", F.lit(1), F.when(high.between("D8", "DB"), even - 2).otherwise(even))
+        whole = F.when(mark.isin("FFFE", "FEFF"), units).otherwise(whole)
         content = F.when(cut, whole).otherwise(F.col("content"))
     decoded = files.select("path", "length", decode_bytes(content).alias("full"), cut.alias("cut"))
     if max_chars is None:

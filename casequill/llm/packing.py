@@ -34,6 +34,8 @@ from casequill.operators.staging import stage
 #: ids in the longest sequence; a power of two
 SIZE = 2048
 END_ID = 1
+#: documents whose pieces a task holds at once
+_TOGETHER = 512
 
 
 def piece_lengths(n: int, size: int) -> list[int]:
@@ -49,7 +51,8 @@ def cut(docs: DataFrame, vocabulary: str, text: str, doc_id: str, size: int, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(vocabulary), np.array([end_id], "<u4").tobytes()
         part, made = TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        few = (b.slice(at, _TOGETHER) for b in batches for at in range(0, b.num_rows, _TOGETHER))
+        for batch in few:
             rows, payloads = [], []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.encode(value.as_py()) + end
@@ -57,10 +60,11 @@ def cut(docs: DataFrame, vocabulary: str, text: str, doc_id: str, size: int, end
                 for length in piece_lengths(total, size):
                     payload = ids[4 * start : 4 * (start + length)]
                     rows.append((doc, start, length, zlib.crc32(payload), total, part, made[length]))
-                    payloads.append(payload)
+                    if with_ids:
+                        payloads.append(payload)
                     made[length] += 1
                     start += length
-            columns = [pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * len(names))]
+            columns = [pa.array(x, pa.int64()) for x in zip(*rows)]
             ids = [pa.array(payloads, pa.binary())] if with_ids else []
             yield pa.RecordBatch.from_arrays(columns + ids, names + ["ids"] * with_ids)
 

@@ -21,7 +21,7 @@ from array import array
 from tokenizers import Tokenizer
 
 #: parts and pieces that a Python worker remembers; a full memo starts anew
-MEMO_PARTS, MEMO_PIECES = 300_000, 600_000
+MEMO_PARTS, MEMO_PIECES = 200_000, 500_000
 #: longer ones are not remembered
 MEMO_LENGTH = 64
 

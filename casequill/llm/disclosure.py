@@ -16,6 +16,13 @@ Near an entity means within ``reach`` characters. A pair counts only if it is fo
 ``support`` different surroundings, so copies of one passage are one observation and a rare word
 that merely stands beside an address once is left alone.
 
+The query reads whole texts instead (``reach=None``): words are all runs of letters and digits, a
+pair is counted by the different texts that hold both, wherever they stand, copies of a text
+being one, and nothing is asked of the number of surroundings. The counts are smoothed, so that
+an entity in one text is rated too, only lower than one that many texts confirm:
+
+    share(c, t) = log((n_ct + p_t) / (n_c + 1) / p_t) / log(N / n_c)    with p_t = n_t / N
+
 All of it are built-in functions. Texts are read where they lie: for findings, for the words of
 all documents, and for the documents concerned. Words are counted once per document and summed
 before the shuffle; a value in a third of all documents is spread by document and word until then.
@@ -46,6 +53,8 @@ PATTERNS = {
 IP_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 #: a word that may disclose something
 WORD = r"\p{L}{3,}"
+#: the same over whole texts: numbers, codes and short words as well
+TOKEN = r"[\p{L}\p{N}]+"
 REACH = 80
 SUPPORT = 3
 GENERALISE = 0.6
@@ -121,16 +130,20 @@ def _surroundings(body: Column, span: Column, reach: int) -> Column:
     return F.concat_ws(" \u0001 ", left, right)
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+def _words(text: Column, pattern: str = WORD) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)))
 
 
-def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int = REACH) -> DataFrame:
-    """(id, tag, spans, near) per document; ``near`` has entity and surroundings of each finding. Written."""
+def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int | None = REACH) -> DataFrame:
+    """(id, tag, spans, near) per document; ``near`` has entity and surroundings of each finding, null where whole texts count. Written."""
     rows = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("body")).withColumn("tag", F.xxhash64("body"))
+
+    def around(span: Column) -> Column:
+        return F.lit(None).cast("string") if reach is None else F.lower(_surroundings(F.col("body"), span, reach))
+
     near = F.transform(
         F.col("spans"),
-        lambda s: F.struct(_entity(s).alias("entity"), F.lower(_surroundings(F.col("body"), s, reach)).alias("around")),
+        lambda s: F.struct(_entity(s).alias("entity"), around(s).alias("around")),
     )
     return stage(rows.withColumn("spans", base_spans(F.col("body"))).select("id", "tag", "spans", near.alias("near")))
 
@@ -161,6 +174,38 @@ def disclosing_words(
     return stage(rated.where(F.col("share") >= generalise).select("entity", "word", "share", action.alias("action")))
 
 
+def whole_text_words(
+    docs: DataFrame, found: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE,
+) -> DataFrame:
+    """(entity, word, share, action) of pairs at or above the lower threshold, counted by different whole texts. Written."""
+    rows = docs.select(whole_text(text).alias("body")).withColumn("tag", F.xxhash64("body"))
+    holders = stage(found.where("size(near) > 0").select("tag", F.array_distinct(F.col("near.entity")).alias("entities")).dropDuplicates(["tag"]))
+    if holders.isEmpty():
+        return holders.select(F.lit("").alias("entity"), F.lit("").alias("word"), F.lit(0.0).alias("share"), F.lit("").alias("action"))
+    small = holders.count() * 16 <= BROADCAST_BYTES
+    asked = holders.select("tag")
+    near = rows.join(F.broadcast(asked) if small else asked, "tag", "left_semi")
+    words = near.select("tag", F.explode(_words(F.col("body"), TOKEN)).alias("word")).distinct()
+    spread = holders.select("tag", F.explode("entities").alias("entity"))
+    pairs = stage(words.join(spread, "tag").groupBy("entity", "word").agg(F.count("*").alias("together")))
+    # each of n copies of a text counts 1 / n
+    copies = stage(found.groupBy("tag").count().where("count > 1"))
+    copies = F.broadcast(copies) if copies.count() * 16 <= BROADCAST_BYTES else copies
+    each = rows.join(copies, "tag", "left").select(
+        F.explode(_words(F.col("body"), TOKEN)).alias("word"), (1 / F.coalesce("count", F.lit(1))).alias("part")
+    )
+    held_by = each.groupBy("word").agg(F.round(F.sum("part")).alias("of_word"))
+    of_entity = spread.groupBy("entity").agg(F.count("*").alias("of_entity"))
+    total = float(found.select("tag").distinct().count())
+    common = F.col("of_word") / F.lit(total)
+    told = F.log((F.col("together") + common) / (F.col("of_entity") + 1) / common)
+    own = F.log(F.lit(total) / F.col("of_entity"))
+    share = F.when(own > 0, F.least(told / own, F.lit(1.0))).otherwise(0.0)
+    rated = pairs.join(held_by, "word").join(of_entity, "entity").withColumn("share", share)
+    action = F.when(F.col("share") >= remove, "remove").otherwise("general")
+    return stage(rated.where(F.col("share") >= generalise).select("entity", "word", "share", action.alias("action")))
+
+
 def _with_actions(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """The documents that hold disclosing words, one row for each id and text. Few ids are broadcast, so texts stay where they are."""
     ids = listed.select("tag").distinct()
@@ -171,12 +216,15 @@ def _with_actions(rows: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def spans(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int = REACH, support: int = SUPPORT,
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int | None = REACH, support: int = SUPPORT,
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """One row per document: id, tag (hash of its text), base findings, and findings of disclosing words."""
     found = find(docs, text, doc_id, reach)
-    words = disclosing_words(docs, found, text, doc_id, support, generalise, remove)
+    if reach is None:
+        pattern, words = TOKEN, whole_text_words(docs, found, text, generalise, remove)
+    else:
+        pattern, words = WORD, disclosing_words(docs, found, text, doc_id, support, generalise, remove)
     if words.isEmpty():
         return found.select("id", "tag", "spans", F.array().cast(f"array<{_SPAN}>").alias("words"))
     holders = found.select("id", "tag", F.explode(F.array_distinct(F.col("near.entity"))).alias("entity"))
@@ -188,7 +236,7 @@ def spans(
     listed = stage(listed)
     rows = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("body")).withColumn("tag", F.xxhash64("body"))
     rows = _with_actions(rows, listed)
-    hits = F.filter(_found(F.col("body"), WORD), lambda s: F.map_contains_key(F.col("actions"), F.lower(s["value"])))
+    hits = F.filter(_found(F.col("body"), pattern), lambda s: F.map_contains_key(F.col("actions"), F.lower(s["value"])))
     hits = F.transform(
         hits,
         lambda s: F.struct(

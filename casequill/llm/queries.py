@@ -40,7 +40,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = disclosure.spans(table(spark, sf_dir, "documents"))
+    found = disclosure.spans(table(spark, sf_dir, "documents"), reach=None)
     kinds = F.transform("spans", lambda s: s["kind"])
     number = {k: (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in disclosure.PATTERNS}
     return found.select(

@@ -1,0 +1,52 @@
+import math
+import re
+
+import edge
+from test_disclosure import brute_base
+
+from casequill.llm import disclosure, queries
+
+
+def _corpus():
+    far = "filler words " * 20
+    data = [(i, f"file {'abcdefgh'[i] * 3} k7 {far} x{i} zed@mail.example.org", "en", "a") for i in range(8)]
+    data += [(i, "once kwib wrote kim@mail.example.org", "en", "a") for i in range(8, 12)]  # copies
+    return data + [(i, f"file {far} number {i} and nothing", "en", "b") for i in range(12, 400)]
+
+
+def brute(data):
+    texts = {t or "" for _, t, *_ in data}
+    words = {t: set(re.findall(r"[^\W_]+", t.lower())) for t in texts}
+    of_entity, of_word = {}, {}
+    for t in texts:
+        for w in words[t]:
+            of_word[w] = of_word.get(w, 0) + 1
+        for kind, start, end in brute_base(t):
+            of_entity.setdefault(f"{kind}:{t[start:end].lower()}", set()).add(t)
+    n, out = len(texts), {}
+    for entity, held in of_entity.items():
+        for w in set().union(*(words[t] for t in held)):
+            p = of_word[w] / n
+            both = sum(w in words[t] for t in held)
+            share = min(1.0, math.log((both + p) / (len(held) + 1) / p) / math.log(n / len(held)))
+            if share >= 0.6:
+                out[entity, w] = share
+    return out
+
+
+def test_shares_match_brute_force(spark):
+    docs = edge.documents(spark, _corpus())
+    got = {(r.entity, r.word): r.share for r in disclosure.whole_text_words(docs, disclosure.find(docs, reach=None)).collect()}
+    expected = brute(_corpus())
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    words = {w for _, w in got}
+    assert {"k7", "kwib"} <= words and not words & {"file", "filler"}
+
+
+def test_query_acts_on_far_short_and_rare_words(spark, tmp_path):
+    edge.documents(spark, _corpus()).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.spans for r in queries.op4_disclosure(spark, str(tmp_path)).collect()}
+    texts = {i: t for i, t, *_ in _corpus()}
+    words = lambda i: {texts[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in found[i].split(",")) if k in ("general", "remove")}
+    assert all("k7" in words(i) for i in range(8)) and all("kwib" in words(i) for i in range(8, 12))
+    assert not any("general" in found[i] or "remove" in found[i] for i in range(12, 400))

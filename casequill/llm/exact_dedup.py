@@ -1,12 +1,13 @@
-"""Exact duplicates by an extendible-hash index kept on shared files.
+"""Exact duplicates by a plain hash aggregation, with the buckets of an extendible-hash directory as a column.
 
 Texts are compared after each run of blanks became one space. A 64-bit hash of the
 normalised text is the key. The directory starts with one slot; while a bucket holds more
 distinct keys than fit, its slots double, so that crowded key ranges end up in many small
-buckets and sparse ones in few. Each bucket is a range of keys. Owner tasks put equal keys of
-their buckets into one chain and compare the texts of a chain byte by byte: a chain has one
-link for each different text. The finished index is written to the shared folder and every
-document is looked up in it.
+buckets and sparse ones in few. Each bucket is a range of keys. Equal texts are found by grouping
+on bucket, key and text, which compares texts byte by byte but is shuffled by the hash of all
+three: no task owns a bucket. Equal keys form one chain with a link for each different text. The
+links are written to the shared folder, not by bucket, and documents are joined with them on key
+and SHA-256 of the text, without the directory.
 
 Copies never meet as a group: a task first folds its own copies of a text into one row with
 the smallest id and a count, and only those rows travel. The directory is the only part that

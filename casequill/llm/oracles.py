@@ -74,9 +74,28 @@ SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS rem
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+HARD_NEGATIVES = r"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+      FROM r AS a, r WHERE a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+       row_number() OVER w::INT AS rank
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 3
+"""
+
 ORACLES = {
     "op5_sentence_spans": SENTENCE_SPANS,
     "op6_metric_join": METRIC_JOIN,
     "op7_mixing": MIXING,
     "op8_exact_dedup": EXACT_DEDUP,
+    "op11_hard_negatives": HARD_NEGATIVES,
 }

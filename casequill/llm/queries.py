@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casequill.llm import disclosure, exact_dedup, language_id, metric_join, mixing, packing, quality, sentence_spans, simhash, token_store
+from casequill.llm import (
+    disclosure, exact_dedup, hard_negatives, language_id, lattice_lm, metric_join, mixing, packing, quality, sentence_spans, simhash,
+    spelling_variants, token_store,
+)
 from casequill.llm.common import table
 
 
 #: the vocabulary that the contracts name
 VOCABULARY = "byte_bpe_50k.json"
+#: the vocabulary whose pieces and scores make up the lattice
+SCORED_VOCABULARY = "piece_bpe_32k.model"
 
 
 def vocabulary_path() -> str:
@@ -20,6 +25,13 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def scored_vocabulary_path() -> str:
+    """Where the public vocabulary with scores of pieces lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(SCORED_VOCABULARY)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("page_id"), "host", "declared", "text_lang", "lang", "score")
@@ -91,6 +103,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", predicted.alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"), change=spelling_variants.one_letter_less(97))
+
+
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    found = lattice_lm.score_documents(table(spark, sf_dir, "documents"), scored_vocabulary_path(), held_out)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -102,4 +130,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_lattice_lm": op13_lattice_lm,
 }

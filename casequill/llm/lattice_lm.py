@@ -45,6 +45,8 @@ FREQUENT, FREQUENT_BYTES = 100_000, 40
 #: discount where no word was seen once or none twice
 DISCOUNT = 0.5
 _LN10 = math.log(10)
+#: letters that go through the lattice at once, and words and bytes of a lot
+_CELLS, _LOT_ROWS, _LOT_BYTES = 1 << 16, 50_000, 4 << 20
 
 
 def read_vocabulary(path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -78,69 +80,153 @@ def read_vocabulary(path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     return pieces, weights, np.array([spelled[b] for b in range(256)])
 
 
-def _sum(a: float, b: float) -> float:
-    """log(exp(a) + exp(b))"""
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
-
-
 class Lattice:
-    """All segmentations of words into pieces; logarithms are natural."""
+    """All segmentations of words into pieces; logarithms are natural. Words of equal length go letter by letter together."""
 
     def __init__(self, pieces: list[str], weights: np.ndarray, spelled: np.ndarray) -> None:
-        self.weights, self.spelled = weights.tolist(), spelled.tolist()
-        bytes_ = set(self.spelled)
-        self.first, self.inner = {}, {}
-        for place, piece in enumerate(pieces):
-            if place in bytes_:
-                continue
-            node = self.first if piece.startswith(MARK) else self.inner
+        self.weights, self.spelled = weights, spelled
+        bytes_ = set(spelled.tolist())
+        whole = [(place, piece) for place, piece in enumerate(pieces) if place not in bytes_]
+        self.letters = np.array(sorted({ord(c) for _, piece in whole for c in piece}) or [0], np.int64)
+        code = {c: i for i, c in enumerate(self.letters.tolist())}
+        steps: dict[int, int] = {}  # from node and letter to node; 0 and 1 are the roots of first and of inner pieces
+        ends = {}
+        for place, piece in whole:
+            node = 0 if piece.startswith(MARK) else 1
             for letter in piece:
-                node = node.setdefault(letter, {})
-            node[""] = place
-
-    def arcs(self, word: str) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-        """(from, to, pieces) by falling ``from``-order of the letters; several pieces only where a letter is spelled in bytes."""
-        text = MARK + word
-        for i in range(len(text)):
-            node, j, single = self.inner if i else self.first, i, False
-            while j < len(text) and (node := node.get(text[j])) is not None:
-                j += 1
-                if "" in node:
-                    single |= j == i + 1
-                    yield i, j, (node[""],)
-            if not single:
-                yield i, i + 1, tuple(self.spelled[b] for b in text[i].encode("utf-8", "replace"))
-
-    def _weighed(self, word: str) -> list[tuple[int, int, tuple[int, ...], float]]:
-        weights = self.weights
-        return [(i, j, p, weights[p[0]] if len(p) == 1 else sum(weights[x] for x in p)) for i, j, p in self.arcs(word)]
-
-    def forward(self, word: str) -> float:
-        """The sum over all segmentations."""
-        alpha, weights = [-math.inf] * (len(word) + 2), self.weights
-        alpha[0] = 0.0
-        for i, j, pieces in self.arcs(word):
-            own = alpha[i]
-            for p in pieces:
-                own += weights[p]
-            alpha[j] = _sum(alpha[j], own)
-        return alpha[-1]
-
-    def expected(self, word: str, counts: np.ndarray) -> None:
-        """Adds how often each piece is used, over all segmentations by their shares."""
-        arcs = self._weighed(word)
-        alpha, beta = [-math.inf] * (len(word) + 2), [-math.inf] * (len(word) + 2)
-        alpha[0] = beta[-1] = 0.0
-        for i, j, _, w in arcs:
-            alpha[j] = _sum(alpha[j], alpha[i] + w)
-        for i, j, _, w in reversed(arcs):
-            beta[i] = _sum(beta[i], beta[j] + w)
-        for i, j, pieces, w in arcs:
-            share = math.exp(alpha[i] + w + beta[j] - alpha[-1])
-            for p in pieces:
-                counts[p] += share
+                node = steps.setdefault(node * len(code) + code[ord(letter)], len(steps) + 2)
+            ends[node] = place
+        self.steps = np.array(sorted(steps) or [-1], np.int64)
+        self.nodes = np.array([steps[x] for x in self.steps.tolist()] if steps else [0], np.int64)
+        self.ends = np.full(len(steps) + 2, -1, np.int64)
+        self.ends[list(ends)] = list(ends.values())
+        self.longest = max((len(piece) for _, piece in whole), default=1)
+
+    def _bytes(self, point: int) -> np.ndarray:
+        return self.spelled[list(chr(point).encode("utf-8", "replace"))]
+
+    def _blocks(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words of one length and their code points, the mark first."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            n = int(lengths[same[0]]) + 1 if len(same) else 1
+            for start in range(0, len(same), max(1, _CELLS // n)):
+                few = same[start : start + max(1, _CELLS // n)]
+                text = "".join(MARK + words[i] for i in few.tolist())
+                yield few, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(few), n).astype(np.int64)
+
+    def _arcs(self, points: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and pieces of the arcs from the letters ``low`` to ``high - 1`` on, by word, letter and length less one.
+
+        Piece -1 with a weight spells a letter in bytes, where it is no piece.
+        """
+        words, n = points.shape
+        own = points[:, low : high + self.longest]
+        codes = np.minimum(np.searchsorted(self.letters, own), len(self.letters) - 1)
+        codes = np.where(self.letters[codes] == own, codes, -1)
+        found = []
+        word, at = np.divmod(np.arange(words * (high - low)), high - low)
+        node = (at + low > 0).astype(np.int64)
+        for length in range(self.longest):
+            inside = at + low + length < n
+            word, at, node = word[inside], at[inside], node[inside]
+            code = codes[word, at + length]
+            key = node * len(self.letters) + code
+            step = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            ok = (self.steps[step] == key) & (code >= 0)
+            word, at, node = word[ok], at[ok], self.nodes[step[ok]]
+            if not len(node):
+                break
+            piece = self.ends[node]
+            hit = piece >= 0
+            found.append((word[hit], at[hit], piece[hit]))
+        weights = np.full((words, high - low, max(1, len(found))), -np.inf)
+        pieces = np.full(weights.shape, -1, np.int32)
+        for length, (word, at, piece) in enumerate(found):
+            weights[word, at, length], pieces[word, at, length] = self.weights[piece], piece
+        odd = pieces[:, :, 0] < 0
+        letters, place = np.unique(points[:, low:high][odd], return_inverse=True)
+        weights[:, :, 0][odd] = np.array([self.weights[self._bytes(x)].sum() for x in letters.tolist()])[place] if len(letters) else 0
+        return weights, pieces
+
+    def _alpha(self, points: np.ndarray) -> np.ndarray:
+        """Log-sums of all beginnings, from the empty one on; long words go on in parts."""
+        words, n = points.shape
+        wide = self.longest
+        alpha = np.full((words, wide + n + 1), -np.inf)  # shifted, so that every end has ``wide`` places before it
+        alpha[:, wide] = 0
+        for low in range(0, n, _CELLS):
+            high, base = min(n, low + _CELLS), max(0, low + 1 - wide)
+            weights, _ = self._arcs(points, base, high)
+            most = weights.shape[2]
+            ending = np.full((high - low, words, most), -np.inf)  # by end, the shortest arc last
+            for length in range(1, most + 1):
+                first = max(base, low + 1 - length)
+                if first <= high - length:
+                    arcs = weights[:, first - base : high + 1 - length - base, length - 1]
+                    ending[first + length - 1 - low : high - low, :, most - length] = arcs.T
+            for end in range(low + 1, high + 1):
+                alpha[:, wide + end] = _log_sum(alpha[:, wide + end - most : wide + end] + ending[end - 1 - low])
+        return alpha[:, wide:]
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """The sum over all segmentations of each word."""
+        sums = np.zeros(len(words))
+        for places, points in self._blocks(words):
+            sums[places] = self._alpha(points)[:, -1]
+        return sums
+
+    def expected(self, words: list[str]) -> np.ndarray:
+        """How often each piece is used in the words, over all segmentations by their shares."""
+        counts, wide = np.zeros(len(self.weights)), self.longest
+        for _, points in self._blocks(words):
+            alpha, n = self._alpha(points), points.shape[1]
+            beta = np.full((len(points), n + 1 + wide), -np.inf)
+            beta[:, n] = 0
+            for low in range((n - 1) // _CELLS * _CELLS, -1, -_CELLS):
+                high = min(n, low + _CELLS)
+                weights, pieces = self._arcs(points, low, high)
+                most = weights.shape[2]
+                for i in range(high - 1, low - 1, -1):
+                    beta[:, i] = _log_sum(weights[:, i - low] + beta[:, i + 1 : i + 1 + most])
+                whole = pieces >= 0
+                word, i, length = np.nonzero(whole)
+                used = np.exp(alpha[word, low + i] + weights[whole] + beta[word, low + i + length + 1] - alpha[word, -1])
+                counts += np.bincount(pieces[whole], used, len(counts))
+                odd = ~whole[:, :, 0]
+                word, i = np.nonzero(odd)
+                used = np.exp(alpha[word, low + i] + weights[:, :, 0][odd] + beta[word, low + i + 1] - alpha[word, -1])
+                letters, place = np.unique(points[word, low + i], return_inverse=True)
+                for letter, times in zip(letters.tolist(), np.bincount(place, used).tolist()):
+                    np.add.at(counts, self._bytes(letter), times)
+        return counts
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log(sum(exp(x))) along the last axis; no row is all -inf."""
+    if x.shape[1] == 1:
+        return x[:, 0]
+    most = x.max(axis=1)
+    x -= most[:, None]
+    return most + np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in lots that are worth the while; the first column has the words."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.column(0).nbytes
+        if rows >= _LOT_ROWS or size >= _LOT_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows, size = [], 0, 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _decoded(words: pa.ChunkedArray) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in words.to_pylist()]
 
 
 def _words(docs: DataFrame, text: str, doc_id: str, held_out: Column) -> DataFrame:
@@ -176,9 +262,8 @@ def fit(words: DataFrame, vocabulary: tuple, rounds: int = ROUNDS, prior: float
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, own = np.zeros(len(start)), lattice.here()
-            for batch in batches:
-                for word in batch.column(0):
-                    own.expected(word.as_py().decode("utf-8", "replace"), counts)
+            for lot in _together(batches):
+                counts += own.expected(_decoded(lot.column(0)))
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["piece", "used"])
 
@@ -214,15 +299,15 @@ def _scored(words: DataFrame, vocabulary: tuple, weights: np.ndarray, facts: dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = shared.here()
-        for batch in batches:
-            c = batch.column(1).to_numpy().astype(float)
-            paths = np.array([lattice.forward(w.as_py().decode("utf-8", "replace")) for w in batch.column(0)])
+        for lot in _together(batches):
+            c = lot.column(1).to_numpy().astype(float)
+            paths = lattice.forward(_decoded(lot.column(0)))
             score = paths
             if n:
                 with np.errstate(divide="ignore"):
                     score = np.logaddexp(np.log(np.maximum(c - discount, 0) / n), math.log(discount * kinds / n) + paths)
             base = np.log10((c + 1) / (n + kinds + 1))
-            columns = [batch.column(0), pa.array(c > 0), pa.array(base), pa.array(score / _LN10), pa.array(paths / _LN10)]
+            columns = [lot.column(0).combine_chunks(), pa.array(c > 0), pa.array(base), pa.array(score / _LN10), pa.array(paths / _LN10)]
             yield pa.RecordBatch.from_arrays(columns, ["word", "known", "base", "score", "paths"])
 
     return words.select("word", "c").mapInArrow(run, "word binary, known boolean, base double, score double, paths double")
@@ -252,7 +337,7 @@ def score_documents(
     each = _each_word(documents).select("row", "word", "k")
     add = [F.sum(F.col("k") * F.col(x)).alias(x) for x in ("base", "score", "paths")] + [F.sum(F.when(F.col("known"), F.col("k")).otherwise(0)).alias("known")]
     often = each.join(F.broadcast(common), "word").groupBy("row").agg(*add)
-    seldom = each.join(F.broadcast(common.select("word")), "word", "left_anti").join(rare.hint("shuffle_hash"), "word").groupBy("row").agg(*add)
+    seldom = each.join(F.broadcast(common.select("word")), "word", "left_anti").join(rare, "word").groupBy("row").agg(*add)
     sums = often.union(seldom).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("base", "score", "paths", "known")])
     base_end = math.log10((ends + 1) / (n + kinds + 1))
     end = math.log10(max(ends - facts["discount"], 1e-9) / n) if n else 0.0

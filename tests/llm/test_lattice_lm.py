@@ -44,21 +44,39 @@ def brute_paths(word, vocabulary):
 @pytest.mark.parametrize("word", ["", "a", "abc", "abab", "xab", "aébc", "▁a", "漢a"])
 def test_forward_sums_all_segmentations(word):
     lattice = lattice_lm.Lattice(*_tiny())
-    assert math.isclose(math.exp(lattice.forward(word)), brute_paths(word, _tiny()), rel_tol=1e-9)
+    assert math.isclose(math.exp(lattice.forward(["a", word, "xyz"])[1]), brute_paths(word, _tiny()), rel_tol=1e-9)
 
 
 def test_expected_counts_are_the_gradient():
     """The expected use of a piece is the derivative of the log-probability by its weight."""
     pieces, weights, spelled = _tiny()
-    counts = np.zeros(len(pieces))
-    lattice_lm.Lattice(pieces, weights, spelled).expected("abcxab", counts)
+    counts = lattice_lm.Lattice(pieces, weights, spelled).expected(["abcxab"])
     for place in (256, 257, 258, 259, 260, 262, ord("x")):
         up = weights.copy()
         up[place] += 1e-6
-        change = lattice_lm.Lattice(pieces, up, spelled).forward("abcxab") - lattice_lm.Lattice(pieces, weights, spelled).forward("abcxab")
+        change = lattice_lm.Lattice(pieces, up, spelled).forward(["abcxab"])[0] - lattice_lm.Lattice(pieces, weights, spelled).forward(["abcxab"])[0]
         assert math.isclose(change / 1e-6, counts[place], rel_tol=1e-4, abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("cells", [1, 3, 7])
+def test_words_in_parts(monkeypatch, cells):
+    lattice, words = lattice_lm.Lattice(*_tiny()), ["abcabxabcab漢abc", "a", "", "bcabcabcab", "xxxxxabxxx"]
+    whole, used = lattice.forward(words), lattice.expected(words)
+    monkeypatch.setattr(lattice_lm, "_CELLS", cells)
+    assert np.allclose(lattice.forward(words), whole) and np.allclose(lattice.expected(words), used)
+
+
+def test_expected_counts_of_long_words():
+    """A word of thousands of letters uses pieces as its parts do."""
+    pieces, weights, spelled = _tiny()
+    lattice = lattice_lm.Lattice(pieces, weights, spelled)
+    long, longer = lattice.expected(["abcx漢" * 1000]), lattice.expected(["abcx漢" * 2000])
+    place = {p: i for i, p in enumerate(pieces)}
+    for piece in ("a", "ab", "bc", "abc"):
+        assert math.isclose((longer[place[piece]] - long[place[piece]]) / 1000, long[place[piece]] / 1000, rel_tol=1e-2)
+    assert math.isclose(long[ord("x")], 1000, rel_tol=1e-9) and math.isclose(longer[0xE6], 2000, rel_tol=1e-9)
+
+
 def tokens(text):
     return [w.lower() for w in (text or "").encode().split()]
 
@@ -114,7 +132,7 @@ def test_whole_scores(spark):
     for i, text in data:
         want = math.log10((counts[None] - discount) / n)
         for word in text.split():
-            want += math.log10(max(counts[word] - discount, 0) / n + discount * kinds / n * math.exp(lattice.forward(word)))
+            want += math.log10(max(counts[word] - discount, 0) / n + discount * kinds / n * math.exp(lattice.forward([word])[0]))
         assert math.isclose(found[i].score, want, rel_tol=1e-6)
 
 

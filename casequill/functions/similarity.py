@@ -1,47 +1,43 @@
-"""Word similarity on pairs that survived the cheap native bounds."""
+"""Word similarity."""
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: letters of two words together from which an index of letters beats substring search
+_INDEXED = 200
 
-def ratio_udf():
-    """Arrow UDF (source, target) -> matching-blocks ratio over word pairs.
-
-    The longest common block, then the same on both sides of it. Words are short, so
-    substring search beats building an index per pair. The body is self-contained so that
-    workers need nothing but the standard library.
-    """
 
-    @F.pandas_udf(DoubleType())
-    def ratio(source: pd.Series, target: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
+def matched(a: str, b: str) -> int:
+    """Letters in matching blocks: the longest common block, then the same on both sides of it."""
+    for size in range(min(len(a), len(b)), 0, -1):
+        for i in range(len(a) - size + 1):
+            j = b.find(a[i : i + size])
+            if j >= 0:
+                return size + matched(a[:i], b[:j]) + matched(a[i + size :], b[j + size :])
+    return 0
 
-        def matched(a: str, b: str) -> int:
-            for size in range(min(len(a), len(b)), 0, -1):
-                for i in range(len(a) - size + 1):
-                    j = b.find(a[i : i + size])
-                    if j >= 0:
-                        return size + matched(a[:i], b[:j]) + matched(a[i + size :], b[j + size :])
-            return 0
 
-        def of(a: str, b: str) -> float:
-            if len(b) >= 100:  # very long tokens: the indexed matcher, with its rule for popular letters
-                return SequenceMatcher(None, a, b).ratio()
-            total = len(a) + len(b)
-            return 2.0 * matched(a, b) / total if total else 1.0
+def block_ratio(a: str, b: str) -> float:
+    """Twice the letters in matching blocks over all letters; one definition for words of any length."""
+    if len(a) + len(b) > _INDEXED:
+        return SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return 2.0 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
 
-        return pd.Series([of(a, b) for a, b in zip(source, target)], dtype="float64")
 
-    return ratio
+def ratio_udf():
+    """Arrow UDF (source, target) -> ``block_ratio`` over word pairs."""
 
+    @F.pandas_udf(DoubleType())
+    def ratio(source: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([block_ratio(a, b) for a, b in zip(source, target)], dtype="float64")
 
-def edit_ratio(source: Column, target: Column) -> Column:
-    """1 - edit distance / longer length; stays inside the generated code."""
-    return 1.0 - F.levenshtein(source, target) / F.greatest(F.length(source), F.length(target))
+    return ratio
 
 
 def max_edits(source_len: Column, target_len: Column, ratio: float) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casequill.functions import chars
-from casequill.functions.similarity import edit_ratio, max_edits, ratio_udf
 from casequill.functions.spans import (
     MARK,
     by_start,
@@ -28,11 +27,11 @@ from casequill.functions.spans import (
     rule_array,
     substring_of,
 )
-from casequill.functions.text import copy_capital, is_upper, nfc, strip_accents
+from casequill.functions.text import copy_capital, is_upper, nfc
 from casequill.operators.sizing import MAX_BROADCAST_ROWS, is_small
 from casequill.operators.staging import stage
+from casequill.operators.word_index import nearest
 from casequill.sources import rules
-from casequill.sources.dictionary import letter_signature
 
 ISSUE_TYPE = (
     "struct<start:int,end:int,kind:string,severity:string,suggestion:string,"
@@ -323,140 +322,6 @@ MIN_BASE_RATIO = 0.67
 MIN_RATIO, MIN_RATIO_CAPITAL = 0.78, 0.86
 
 
-def _pair_join(
-    sources: DataFrame,
-    lookup: DataFrame,
-    base_ratio: float,
-    max_broadcast: int,
-    salts: int,
-    partitions: int | None,
-    exact: bool,
-    exact_ratio: float | None = None,
-):
-    """Both sides and the condition of the length-blocked word join."""
-    if partitions is None:
-        partitions = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # few bytes but much work per word: a fixed number of partitions, which adaptive
-    # execution does not coalesce; the ranking per word reuses this partitioning. The
-    # coalesce calls make the computed columns non-nullable: a nullable one in a join
-    # condition gets a derived "is not null" filter, computed on every token of the input.
-    prepared = (
-        sources.select("word", "source")
-        .repartition(partitions, "word")
-        .withColumn("source_skeleton", F.coalesce(strip_accents(F.col("source")), F.lit("")))
-        .select(
-            "word",
-            "source",
-            "source_skeleton",
-            F.coalesce(F.length("source"), F.lit(0)).alias("source_len"),
-            F.coalesce(F.length("source_skeleton"), F.lit(0)).alias("source_skeleton_len"),
-            F.coalesce(letter_signature(F.col("source_skeleton")), F.lit(0).cast("bigint")).alias("source_signature"),
-        )
-    )
-    banded = prepared.withColumn(
-        "word_len",
-        F.explode(F.sequence(F.greatest(F.lit(1), F.col("source_len") - 2), F.col("source_len") + 2)),
-    )
-    names = lookup.select(
-        F.col("word").alias("candidate"),
-        F.col("word_len").alias("candidate_len"),
-        F.col("skeleton").alias("candidate_skeleton"),
-        F.coalesce(F.length("skeleton"), F.lit(0)).alias("candidate_skeleton_len"),
-        F.col("signature").alias("candidate_signature"),
-    )
-    condition = F.col("word_len") == F.col("candidate_len")
-    if is_small(names, max_broadcast):
-        names = F.broadcast(names)
-    else:
-        banded = banded.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(salts)))
-        names = names.withColumn(
-            "candidate_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
-        )
-        condition = condition & (F.col("salt") == F.col("candidate_salt"))
-
-    # threshold argument: stops early and gives -1 beyond the bound
-    def within(a: str, b: str, bound: Column) -> Column:
-        return F.call_function("levenshtein", F.col(a), F.col(b), bound) >= 0
-
-    limit = max_edits(F.col("source_skeleton_len"), F.col("candidate_skeleton_len"), base_ratio)
-    differing = F.bit_count(F.col("source_signature").bitwiseXOR(F.col("candidate_signature")))
-    # cheapest test first. All of it stays in the join condition: a later filter would be
-    # moved in front of the signature test and run on every pair of a length.
-    condition = condition & (differing <= limit) & within("source_skeleton", "candidate_skeleton", limit)
-    if not exact:
-        base = edit_ratio(F.col("source_skeleton"), F.col("candidate_skeleton"))
-        condition = condition & (base >= base_ratio)
-    if exact_ratio is not None:
-        bound = max_edits(F.col("source_len"), F.col("candidate_len"), exact_ratio)
-        condition = condition & within("source", "candidate", bound)
-    return banded, names, condition
-
-
-def candidate_pairs(
-    sources: DataFrame,
-    lookup: DataFrame,
-    base_ratio: float = MIN_BASE_RATIO,
-    max_broadcast: int = MAX_BROADCAST_ROWS,
-    salts: int = 32,
-    partitions: int | None = None,
-    exact: bool = True,
-) -> DataFrame:
-    """Word pairs within two letters of length that can reach ``base_ratio``.
-
-    ``sources(word, source)`` are distinct; ``lookup`` is the dictionary with skeletons.
-    The join is on length. Its residual conditions are lower bounds of the edit distance
-    (letter signature, then banded edit distance), inside the join operator, so a pair
-    that cannot qualify is never a row and none that can is lost. Dictionaries beyond the
-    broadcast bound are spread over ``salts`` copies of each length so that a frequent
-    length is no single task.
-    """
-    banded, names, condition = _pair_join(
-        sources, lookup, base_ratio, max_broadcast, salts, partitions, exact
-    )
-    return banded.join(names, condition).select(
-        "word", "source", "source_skeleton", "candidate", "candidate_skeleton"
-    )
-
-
-def hopeful_words(
-    sources: DataFrame,
-    lookup: DataFrame,
-    ratio: float,
-    max_broadcast: int = MAX_BROADCAST_ROWS,
-    salts: int = 32,
-    partitions: int | None = None,
-) -> DataFrame:
-    """Words with some candidate whose exact form can reach ``ratio``: a semi join, no pairs."""
-    banded, names, condition = _pair_join(
-        sources, lookup, MIN_BASE_RATIO, max_broadcast, salts, partitions, True, ratio
-    )
-    return banded.join(names, condition, "left_semi").select("word", "source").distinct()
-
-
-def score_pairs(pairs: DataFrame, exact: bool = True) -> DataFrame:
-    """Add ratio and score: 0.65 of the exact form plus 0.35 of the accent-free form.
-
-    ``exact`` uses the matching-blocks ratio (Arrow UDF on the surviving pairs);
-    otherwise one minus the relative edit distance, all native.
-    """
-    if exact:
-        base = pairs.withColumn(
-            "base_ratio", ratio_udf()(F.col("source_skeleton"), F.col("candidate_skeleton"))
-        ).where(F.col("base_ratio") >= MIN_BASE_RATIO)
-        scored = base.withColumn("ratio", ratio_udf()(F.col("source"), F.col("candidate")))
-    else:
-        # the join has already applied the bound on the base ratio
-        scored = pairs.withColumn(
-            "base_ratio", edit_ratio(F.col("source_skeleton"), F.col("candidate_skeleton"))
-        ).withColumn("ratio", edit_ratio(F.col("source"), F.col("candidate")))
-    return scored.select(
-        "word",
-        "candidate",
-        "ratio",
-        (F.col("ratio") * 0.65 + F.col("base_ratio") * 0.35).alias("score"),
-    )
-
-
 def top_suggestions(scored: DataFrame, limit: int = 3) -> DataFrame:
     """Best candidates per word: score, then shorter, then alphabetical. The rank filter is
     applied before the shuffle as well."""
@@ -469,24 +334,24 @@ def top_suggestions(scored: DataFrame, limit: int = 3) -> DataFrame:
 def suggestions(
     sources: DataFrame, lookup: DataFrame, limit: int = 3, exact: bool = True, base_ratio: float = MIN_BASE_RATIO
 ) -> DataFrame:
-    """Top suggestions for distinct words: word, rank, candidate, ratio, score."""
-    return top_suggestions(score_pairs(candidate_pairs(sources, lookup, base_ratio, exact=exact), exact), limit)
+    """Top suggestions for distinct words: word, rank, candidate, ratio, score.
+
+    ``sources(word, source)``; ``lookup`` is the dictionary with accent-free forms. The score is 0.65 of the ratio
+    and 0.35 of the accent-free forms' ratio, by matching blocks, or by edits where not ``exact``.
+    """
+    return top_suggestions(nearest(sources, lookup, base_ratio, limit, exact), limit)
 
 
 def corrections(unknown: DataFrame, words: DataFrame, lookup: DataFrame, exact: bool = True) -> DataFrame:
     """``word, suggestion, ratio`` for distinct unknown words with an acceptable best suggestion.
 
-    Words whose composed form is in the dictionary drop out here (text in decomposed
-    Unicode). A word can only be reported when some candidate reaches 0.78 on the exact
-    form, so words without one inside that bound are dropped before any pair is built.
+    Words whose composed form is in the dictionary drop out here (text in decomposed Unicode).
     """
     distinct = unknown.select("word").distinct().withColumn("source", nfc(F.col("word")))
     fresh = distinct.join(words.select(F.col("word").alias("source")), "source", "left_anti").where(
         F.length("source") > 1
     )
-    if exact:
-        fresh = hopeful_words(fresh, lookup, MIN_RATIO)
-    best = top_suggestions(score_pairs(candidate_pairs(fresh, lookup, exact=exact), exact), 1)
+    best = suggestions(fresh, lookup, 1, exact)
     return best.where(F.col("ratio") >= MIN_RATIO).select(
         "word", F.col("candidate").alias("suggestion"), "ratio"
     )

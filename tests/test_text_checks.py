@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casequill.functions import spans as SP
 from casequill.functions import text as TX
-from casequill.operators import spell
+from casequill.operators import spell, word_index
 from casequill.sources import dictionary as DI
 from casequill.sources import documents as DOC
 from casequill.sources import rules
@@ -124,7 +124,7 @@ def test_dictionary_check(spark, words):
     assert [(g[1], g[3]) for g in got if g[0] == 5] == [("kiểmm", 27)]
 
 
-def test_suggestions_against_brute_force(spark, words):
+def test_suggestions_against_brute_force(spark, words, monkeypatch):
     known = [r.word for r in words.collect()]
     unknown = ["kiemm", "quyêt", "thẫm", "hanhh", "zzzz", "xử1", "viênn", "co"]
 
@@ -142,10 +142,11 @@ def test_suggestions_against_brute_force(spark, words):
         return [c for _, _, c in sorted(scored)[:3]]
 
     src = spark.createDataFrame([(w, w) for w in unknown], "word string, source string")
-    for bound in (1_000_000, 10):  # broadcast, and the salted shuffle beyond the bound
-        pairs = spell.candidate_pairs(src, DI.lookup_table(words), max_broadcast=bound)
+    for rows in (4096, 10):  # a block for each tag, and several
+        monkeypatch.setattr(word_index, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(word_index, "SLICE_ROWS", rows)
         got = {}
-        for r in spell.top_suggestions(spell.score_pairs(pairs)).orderBy("word", "rank").collect():
+        for r in spell.suggestions(src, DI.lookup_table(words)).orderBy("word", "rank").collect():
             got.setdefault(r.word, []).append(r.candidate)
         assert got == {w: expected(w) for w in unknown if expected(w)}
 

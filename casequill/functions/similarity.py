@@ -14,13 +14,17 @@ _INDEXED = 200
 
 
 def matched(a: str, b: str) -> int:
-    """Letters in matching blocks: the longest common block, then the same on both sides of it."""
-    for size in range(min(len(a), len(b)), 0, -1):
-        for i in range(len(a) - size + 1):
-            j = b.find(a[i : i + size])
-            if j >= 0:
-                return size + matched(a[:i], b[:j]) + matched(a[i + size :], b[j + size :])
-    return 0
+    """Letters in matching blocks: the longest common block, the first of equal ones, then the same on both sides of it."""
+    if not a or not b:
+        return 0
+    size = at = 0
+    for i in range(len(a)):
+        while i + size < len(a) and a[i : i + size + 1] in b:
+            size, at = size + 1, i
+    if not size:
+        return 0
+    j = b.find(a[at : at + size])
+    return size + matched(a[:at], b[:j]) + matched(a[at + size :], b[j + size :])
 
 
 def block_ratio(a: str, b: str) -> float:

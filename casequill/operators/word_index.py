@@ -36,7 +36,7 @@ LONG = 60
 #: letters by which the lengths of a pair may differ
 LENGTHS = 2
 #: dictionary words of a tag in one block, asked words of a tag in one slice
-BLOCK_ROWS, SLICE_ROWS = 4096, 16_384
+BLOCK_ROWS, SLICE_ROWS = 4096, 4096
 #: asked words that meet a block at once
 _TOGETHER = 128
 #: letters whose first and second occurrence make up the bounding set
@@ -284,6 +284,7 @@ def nearest(sources: DataFrame, lookup: DataFrame, base_ratio: float, limit: int
     differs by ``LENGTHS`` at most and its accent-free form reaches ``base_ratio``. ``exact`` measures matching blocks, else edits.
     """
     spark = sources.sparkSession
+    sources, lookup = stage(sources.select("word", "source")), stage(lookup.select("word", "skeleton"))  # each is read several times
     forms = sources.select(F.col("source").alias("word"), strip_accents(F.col("source")).alias("skeleton")).distinct()
     order, marks = _order(lookup)
     marks = max(marks, forms.agg(F.max(F.length("word") - F.length("skeleton"))).first()[0] or 0)
@@ -330,4 +331,4 @@ def nearest(sources: DataFrame, lookup: DataFrame, base_ratio: float, limit: int
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = home.union(guests).repartition(partitions, "tag", "block", "slice").sortWithinPartitions("tag", "block", "slice", "guest", F.length("word"))
     found = ordered.mapInArrow(run, "source string, candidate string, ratio double, score double")
-    return found.join(sources.select("word", "source"), "source").select("word", "candidate", "ratio", "score")
+    return found.join(sources, "source").select("word", "candidate", "ratio", "score")

@@ -8,10 +8,9 @@ All spans of all documents are hashed to 128 bits and joined globally: the occur
 smallest (document, sentence) is the first one. Sentences that any non-first occurrence of a
 repeated span covers are removed.
 
-Hashes are counted, and their first occurrence found, before the shuffle, so a passage that a
-third of the documents hold is one row for each task. Repeated hashes then meet their
-occurrences again; that join is of narrow rows, which adaptive execution splits where one hash
-is hot. Removed sentences come back to their documents as one short list for each.
+Hashes alone are counted first, in the tasks before the shuffle, so a passage that a third of the
+documents hold is one row for each task. Only spans of repeated hashes go on, by a semi join whose hot
+hashes adaptive execution splits; their first occurrences are found among those few. Removed sentences come back to their documents as one short list for each.
 
 Defined cases: a null text counts as empty. Rows with equal ids are told apart by their texts; rows
 that repeat id and text are one document here, kept or cut alike. Null ids come first. A text
@@ -81,8 +80,11 @@ def repeated_sentences(
     worded = rows.select("id", F.xxhash64("body").alias("tag"), _worded(F.col("body")).alias("worded"))
     spans = stage(worded.select("id", "tag", F.inline(_spans(F.col("worded"), run, long_words, least_words))))
     place = F.struct("id", "tag", "at", "to")
-    first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = spans.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    repeated = spans.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    # repeated hashes grow with the input, so they are not broadcast at any size
+    held = stage(spans.join(repeated.hint("merge"), ["h1", "h2"], "left_semi"))
+    first = held.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    again = held.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = again.select("id", "tag", F.sequence("at", "to").alias("covered"))
     return covered.groupBy("id", "tag").agg(
         F.count("*").alias("n_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("removed")

@@ -50,6 +50,8 @@ SHARD_BYTES = 128 << 20
 GAMMA = 2
 LEVELS = 32
 MAGIC = b"CQTOKEN1"
+#: most tasks that read a store at once
+MOST_READERS = 10_000
 #: payload bytes that are read at once
 _READ = 8 << 20
 
@@ -230,6 +232,11 @@ def _starts(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
+def _readers(manifest: DataFrame) -> int:
+    """Tasks that read shards. Named, since adaptive execution sees the few bytes of the manifest only."""
+    return max(1, min(MOST_READERS, manifest.count()))
+
+
 def read_store(folder: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row per document from the files: key, start, n_tokens, ids_crc32, and ``ids`` where asked for.
 
@@ -261,7 +268,7 @@ def read_store(folder: str, manifest: DataFrame, with_ids: bool = False) -> Data
 
     shards = _starts(manifest).select("name", "start")
     schema = ", ".join(f"{x} bigint" for x in names) + ", ids binary" * with_ids
-    return shards.repartition(F.col("name")).mapInArrow(run, schema)
+    return shards.repartition(_readers(manifest), F.col("name")).mapInArrow(run, schema)
 
 
 def lookup(folder: str, manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -300,5 +307,5 @@ def lookup(folder: str, manifest: DataFrame, keys: DataFrame, key: str = "doc_id
             yield pa.RecordBatch.from_arrays(columns, ["key", "place", "n_tokens", "ids"])
 
     asked = keys.select(F.col(key).cast("bigint").alias("key")).where("key IS NOT NULL").distinct()
-    routed = asked.mapInArrow(route, "name string, key bigint").repartition("name").sortWithinPartitions("name", "key")
+    routed = asked.mapInArrow(route, "name string, key bigint").repartition(_readers(manifest), "name").sortWithinPartitions("name", "key")
     return routed.mapInArrow(probe, "key bigint, place bigint, n_tokens bigint, ids binary")

@@ -8,8 +8,8 @@ text repeats them. A part that is not remembered is split into its pieces, whose
 remembered as well, and only for a new piece the library's model is asked.
 
 Memos are bounded and belong to one Python worker. Texts in which a space stands between blanks
-or ends a run of them, parts with letters beyond Latin ones, and vocabularies of other kinds go
-to the library whole.
+or ends a run of them, texts with the string of an added token, which the library gives that token's id, parts
+with letters beyond Latin ones, and vocabularies of other kinds go to the library whole.
 """
 
 from __future__ import annotations
@@ -64,7 +64,6 @@ class Encoder(dict):
     def __init__(self, path: str) -> None:
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         kinds = json.loads(self.library.to_str())
         splits = kinds["pre_tokenizer"] or {}
         self.in_parts = (
@@ -72,6 +71,7 @@ class Encoder(dict):
             and splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space")
         )
         self.pieces = _Pieces(self.library.model)
+        self.added = [token["content"] for token in kinds["added_tokens"]]
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -98,7 +98,7 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         """All ids of the text."""
-        if not self.in_parts or _SPACE_IN_BLANKS.search(text):
+        if not self.in_parts or any(token in text for token in self.added) or _SPACE_IN_BLANKS.search(text):
             return self.whole(text)
         first, *parts = text.split(" ")
         return self.part(first) + b"".join(map(self.__getitem__, parts))

@@ -17,9 +17,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(PATH)
 
 
 def _ids(library, text):
@@ -33,6 +31,11 @@ def test_parts_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == _ids(encoder.library, text)
 
 
+@pytest.mark.parametrize("text", ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", "<|endoftext|", " <|endoftext|>\n"])
+def test_added_tokens_as_the_library_reads_them(library, text):
+    assert np.frombuffer(Encoder.of(PATH).encode(text), "<u4").tolist() == _ids(library, text)
+
+
 def test_full_memos_start_anew(monkeypatch, library):
     from casequill.llm import tokens
 

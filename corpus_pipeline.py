@@ -13,12 +13,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casequill.llm import exact_dedup, mixing, packing, quality, shingle_sets
+from casequill.llm import exact_dedup, mixing, packing, quality, simhash
 from casequill.llm.common import table
 from casequill.llm.queries import vocabulary_path
 from casequill.operators.staging import stage
 
 
+#: words of a shingle in the near-dedup stage
+SHINGLE_WORDS = 5
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labelled ones among them."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
@@ -30,8 +34,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its five-word shingles, pair by pair."""
-    return shingle_sets.representatives(docs)
+    """One document of each group whose fingerprints of five-word shingles differ by few bits."""
+    return simhash.representatives(docs, width=SHINGLE_WORDS)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +51,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality classifier", good_documents),
     ("exact dedup", distinct_documents),
-    ("near dedup", no_near_copies),
+    ("SimHash near-dedup", no_near_copies),
     ("mixing", mixed_documents),
     ("packing", packed_sequences),
 ]

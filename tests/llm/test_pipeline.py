@@ -25,12 +25,11 @@ def test_rows_match_brute_force(spark):
     for i in sorted(rows):
         low.setdefault(re.sub("[\x20\x09-\x0d]+", " ", rows[i].text or ""), i)
     kept = sorted(low.values())
-    prints = {i: brute_print(rows[i].text or "") for i in kept}
+    prints = {i: brute_print(rows[i].text or "", 5) for i in kept}
     component = components_of(kept, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
     kept = [i for i in kept if component[i] == i]
     drawn = brute_mix([(i, rows[i].text, rows[i].lang, rows[i].source) for i in kept])
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     expected = []
     for i, _, _ in drawn:
         ids, start = np.array([*library.encode(rows[i].text or "", add_special_tokens=False).ids, 1], "<u4"), 0
@@ -54,6 +53,9 @@ def test_stages_keep_columns_and_stand_empty_tables(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_have_rows_for_their_whole_table(spark, name):
     found = queries.QUERIES[name](spark, SF)
+    if name.split("_")[0] in ("op11", "op12"):  # rows of anchors and of words
+        assert found.count() > 0
+        return
     names = {"op1": "pages", "op6": "embeddings"}
     key = {"op1": "page_id", "op6": "vec_id"}.get(name.split("_")[0], "doc_id")
     whole = table(spark, SF, names.get(name.split("_")[0], "documents"))

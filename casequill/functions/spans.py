@@ -17,6 +17,8 @@ STAND_IN = "\u0002"
 SPAN_TYPE = "array<struct<start:int,end:int>>"
 #: hits folded at a time; keeps the array appends short for texts with many hits
 BLOCK = 32
+#: characters of context on each side of a finding
+CONTEXT_RADIUS = 55
 
 
 def let(value: Column, body) -> Column:
@@ -67,6 +69,16 @@ def _block_spans(block: Column) -> Column:
     )
 
 
+def prefix_sums(lengths: Column) -> Column:
+    """The sum of the lengths before each element."""
+
+    def step(acc: Column, n: Column) -> Column:
+        return F.struct((acc["pos"] + n).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+
+
 def spans_of_lengths(lengths: Column) -> Column:
     """Spans from ``[gap, hit, ..., gap]`` lengths: prefix sums, in blocks."""
 
@@ -215,7 +227,7 @@ def mark_ranges(text: Column, edits: Column) -> Column:
     return F.when(F.size(edits) == 0, escape_html(text)).otherwise(let(F.array_sort(edits), build))
 
 
-def context_snippet(text: Column, start: Column, end: Column, radius: int = 55) -> Column:
+def context_snippet(text: Column, start: Column, end: Column, radius: int = CONTEXT_RADIUS) -> Column:
     """``radius`` characters on both sides, line breaks as blanks, an ellipsis on cut sides."""
     left = F.greatest(F.lit(0), start - radius)
     right = F.least(F.length(text), end + radius)

@@ -8,7 +8,7 @@ computed per distinct word, and joined back to the few tokens concerned.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from casequill.functions import chars
 from casequill.functions.spans import (
+    CONTEXT_RADIUS,
     MARK,
     by_start,
     context_snippet,
@@ -24,7 +25,9 @@ from casequill.functions.spans import (
     keep_free,
     let,
     mark_hits,
+    prefix_sums,
     rule_array,
+    spans_of_lengths,
     substring_of,
 )
 from casequill.functions.text import copy_capital, is_upper, nfc
@@ -200,122 +203,138 @@ def protected_spans(text: Column, pack: SpellRules = VIETNAMESE) -> Column:
     return F.concat(*[find_spans(text, p) for p in protected_patterns(pack)])
 
 
-def after_number(text: Column, start: Column) -> Column:
-    """The 40 characters before ``start`` end in a number or a range of numbers."""
+def after_number(before: Column) -> Column:
+    """The text before a token, cut to 40 characters, ends in a number or a range of numbers."""
     number = r"\p{Nd}+(?:[.,]\p{Nd}+)?"
     interval = rf"{number}(?:{S}*(?:-|–|—|đến){S}*{number})?"
-    before = F.substring(text, F.greatest(start - 40, F.lit(0)) + 1, F.least(start, F.lit(40)))
-    return F.regexp_like(before, F.lit(rf"(?iu){interval}{S}*$"))
+    return F.regexp_like(F.right(before, F.lit(40)), F.lit(rf"(?iu){interval}{S}*$"))
 
 
-#: tokens per block; a block's offset is added to positions inside it
+#: tokens per block; prefix sums run inside a block and its offset is added
 TOKENS_PER_BLOCK = 512
+#: characters that a block knows of its neighbours: a context and one more, to see whether it is cut
+MARGIN = CONTEXT_RADIUS + 1
+#: characters per position bin of the overlap join
+BIN = 256
+_BLOCK = "struct<pos:int,marked:string,before:string,after:string>"
 
 
 def _token_blocks(text: Column) -> Column:
-    """``array<struct<pos, marked>>``: the token-marked text, cut so that positions inside a
-    very long paragraph stay cheap."""
+    """``array<struct<pos, marked, before, after>>``: the token-marked text cut between tokens, each
+    block with its offset and the characters on both sides of it."""
     width = 2 * TOKENS_PER_BLOCK
-    block_type = "array<struct<pos:int,marked:string>>"
 
     def cut(pieces: Column) -> Column:
         blocks = F.transform(
             F.sequence(F.lit(0), ((F.size(pieces) - 1) / width).cast("int")),
             lambda b: F.slice(pieces, b * width + 1, F.lit(width)),
         )
-        return F.aggregate(
-            blocks,
-            F.struct(F.lit(0).alias("pos"), F.array().cast(block_type).alias("out")),
-            lambda acc, block: F.struct(
-                (acc["pos"] + F.length(F.array_join(block, ""))).alias("pos"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct(acc["pos"].alias("pos"), F.array_join(block, MARK).alias("marked"))),
-                ).alias("out"),
-            ),
-            lambda acc: acc["out"],
+        lengths = F.transform(blocks, lambda block: F.length(F.array_join(block, "")))
+        # a block has a character for each token at least, so these few pieces hold every margin
+        ends = F.transform(blocks, lambda block: F.right(F.array_join(F.slice(block, F.greatest(F.size(block) - 2 * MARGIN, F.lit(0)) + 1, F.lit(2 * MARGIN)), ""), F.lit(MARGIN)))
+        heads = F.transform(blocks, lambda block: F.left(F.array_join(F.slice(block, 1, 2 * MARGIN), ""), F.lit(MARGIN)))
+        return F.transform(
+            let(F.struct(blocks.alias("b"), lengths.alias("n"), ends.alias("e"), heads.alias("h")), lambda x: F.arrays_zip(
+                prefix_sums(x["n"]).alias("pos"), x["b"].alias("pieces"),
+                F.concat(F.array(F.lit("")), x["e"]).alias("before"), F.concat(F.slice(x["h"], 2, F.size(x["h"])), F.array(F.lit(""))).alias("after"),
+            )),
+            lambda z: F.struct(z["pos"].alias("pos"), F.array_join(z["pieces"], MARK).alias("marked"), z["before"].alias("before"), z["after"].alias("after")),
         )
 
     def choose(marked: Column) -> Column:
-        whole = F.array(F.struct(F.lit(0).alias("pos"), marked.alias("marked"))).cast(block_type)
-        return F.when(F.length(text) < 2 * width, whole).otherwise(let(F.split(marked, MARK), cut))
+        whole = F.array(F.struct(F.lit(0).alias("pos"), marked.alias("marked"), F.lit("").alias("before"), F.lit("").alias("after")))
+        return F.when(F.length(text) < 2 * width, whole.cast(f"array<{_BLOCK}>")).otherwise(
+            F.filter(let(F.split(marked, MARK), cut), lambda x: x["marked"].isNotNull()).cast(f"array<{_BLOCK}>")
+        )
 
     return let(mark_hits(text, F.lit(chars.TOKEN)), choose)
 
 
 def token_rows(paras: DataFrame, *keep: str) -> DataFrame:
-    """One row per word token: kept columns, text, token, and what its position needs."""
-    blocks = paras.select(*keep, "text", F.explode(_token_blocks(F.col("text"))).alias("block"))
-    pieces = blocks.select(
-        *keep,
-        "text",
-        F.col("block.pos").alias("block_pos"),
-        F.col("block.marked").alias("marked"),
-        F.posexplode(F.split(F.col("block.marked"), MARK)).alias("piece_no", "token"),
-    )
-    return pieces.where(F.col("piece_no") % 2 == 1)
+    """One row per word token: kept columns, start, end, token, and the block it stands in.
 
+    Starts are prefix sums over the pieces of a block, so no token looks through its paragraph.
+    """
+    blocks = paras.select(*keep, F.explode(_token_blocks(F.col("text"))).alias("block"))
+    pieces = blocks.select(*keep, "block", F.split("block.marked", MARK).alias("pieces")).where(F.contains("block.marked", F.lit(MARK)))
+    spans = spans_of_lengths(F.transform("pieces", lambda x: F.length(x)))
+    hits = F.filter("pieces", lambda x, i: i % 2 == 1)
+    # the block's text is made once here: an expression beside explode would run for every token
+    placed = pieces.select(
+        *keep, F.col("block.pos").alias("block_pos"), F.length("block.before").alias("lead"),
+        F.concat("block.before", F.translate("block.marked", MARK, ""), "block.after").alias("body"),
+        F.arrays_zip(spans.alias("span"), hits.alias("token")).alias("hits"),
+    )
+    rows = placed.select(*keep, "block_pos", "lead", "body", F.explode("hits").alias("t"))
+    return rows.select(
+        *keep, "block_pos", "lead", "body", (F.col("block_pos") + F.col("t.span.start")).alias("start"),
+        (F.col("block_pos") + F.col("t.span.end")).alias("end"), F.col("t.token").alias("token"),
+    )
 
-def _placed(tokens: DataFrame, *keep: str) -> DataFrame:
-    start = (
-        F.col("block_pos")
-        + F.length(F.call_function("substring_index", F.col("marked"), F.lit(MARK), F.col("piece_no")))
-        - (F.col("piece_no") - 1)
-    )
-    return tokens.select(
-        *keep, "text", "token", start.alias("start")
-    ).withColumn("end", F.col("start") + F.length("token"))
+
+PARA_KEY = ("doc_id", "para_no", "location")
+
+
+def _same(a: str, b: str, *names: str) -> Column:
+    return reduce(and_, [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names])
+
+
+def _bins(start: Column, end: Column) -> Column:
+    """The position bins that a range touches."""
+    return F.sequence((start / BIN).cast("int"), ((end - 1) / BIN).cast("int"))
+
+
+def outside(tokens: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``tokens(*keys, start, end)`` that overlap no row of ``spans(*keys, start, end)``.
+
+    Both are dealt to position bins and joined there, so a long text with many spans is no nested
+    loop, and its bins lie in many tasks. Null keys equal null keys.
+    """
+    spread = lambda df: df.select(*keys, "start", "end", F.explode(_bins(F.col("start"), F.col("end"))).alias("bin"))
+    t, s = spread(tokens).alias("t"), spread(spans).alias("s")
+    overlap = (F.col("t.start") < F.col("s.end")) & (F.col("t.end") > F.col("s.start"))
+    met = t.join(s, _same("t", "s", *keys) & (F.col("t.bin") == F.col("s.bin")) & overlap, "left_semi").select(*keys, "start")
+    return tokens.alias("t").join(met.distinct().alias("m"), _same("t", "m", *keys, "start"), "left_anti")
 
 
 def unknown_tokens(
-    paras: DataFrame, words: DataFrame, pack: SpellRules = VIETNAMESE, max_broadcast: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
+    paras: DataFrame, words: DataFrame, pack: SpellRules = VIETNAMESE, max_broadcast: int = MAX_BROADCAST_ROWS,
+    issues: DataFrame | None = None,
+) -> DataFrame:
     """Checked tokens outside the dictionary: doc_id, para_no, location, start, end, token, word, context.
 
-    With a dictionary within ``max_broadcast`` rows known tokens are dropped where they
-    are produced, before a position is computed or anything is shuffled. A larger one is
-    joined after positions are known and the text is dropped from the row.
+    With a dictionary within ``max_broadcast`` rows known tokens are dropped where they are produced,
+    else by a join of token rows. Only what is left meets the ranges where the dictionary is not
+    asked: protected ranges and those of rule issues. ``issues``, with the columns of
+    ``tagged_rule_issues``, saves computing the latter again.
     """
-    keys = ("doc_id", "para_no", "location")
-    prepared = paras.select(
-        *keys,
-        "text",
-        F.concat(
-            F.transform(
-                rule_issues(F.col("text"), pack),
-                lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end")),
-            ),
-            protected_spans(F.col("text"), pack),
-        ).alias("blocked"),
-    )
-    token = F.col("token")
+    keys = (*PARA_KEY, "tag")
+    tagged = paras.select(*PARA_KEY, "text", F.xxhash64("text").alias("tag"))
+    token, text = F.col("token"), F.col("body")
     candidates = (
-        token_rows(prepared, *keys, "blocked")
-        .where(
-            (F.length("token") > 1)
-            & ~is_upper(token)
-            & ~F.regexp_like(token, F.lit("[²³¹⁰⁴-⁹₀-₉]"))
-            & ~token.isin(*pack.acronyms)
-        )
+        token_rows(tagged, *keys)
+        .where((F.length("token") > 1) & ~is_upper(token) & ~F.regexp_like(token, F.lit("[²³¹⁰⁴-⁹₀-₉]")) & ~token.isin(*pack.acronyms))
         .withColumn("word", F.lower("token"))
     )
     known = words.select("word")
     small = is_small(known, max_broadcast)
     if small:
         candidates = candidates.join(F.broadcast(known), "word", "left_anti")
-    placed = _placed(candidates, *keys, "blocked", "word").where(
-        ~F.exists("blocked", lambda b: (F.col("start") < b["end"]) & (F.col("end") > b["start"]))
-        & ~(F.col("word").isin(*pack.units) & after_number(F.col("text"), F.col("start")))
-    )
-    result = placed.select(
-        *keys,
-        "start",
-        "end",
-        "token",
-        "word",
-        context_snippet(F.col("text"), F.col("start"), F.col("end")).alias("context"),
+    # positions inside the block's text
+    first, last = F.col("start") - F.col("block_pos") + F.col("lead"), F.col("end") - F.col("block_pos") + F.col("lead")
+    before = F.substring(text, F.greatest(first - 40, F.lit(0)) + 1, F.least(first, F.lit(40)))
+    placed = candidates.where(~(F.col("word").isin(*pack.units) & after_number(before))).select(
+        *keys, "start", "end", "token", "word", context_snippet(text, first, last).alias("context")
     )
-    return result if small else result.join(known, "word", "left_anti")
+    # read twice by the overlap join
+    placed = stage(placed if small else placed.join(known, "word", "left_anti"))
+    spans = protected_spans(F.col("text"), pack)
+    if issues is None:
+        spans = F.concat(F.transform(rule_issues(F.col("text"), pack), lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"))), spans)
+    blocked = tagged.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.start", "s.end")
+    if issues is not None:
+        blocked = blocked.unionByName(issues.select(*keys, "start", "end"))
+    return outside(placed, blocked, *keys).drop("tag")
 
 
 MIN_BASE_RATIO = 0.67
@@ -358,11 +377,12 @@ def corrections(unknown: DataFrame, words: DataFrame, lookup: DataFrame, exact:
 
 
 def dictionary_issues(
-    paras: DataFrame, words: DataFrame, lookup: DataFrame, pack: SpellRules = VIETNAMESE, exact: bool = True
-) -> DataFrame:
+    paras: DataFrame, words: DataFrame, lookup: DataFrame, pack: SpellRules = VIETNAMESE, exact: bool = True,
+    issues: DataFrame | None = None,
+) -> DataFrame:
     """Warnings for tokens outside the dictionary that have a close enough suggestion."""
     # read twice: for the distinct words and for the final join
-    unknown = stage(unknown_tokens(paras, words, pack))
+    unknown = stage(unknown_tokens(paras, words, pack, issues=issues))
     fixes = corrections(unknown, words, lookup, exact)
     capital = F.regexp_like("token", F.lit("^" + chars.UPPER))
     accepted = unknown.join(fixes, "word").where(
@@ -384,16 +404,13 @@ def dictionary_issues(
     )
 
 
-def explode_rule_issues(paras: DataFrame, pack: SpellRules = VIETNAMESE) -> DataFrame:
-    """Phrase and formatting issues as rows with the columns of ``dictionary_issues``."""
-    exploded = paras.select(
-        "doc_id", "para_no", "location", "text", F.explode(rule_issues(F.col("text"), pack)).alias("i")
-    )
+def tagged_rule_issues(paras: DataFrame, pack: SpellRules = VIETNAMESE) -> DataFrame:
+    """Phrase and formatting issues as rows, with a ``tag`` that tells apart texts with equal keys."""
+    exploded = paras.select(*PARA_KEY, "text", F.explode(rule_issues(F.col("text"), pack)).alias("i"))
     text, issue = F.col("text"), F.col("i")
     return exploded.select(
-        "doc_id",
-        "para_no",
-        "location",
+        *PARA_KEY,
+        F.xxhash64("text").alias("tag"),
         issue["start"].alias("start"),
         issue["end"].alias("end"),
         issue["kind"].alias("kind"),
@@ -406,11 +423,17 @@ def explode_rule_issues(paras: DataFrame, pack: SpellRules = VIETNAMESE) -> Data
     )
 
 
+def explode_rule_issues(paras: DataFrame, pack: SpellRules = VIETNAMESE) -> DataFrame:
+    """Phrase and formatting issues as rows with the columns of ``dictionary_issues``."""
+    return tagged_rule_issues(paras, pack).drop("tag")
+
+
 def check(
     paras: DataFrame, words: DataFrame, lookup: DataFrame, pack: SpellRules = VIETNAMESE, exact: bool = True
 ) -> DataFrame:
-    """All issues of the paragraphs as rows."""
-    return explode_rule_issues(paras, pack).unionByName(dictionary_issues(paras, words, lookup, pack, exact))
+    """All issues of the paragraphs as rows. The rules run once; the dictionary reads their ranges."""
+    issues = stage(tagged_rule_issues(paras, pack))
+    return issues.drop("tag").unionByName(dictionary_issues(paras, words, lookup, pack, exact, issues))
 
 
 def number_issues(issues: DataFrame) -> DataFrame:

@@ -162,3 +162,29 @@ def order_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("o_orderkey").alias("loan_id"), F.explode(periods).alias("p"))
         .select("loan_id", "p.rate", "p.unit", "p.from_date", "p.to_date")
     )
+
+
+def guarded_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per part that mixes checked words with a link, an e-mail address, a document number, a
+    person, units and a wrong phrase. The letters of ``w`` spell the key."""
+    key = F.col("p_partkey").cast("string")
+    w = F.concat(F.lit("zq"), F.translate(key, "0123456789", "bcdfghjklm"))
+    text = F.concat(
+        F.lit("Xem "), w, F.lit(" https://tòa.vn/"), w, F.lit("/x và "), w, F.lit(".q@vn.example.org nhé "), w, F.lit(" 12/2020/"), w,
+        F.lit(" TANDTC nặng "), key, F.lit(" kg hay kg "), w, F.lit(" bị cáo Nguyễn Văn Zung of the "), w, F.lit("."),
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+def misspelt_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per part with a word of a benchmark text, written with a letter left out or doubled, in
+    small letters and with a capital."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    words = benchmark.select("item_id", F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0)).alias("words")).where(F.size("words") > 0)
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(key, (key % benchmark.count()).alias("item_id"))
+    word = F.get("words", (F.floor(key / 7) % F.size("words")).cast("int"))
+    wrong = parts.join(words, "item_id").select(
+        key.alias("doc_id"), F.when(key % 2 == 0, F.concat(F.left(word, F.lit(1)), F.substring(word, 3, 100))).otherwise(F.concat(word, F.right(word, F.lit(1)))).alias("w")
+    )
+    return wrong.select("doc_id", F.concat(F.lit("12 "), "w", F.lit(" 34 "), F.initcap("w"), F.lit(".")).alias("text"))

@@ -99,6 +99,39 @@ scored AS (SELECT *, ratio * 0.65::DOUBLE + base * 0.35::DOUBLE AS score FROM pa
 ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, length(candidate), candidate) AS rank FROM scored)
 SELECT word, rank, candidate, round(ratio, 6) AS ratio, round(score, 6) AS score FROM ranked WHERE rank <= 3"""
 
+_KNOWN = f"known AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{TOKEN}'))) AS word FROM benchmark)"
+
+# the line as pieces in order; g marks the words that are asked for
+_GUARDED = f"""WITH {_KNOWN},
+keyed AS (SELECT p_partkey AS doc_id, CAST(p_partkey AS VARCHAR) AS n, 'zq' || translate(CAST(p_partkey AS VARCHAR), '0123456789', 'bcdfghjklm') AS w FROM part),
+pieces AS (SELECT doc_id, unnest(ps) AS p, unnest(gs) AS g, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id,
+  ['Xem', ' ', w, ' https://tòa.vn/' || w || '/x ', 'và', ' ' || w || '.q@vn.example.org ', 'nhé', ' ', w, ' 12/2020/' || w || ' TANDTC ', 'nặng', ' ' || n || ' kg ',
+   'hay', ' ', 'kg', ' ', w, ' bị cáo Nguyễn Văn Zung of the ', w, '.'] AS ps,
+  [true, false, true, false, true, false, true, false, true, false, true, false, true, false, true, false, true, false, true, false] AS gs FROM keyed)),
+lined AS (SELECT doc_id, string_agg(p, '' ORDER BY i) AS text FROM pieces GROUP BY doc_id),
+spots AS (SELECT *, CAST(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM pieces)
+SELECT doc_id, CAST(1 AS BIGINT) AS para_no, e - length(p) AS start_pos, e AS end_pos, p AS token, lower(p) AS word,
+  CASE WHEN e - length(p) > 55 THEN '…' ELSE '' END || substr(text, greatest(e - length(p) - 55, 0) + 1, least(length(text), e + 55) - greatest(e - length(p) - 55, 0))
+  || CASE WHEN e + 55 < length(text) THEN '…' ELSE '' END AS context
+FROM spots JOIN lined USING (doc_id) WHERE g AND lower(p) NOT IN (SELECT word FROM known)"""
+
+_WARNINGS = f"""WITH {_KNOWN},
+items AS (SELECT item_id, regexp_extract_all(text, '[a-z]{{5,}}') AS ws FROM benchmark),
+chosen AS (SELECT p_partkey AS doc_id, ws[CAST((p_partkey // 7) % len(ws) + 1 AS INTEGER)] AS w
+  FROM part JOIN items ON item_id = p_partkey % (SELECT count(*) FROM benchmark) WHERE len(ws) > 0),
+wrong AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN w[1] || substr(w, 3) ELSE w || right(w, 1) END AS w FROM chosen),
+sources AS (SELECT DISTINCT w AS word FROM wrong WHERE w NOT IN (SELECT word FROM known)),
+pairs AS (SELECT s.word, k.word AS candidate,
+    1.0::DOUBLE - levenshtein({_letters('s.word')}, {_letters('strip_accents(k.word)')})::DOUBLE / greatest(length(s.word), length(k.word)) AS base,
+    1.0::DOUBLE - levenshtein({_letters('s.word')}, {_letters('k.word')})::DOUBLE / greatest(length(s.word), length(k.word)) AS ratio
+  FROM sources s JOIN known k ON length(k.word) BETWEEN length(s.word) - 2 AND length(s.word) + 2),
+best AS (SELECT word, candidate, ratio FROM pairs WHERE base >= 0.67 QUALIFY row_number() OVER
+  (PARTITION BY word ORDER BY ratio * 0.65::DOUBLE + base * 0.35::DOUBLE DESC, length(candidate), candidate) = 1),
+spelt AS (SELECT doc_id, w, 3 AS s, w AS original, candidate AS suggestion, ratio FROM wrong JOIN best ON word = w WHERE ratio >= 0.78
+  UNION ALL SELECT doc_id, w, 7 + length(w), upper(w[1]) || substr(w, 2), upper(candidate[1]) || substr(candidate, 2), ratio FROM wrong JOIN best ON word = w WHERE ratio >= 0.86)
+SELECT doc_id, CAST(s AS BIGINT) AS start_pos, CAST(s + length(w) AS BIGINT) AS end_pos, '{rules.KIND_SPELLING}' AS kind, 'warning' AS severity, original, suggestion,
+  CAST(least(95, greatest(62, round_even(ratio * 100, 0))) AS BIGINT) AS confidence FROM spelt"""
+
 _COUNTS = f"""WITH {KEPT}, {_phrase_counts()},
 style AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id),
 errors AS (SELECT doc_id, sum(hits) AS n FROM phrase GROUP BY doc_id),
@@ -162,6 +195,8 @@ good AS (SELECT doc_id FROM labels WHERE quality = 1)
 SELECT word, count(*) AS uses FROM t WHERE doc_id NOT IN (SELECT doc_id FROM good)
   AND word NOT IN (SELECT word FROM t WHERE doc_id IN (SELECT doc_id FROM good)) GROUP BY word""",
     "suggestions_by_edits": _SUGGEST,
+    "protected_tokens": _GUARDED,
+    "dictionary_warnings": _WARNINGS,
     "note_entities": f"""WITH {NOTES} SELECT doc_id, CAST(entity_no AS BIGINT) AS entity_no, type, value,
 CAST(strpos(text, value) - 1 AS BIGINT) AS first_pos, suggestion FROM found""",
     "anonymised_notes": f"""WITH {NOTES} SELECT doc_id, 'Bị cáo Tên-A, CCCD: ' || substr(id12, 1, 3) || 'xxx' || right(id12, 3) || '; điện thoại: '
@@ -199,5 +234,17 @@ lists AS (SELECT u.item_id, count(*) AS usable, arg_min(old, (-length(old)) * 10
    any_value(n) > 500 AS too_many FROM uniq u JOIN (SELECT item_id, count(*) AS n FROM words GROUP BY item_id) USING (item_id) GROUP BY u.item_id)
 SELECT doc_id, usable, first_old, CASE WHEN too_many THEN 'too many replacements' END AS reject_reason
 FROM documents d JOIN lists l ON l.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""",
+    "reviewed_documents": f"""WITH words AS (SELECT item_id, unnest(ws) AS old, generate_subscripts(ws, 1) AS seq
+  FROM (SELECT item_id, regexp_extract_all(text, '[{WORD}]+') AS ws FROM benchmark)),
+uniq AS (SELECT item_id, old, CASE WHEN (seq - 1) % 3 = 0 THEN '{rules.MASK_DEFAULT}' ELSE '<#>' END AS new
+  FROM (SELECT *, row_number() OVER (PARTITION BY item_id, lower(old) ORDER BY seq) AS r FROM words) WHERE r = 1),
+lists AS (SELECT b.item_id, count(old) AS usable, max(len(regexp_extract_all(b.text, '[{WORD}]+'))) AS given FROM benchmark b LEFT JOIN uniq USING (item_id) GROUP BY b.item_id),
+docs AS (SELECT doc_id, text, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents),
+pieces AS (SELECT doc_id, item_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i
+  FROM (SELECT doc_id, item_id, regexp_extract_all(text, '[{WORD}]+|[^{WORD}]+') AS ps FROM docs)),
+built AS (SELECT doc_id, string_agg(coalesce(new, p), '' ORDER BY i) AS t, count(new) AS n
+  FROM pieces p LEFT JOIN uniq u ON u.item_id = p.item_id AND u.old = p.p GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t, text) AS text, coalesce(n, 0) AS replaced, usable, CAST(1 AS BIGINT) AS empty, CAST(given - usable AS BIGINT) AS repeated,
+  CASE WHEN usable = 0 THEN 'nothing selected' END AS reject_reason FROM docs d LEFT JOIN lists USING (item_id) LEFT JOIN built USING (doc_id)""",
     "decoded_texts": "SELECT doc_id, md5(text) AS digest, false AS truncated FROM documents",
 }

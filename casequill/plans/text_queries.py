@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casequill.functions import chars
 from casequill.functions.spans import apply_edits, mark_ranges
 from casequill.functions.text import count_words
-from casequill.operators import pii, spell
+from casequill.operators import pii, reviewed, spell
 from casequill.operators.staging import shared_folder, stage
 from casequill.plans import inputs
 from casequill.sources import documents as docs
@@ -163,6 +163,20 @@ def checked_documents(spark, sf_dir):
     )
 
 
+def protected_tokens(spark, sf_dir):
+    """Tokens outside the dictionary in lines full of ranges where it is not asked."""
+    paras = docs.paragraphs(inputs.guarded_notes(spark, sf_dir))
+    unknown = spell.unknown_tokens(paras, inputs.benchmark_words(spark, sf_dir), TEST_PACK)
+    return unknown.select("doc_id", long("para_no", "para_no"), long("start", "start_pos"), long("end", "end_pos"), "token", "word", "context")
+
+
+def dictionary_warnings(spark, sf_dir):
+    """Warnings for misspelt words, with suggestions by edits: acceptance, capitals and confidence."""
+    paras = docs.paragraphs(inputs.misspelt_notes(spark, sf_dir))
+    issues = spell.dictionary_issues(paras, inputs.benchmark_words(spark, sf_dir), inputs.benchmark_lookup(spark, sf_dir), exact=False)
+    return issues.select("doc_id", long("start", "start_pos"), long("end", "end_pos"), "kind", "severity", "original", "suggestion", long("confidence", "confidence"))
+
+
 # --- personal data -----------------------------------------------------------------------
 
 
@@ -242,6 +256,21 @@ def replacement_lists(spark, sf_dir):
     )
 
 
+def reviewed_documents(spark, sf_dir):
+    """Every document under a list of a benchmark text's words and blanks, given as JSON for even ids and as rows for odd ones."""
+    benchmark = inputs.table(spark, sf_dir, "benchmark")
+    texts = inputs.documents(spark, sf_dir)
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    made = F.transform(words, lambda w, i: F.struct(w.alias("old"), F.when(i % 3 == 0, "").otherwise("<#>").alias("new")))
+    blank = F.array(F.struct(F.lit(" ").alias("old"), F.lit("x").alias("new")))
+    lists = benchmark.select("item_id", F.concat(made, blank).alias("items"))
+    listed = texts.select("doc_id", (F.col("doc_id") % benchmark.count()).alias("item_id")).join(lists, "item_id")
+    as_rows = listed.where("doc_id % 2 = 1").select("doc_id", F.posexplode("items").alias("seq", "item")).select("doc_id", "seq", "item.old", "item.new")
+    as_text = listed.where("doc_id % 2 = 0").select("doc_id", F.to_json("items").alias("payload"))
+    done = reviewed.apply_lists(texts, as_rows.unionByName(reviewed.items_from_json(as_text)))
+    return done.drop("too_long")
+
+
 # --- bytes and streams -------------------------------------------------------------------
 
 
@@ -276,7 +305,7 @@ QUERIES = {
         paragraph_scan, paragraph_join, word_counts, rule_issue_counts_by_source, rule_issue_counts_by_document,
         formatting_issues, phrase_issue_counts, numbered_issues, accepted_issues, reviewed_texts, issue_payloads,
         detection_quality, token_statistics, unknown_words, suggestions_by_edits, suggestions_by_blocks,
-        checked_documents, note_entities, anonymised_notes, entity_payloads, personal_numbers, document_entities,
+        checked_documents, protected_tokens, dictionary_warnings, reviewed_documents, note_entities, anonymised_notes, entity_payloads, personal_numbers, document_entities,
         replaced_terms, replacement_lists, decoded_texts, streamed_issue_counts,
     )
 }

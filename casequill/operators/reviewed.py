@@ -24,6 +24,8 @@ from casequill.operators.staging import stage
 from casequill.sources import rules
 
 RUN = chars.WORD_CHAR + "+"
+#: lists up to this length go to the fold as they are; the filter costs more than it saves there
+FEW_ITEMS = 200
 
 
 def items_from_json(payloads: DataFrame, payload: str = "payload") -> DataFrame:
@@ -68,10 +70,11 @@ def acting_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     return items.join(able, ["doc_id", "seq"], "left_semi").select("doc_id", "seq", "old", "new")
 
 
-def apply_lists(documents: DataFrame, items: DataFrame, max_items: int | None = None, max_length: int | None = None) -> DataFrame:
+def apply_lists(documents: DataFrame, items: DataFrame, max_items: int | None = None, max_length: int | None = None, few: int = FEW_ITEMS) -> DataFrame:
     """``doc_id, text, replaced, usable, empty, too_long, repeated, reject_reason`` for every document.
 
     ``items(doc_id, seq, old, new)``; ``seq`` is distinct within a document. A list over ``max_items`` is refused whole.
+    Lists of more than ``few`` usable items are filtered by words first, which changes no result.
     """
     cleaned = clean_items(items, max_length)
     n = lambda problem: F.sum(F.when(F.col("problem") == problem, F.col("n")).otherwise(0))
@@ -84,7 +87,8 @@ def apply_lists(documents: DataFrame, items: DataFrame, max_items: int | None =
         reason = F.when(F.col("given") > max_items, F.lit("too many replacements")).otherwise(reason)
     lists = stage(lists.withColumn("reject_reason", reason))
     fine = cleaned.where("problem IS NULL").join(lists.where("reject_reason IS NULL"), "doc_id", "left_semi")
-    acting = acting_items(documents, fine)
+    many = lists.where(F.col("usable") > few).select("doc_id")
+    acting = acting_items(documents, fine.join(many, "doc_id", "left_semi")).unionByName(fine.join(many, "doc_id", "left_anti").select("doc_id", "seq", "old", "new"))
     order = F.array_sort(F.collect_list(F.struct((-F.length("old")).alias("rank"), "seq", "old", "new")))
     folded = acting.groupBy("doc_id").agg(F.transform(order, lambda r: F.struct(r["old"].alias("old"), r["new"].alias("new"))).alias("items"))
     rows = documents.select("doc_id", "text").join(lists, "doc_id", "left").join(folded, "doc_id", "left")

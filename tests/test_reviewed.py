@@ -20,10 +20,11 @@ def test_same_as_the_fold_of_all_items(spark):
     texts = ["".join(rng.choice(parts + [" "] * 4) for _ in range(rng.randrange(30))) for _ in range(60)]
     lists = [[(rng.choice(parts) + rng.choice(["", " cd", ".", "x"]), rng.choice(parts)) for _ in range(rng.randrange(1, 9))] for _ in texts]
     items = [(i, n, old, new) for i, rows in enumerate(lists) for n, (old, new) in enumerate(rows)]
-    got = run(spark, texts, items)
+    got, folded = run(spark, texts, items, few=0), run(spark, texts, items)
     plain = spark.createDataFrame([(i, t, rows) for i, (t, rows) in enumerate(zip(texts, lists))], "doc_id long, text string, items " + pii.REPLACEMENTS_TYPE)
     for r in pii.replace_in_documents(plain, plain).collect():
         assert (got[r.doc_id].text, got[r.doc_id].replaced, got[r.doc_id].reject_reason) == (r.text, r.replaced, r.reject_reason), lists[r.doc_id]
+        assert got[r.doc_id] == folded[r.doc_id]
 
 
 def test_hundred_thousand_items_without_limit(spark):

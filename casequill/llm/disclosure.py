@@ -1,40 +1,42 @@
 """Personal data and the words that give it away.
 
 Base findings come from four patterns: e-mail addresses, IP addresses, payment cards and phone
-numbers. Each finding's value is a protected entity. Words near an entity may disclose it as
-well: a nickname, a flat, a file number. How much a word ``t`` tells about an entity ``c`` is
-their pointwise mutual information over the corpus; the entity's own information is the most
-that any word can tell. With counts of documents,
-
-    share(c, t) = log(n_ct * N / (n_c * n_t)) / log(N / n_c)
-
-is 1 if every document with the word has the entity next to it, and 0 if the word is as common
-there as elsewhere. From ``generalise`` on a word is replaced by a general term in the documents
-that hold the entity, from ``remove`` on it is taken out.
-
-Near an entity means within ``reach`` characters. A pair counts only if it is found in at least
-``support`` different surroundings, so copies of one passage are one observation and a rare word
-that merely stands beside an address once is left alone.
-
-The query reads whole texts instead (``reach=None``): words are all runs of letters and digits, a
-pair is counted by the different texts that hold both, wherever they stand, copies of a text
-being one, and nothing is asked of the number of surroundings. The counts are smoothed, so that
-an entity in one text is rated too, only lower than one that many texts confirm:
-
-    share(c, t) = log((n_ct + p_t) / (n_c + 1) / p_t) / log(N / n_c)    with p_t = n_t / N
+numbers. Each finding's value is a protected entity. Other words may disclose it as well: a
+nickname, a flat, a file number. Words are runs of letters and digits of whole texts; texts and
+pairs are counted by different texts, so copies are one observation. For an entity ``c`` and a
+word ``t``, with counts of texts and the share ``p = n_c / N`` of texts with the entity:
+
+* The entity's own information is ``own = log2(1 / p)``.
+* ``q`` is the lower confidence bound (Wilson, ``CONFIDENCE``) of the probability that a text with
+  the word has the entity, so few sightings say little. ``rest = log2(1 / q)`` is what the word
+  leaves unknown, ``told = own - rest`` the pointwise mutual information.
+* ``evidence = n_t * KL(n_ct / n_t, p)`` in natural units. By the Chernoff bound, words that have nothing
+  to do with the entity reach it with probability ``exp(-evidence)`` at most.
+
+A word acts where ``rest`` is at most ``generalise`` bits, half of ``own`` is told at least, and the
+probability of chance is at most ``LEVEL``: it is replaced by a general term in the texts that hold
+the entity and, where ``rest`` is at most ``remove`` bits, taken out. Words seen with an entity once or twice never
+pass. For given counts the answer settles as the corpus grows, as ``rest`` does not depend on its size.
+
+What can't pass is left out before pairs are formed: values and words in fewer texts than the bound
+needs, and words in more texts than the value's count allows. The remaining rows (text, entity, word)
+are written once; a text's words come from its own rows, so a value in many texts costs its own
+rows only.
 
 All of it are built-in functions. Texts are read where they lie: for findings, for the words of
 all documents, and for the documents concerned. Words are counted once per document and summed
-before the shuffle; a value in a third of all documents is spread by document and word until then.
+before the shuffle.
 
-Defined cases: a null text counts as empty. Rows that repeat id and text count once next to an
-entity and each for the words' own counts, and each row gets the spans of its own text. A null id is an id like others. No rows in, no rows out.
+Defined cases: a null text counts as empty. Copies of a text are one text and get the same spans; ids play no
+part in the counts, so a null id is an id like others. No rows in, no rows out.
 Only the id and text columns are read; ``sanitise`` returns all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casequill.functions.spans import apply_edits, find_spans
@@ -52,13 +54,14 @@ PATTERNS = {
 }
 IP_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 #: a word that may disclose something
-WORD = r"\p{L}{3,}"
-#: the same over whole texts: numbers, codes and short words as well
 TOKEN = r"[\p{L}\p{N}]+"
-REACH = 80
-SUPPORT = 3
-GENERALISE = 0.6
-REMOVE = 0.9
+#: bits that a word may leave unknown of an entity to be generalised, or removed
+GENERALISE = 1.0
+REMOVE = 0.25
+#: normal quantile of the confidence bound, one-sided 95 %
+CONFIDENCE = 1.645
+#: probability of an acting pair by chance
+LEVEL = 1e-6
 #: what takes the place of a span
 STAND_INS = {**{kind: f"[{kind.upper()}]" for kind in PATTERNS}, "general": "[WORD]", "remove": ""}
 
@@ -121,136 +124,111 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def _surroundings(body: Column, span: Column, reach: int) -> Column:
-    """The text on both sides of a span, without the words that the reach cuts."""
-    left = F.substring(body, F.greatest(span["start"] - reach + 1, F.lit(1)), F.least(span["start"], F.lit(reach)))
-    right = F.substring(body, span["end"] + 1, F.lit(reach))
-    left = F.when(span["start"] > reach, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(right) == reach, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return F.concat_ws(" \u0001 ", left, right)
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
 
 
-def _words(text: Column, pattern: str = WORD) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)))
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(whole_text(text).alias("body")).withColumn("tag", F.xxhash64("body"))
 
 
-def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int | None = REACH) -> DataFrame:
-    """(id, tag, spans, near) per document; ``near`` has entity and surroundings of each finding, null where whole texts count. Written."""
-    rows = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("body")).withColumn("tag", F.xxhash64("body"))
+def _small(rows: DataFrame, *strings: str) -> DataFrame:
+    """A written table, broadcast if its rows are few; the bytes of its strings are counted."""
+    held = F.sum(F.lit(32) + sum((F.octet_length(c) for c in strings), F.lit(0)))
+    return F.broadcast(rows) if (rows.agg(held).first()[0] or 0) <= BROADCAST_BYTES else rows
 
-    def around(span: Column) -> Column:
-        return F.lit(None).cast("string") if reach is None else F.lower(_surroundings(F.col("body"), span, reach))
 
-    near = F.transform(
-        F.col("spans"),
-        lambda s: F.struct(_entity(s).alias("entity"), around(s).alias("around")),
-    )
-    return stage(rows.withColumn("spans", base_spans(F.col("body"))).select("id", "tag", "spans", near.alias("near")))
-
-
-def disclosing_words(
-    docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id",
-    support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE,
-) -> DataFrame:
-    """(entity, word, share, action) of pairs at or above the lower threshold. Written."""
-    held = found.select(F.struct("id", "tag").alias("place"), F.explode("near").alias("near"))
-    held = held.select("place", "near.entity", "near.around")
-    pairs = held.select("place", "entity", F.xxhash64("around").alias("around"), F.explode(_words(F.col("around"))).alias("word"))
-    pairs = stage(
-        pairs.groupBy("entity", "word")
-        .agg(F.countDistinct("place").alias("together"), F.countDistinct("around").alias("seen"))
-        .where(F.col("seen") >= support)
-    )
-    if pairs.isEmpty():
-        return pairs.select("entity", "word", F.lit(0.0).alias("share"), F.lit("").alias("action"))
-    held_by = docs.select(F.explode(_words(whole_text(text))).alias("word")).groupBy("word").agg(F.count("*").alias("of_word"))
-    of_entity = held.groupBy("entity").agg(F.countDistinct("place").alias("of_entity"))
-    total = float(found.count())
-    told = F.log(F.col("together") * F.lit(total) / (F.col("of_entity") * F.col("of_word")))
-    own = F.log(F.lit(total) / F.col("of_entity"))
-    share = F.when(own > 0, F.least(told / own, F.lit(1.0))).otherwise(0.0)
-    rated = pairs.join(held_by, "word").join(of_entity, "entity").withColumn("share", share)
-    action = F.when(F.col("share") >= remove, "remove").otherwise("general")
-    return stage(rated.where(F.col("share") >= generalise).select("entity", "word", "share", action.alias("action")))
-
-
-def whole_text_words(
-    docs: DataFrame, found: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE,
-) -> DataFrame:
-    """(entity, word, share, action) of pairs at or above the lower threshold, counted by different whole texts. Written."""
-    rows = docs.select(whole_text(text).alias("body")).withColumn("tag", F.xxhash64("body"))
-    holders = stage(found.where("size(near) > 0").select("tag", F.array_distinct(F.col("near.entity")).alias("entities")).dropDuplicates(["tag"]))
-    if holders.isEmpty():
-        return holders.select(F.lit("").alias("entity"), F.lit("").alias("word"), F.lit(0.0).alias("share"), F.lit("").alias("action"))
-    small = holders.count() * 16 <= BROADCAST_BYTES
-    asked = holders.select("tag")
-    near = rows.join(F.broadcast(asked) if small else asked, "tag", "left_semi")
-    words = near.select("tag", F.explode(_words(F.col("body"), TOKEN)).alias("word")).distinct()
-    spread = holders.select("tag", F.explode("entities").alias("entity"))
-    pairs = stage(words.join(spread, "tag").groupBy("entity", "word").agg(F.count("*").alias("together")))
+def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, tag, spans, entities) per document; ``tag`` is the hash of its text. Written."""
+    rows = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("body")).withColumn("tag", F.xxhash64("body"))
+    rows = rows.withColumn("spans", base_spans(F.col("body")))
+    return stage(rows.select("id", "tag", "spans", F.array_distinct(F.transform("spans", _entity)).alias("entities")))
+
+
+def certainty(both: Column, of_word: Column) -> Column:
+    """Lower confidence bound of the probability that a text with the word has the entity."""
+    q, z = both / of_word, CONFIDENCE
+    spread = z * F.sqrt(q * (1 - q) / of_word + z * z / (4 * of_word * of_word))
+    return (q + z * z / (2 * of_word) - spread) / (1 + z * z / of_word)
+
+
+def _rated(pairs: DataFrame, total: float, generalise: float, remove: float) -> DataFrame:
+    """(entity, word, rest, action) of the acting ones of ``pairs(entity, word, together, of_word, of_entity)``."""
+    p, q = F.col("of_entity") / F.lit(total), F.col("together") / F.col("of_word")
+    beyond = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    evidence = F.col("of_word") * (q * F.log(q / p) + beyond)
+    rest, own = -F.log2(certainty(F.col("together"), F.col("of_word"))), -F.log2(p)
+    acting = (p < 1) & (q > p) & (rest <= generalise) & (own - rest >= own / 2) & (evidence >= -math.log(LEVEL))
+    action = F.when(rest <= remove, "remove").otherwise("general")
+    return pairs.where(acting).select("entity", "word", rest.alias("rest"), action.alias("action"))
+
+
+def meetings(docs: DataFrame, found: DataFrame, text: str = "text", generalise: float = GENERALISE) -> DataFrame | None:
+    """(tag, entity, word, of_entity, of_word) for each text and the pairs in it that may act; None without any. Written."""
+    least_q = 2.0**-generalise
+    least = math.ceil(CONFIDENCE**2 * least_q / (1 - least_q)) if least_q < 1 else math.inf  # of n texts, n / (n + z * z) is the bound
+    spread = found.where("size(entities) > 0").select("tag", F.explode("entities").alias("entity")).distinct()
+    often = stage(spread.groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= least))
+    values, most = often.agg(F.count("*"), F.max("of_entity")).first()
+    if not values:
+        return None
+    held = stage(spread.join(_small(often, "entity"), "entity"))
+    tags = stage(held.select("tag").distinct())
+    rows = _texts(docs, text)
     # each of n copies of a text counts 1 / n
     copies = stage(found.groupBy("tag").count().where("count > 1"))
-    copies = F.broadcast(copies) if copies.count() * 16 <= BROADCAST_BYTES else copies
-    each = rows.join(copies, "tag", "left").select(
-        F.explode(_words(F.col("body"), TOKEN)).alias("word"), (1 / F.coalesce("count", F.lit(1))).alias("part")
+    each = rows.join(_small(copies), "tag", "left").select(
+        F.explode(_words(F.col("body"))).alias("word"), (1 / F.coalesce("count", F.lit(1))).alias("part")
     )
-    held_by = each.groupBy("word").agg(F.round(F.sum("part")).alias("of_word"))
-    of_entity = spread.groupBy("entity").agg(F.count("*").alias("of_entity"))
-    total = float(found.select("tag").distinct().count())
-    common = F.col("of_word") / F.lit(total)
-    told = F.log((F.col("together") + common) / (F.col("of_entity") + 1) / common)
-    own = F.log(F.lit(total) / F.col("of_entity"))
-    share = F.when(own > 0, F.least(told / own, F.lit(1.0))).otherwise(0.0)
-    rated = pairs.join(held_by, "word").join(of_entity, "entity").withColumn("share", share)
-    action = F.when(F.col("share") >= remove, "remove").otherwise("general")
-    return stage(rated.where(F.col("share") >= generalise).select("entity", "word", "share", action.alias("action")))
-
-
-def _with_actions(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """The documents that hold disclosing words, one row for each id and text. Few ids are broadcast, so texts stay where they are."""
-    ids = listed.select("tag").distinct()
-    near = rows.join(F.broadcast(ids) if listed.count() * 16 <= BROADCAST_BYTES else ids, "tag", "left_semi")
-    one = near.groupBy("id", "tag").agg(F.first("body").alias("body"))
-    a, b = one.alias("a"), listed.alias("b")
-    return a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.tag") == F.col("b.tag"))).select("a.id", "a.tag", "body", "actions")
+    counted = each.groupBy("word").agg(F.round(F.sum("part")).alias("of_word"))
+    counted = stage(counted.where((F.col("of_word") >= least) & (F.col("of_word") * least_q <= most)))
+    near = rows.join(_small(tags), "tag", "left_semi").select("tag", F.explode(_words(F.col("body"))).alias("word")).distinct()
+    near = near.join(_small(counted, "word"), "word")
+    return stage(near.join(held, "tag").where(F.col("of_word") * least_q <= F.col("of_entity")))
 
 
-def spans(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int | None = REACH, support: int = SUPPORT,
-    generalise: float = GENERALISE, remove: float = REMOVE,
-) -> DataFrame:
-    """One row per document: id, tag (hash of its text), base findings, and findings of disclosing words."""
-    found = find(docs, text, doc_id, reach)
-    if reach is None:
-        pattern, words = TOKEN, whole_text_words(docs, found, text, generalise, remove)
-    else:
-        pattern, words = WORD, disclosing_words(docs, found, text, doc_id, support, generalise, remove)
-    if words.isEmpty():
-        return found.select("id", "tag", "spans", F.array().cast(f"array<{_SPAN}>").alias("words"))
-    holders = found.select("id", "tag", F.explode(F.array_distinct(F.col("near.entity"))).alias("entity"))
-    # the strongest action of a word in a document; "general" sorts before "remove"
-    listed = (
-        holders.join(words, "entity").groupBy("id", "tag", "word").agg(F.max("action").alias("action"))
-        .groupBy("id", "tag").agg(F.map_from_entries(F.collect_list(F.struct("word", "action"))).alias("actions"))
-    )
-    listed = stage(listed)
-    rows = docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("body")).withColumn("tag", F.xxhash64("body"))
-    rows = _with_actions(rows, listed)
-    hits = F.filter(_found(F.col("body"), pattern), lambda s: F.map_contains_key(F.col("actions"), F.lower(s["value"])))
-    hits = F.transform(
-        hits,
-        lambda s: F.struct(
-            F.element_at(F.col("actions"), F.lower(s["value"])).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")
-        ),
+def disclosing_words(met: DataFrame, total: int, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(entity, word, rest, action) of acting pairs among ``meetings`` in a corpus of ``total`` different texts. Written."""
+    pairs = met.groupBy("entity", "word").agg(
+        F.count("*").alias("together"), F.first("of_entity").alias("of_entity"), F.first("of_word").alias("of_word")
     )
-    placed = rows.select("id", "tag", hits.alias("words"))
-    f, p = found.alias("f"), placed.alias("p")
-    out = f.join(p, F.col("f.id").eqNullSafe(F.col("p.id")) & (F.col("f.tag") == F.col("p.tag")), "left")
-    free = F.filter(
-        F.coalesce(F.col("p.words"), F.array().cast(f"array<{_SPAN}>")),
-        lambda w: ~F.exists(F.col("f.spans"), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])),
-    )
-    return out.select("f.id", "f.tag", "f.spans", free.alias("words"))
+    pairs = pairs.withColumn("of_word", F.greatest("of_word", F.col("together").cast("double")))
+    return stage(_rated(pairs, float(total), generalise, remove))
+
+
+def _placed(docs: DataFrame, found: DataFrame, acts: DataFrame, text: str) -> DataFrame:
+    """(tag, words): where the words of ``acts(tag, word, action)`` stand in the texts, base findings aside."""
+    tags = _small(stage(acts.select("tag").distinct()))
+    one = _texts(docs, text).join(tags, "tag", "left_semi").groupBy("tag").agg(F.first("body").alias("body"))
+    tokens = one.select("tag", F.explode(_found(F.col("body"), TOKEN)).alias("s"))
+    hits = tokens.select("tag", "s.*", F.lower("s.value").alias("word")).join(acts, ["tag", "word"])
+    hits = hits.select("tag", "start", "end", F.col("action").alias("kind"), "value")
+    taken = found.join(tags, "tag", "left_semi").select("tag", F.explode("spans").alias("s"))
+    taken = taken.select("tag", "s.start", "s.end", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value")).distinct()
+    # a word is free if no finding that starts before reaches it and the next one starts behind it
+    base = F.col("kind").isNull()
+    reached = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("tag").orderBy("start"))
+    following = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("tag").orderBy(F.desc("start")))
+    marked = hits.unionByName(taken).withColumn("reached", reached).withColumn("following", following)
+    free = marked.where("kind IS NOT NULL AND coalesce(reached <= start, true) AND coalesce(following >= end, true)")
+    return free.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("words"))
+
+
+def spans(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", generalise: float = GENERALISE, remove: float = REMOVE
+) -> DataFrame:
+    """One row per document: id, tag (hash of its text), base findings, and findings of disclosing words by kind and start."""
+    found = find(docs, text, doc_id)
+    none = F.array().cast(f"array<{_SPAN}>")
+    met = meetings(docs, found, text, generalise)
+    if met is None:
+        return found.select("id", "tag", "spans", none.alias("words"))
+    rated = disclosing_words(met, found.select("tag").distinct().count(), generalise, remove)
+    # the strongest action of a word in a text; "general" sorts before "remove"
+    acting = met.join(_small(rated, "entity", "word"), ["entity", "word"])
+    acts = stage(acting.groupBy("tag", "word").agg(F.max("action").alias("action")))
+    placed = _placed(docs, found, acts, text)
+    return found.join(placed, "tag", "left").select("id", "tag", "spans", F.coalesce("words", none).alias("words"))
 
 
 def as_string(spans: Column) -> Column:

@@ -110,11 +110,6 @@ def literal_pattern(old: Column) -> Column:
     return F.concat(left, quoted, right)
 
 
-def literal_replacement(new: Column) -> Column:
-    """Escape ``\\`` and ``$`` so the replacement is taken literally."""
-    return F.replace(F.replace(new, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-
-
 def count_words(text: Column) -> Column:
     """Number of whitespace-separated words."""
     return F.regexp_count(text, F.lit(rf"[^{chars.SPACE_SET}]+"))

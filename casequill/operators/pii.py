@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from casequill.functions import chars
 from casequill.functions.spans import find_spans, let, substring_of
-from casequill.functions.text import compare_key, literal_pattern, literal_replacement, strip_chars
+from casequill.functions.text import compare_key, literal_pattern, strip_chars
 from casequill.sources import rules
 
 ENTITY_TYPE = "array<struct<type:string,value:string,first_pos:int,suggestion:string>>"
@@ -329,9 +329,12 @@ def replace_all(text: Column, cleaned: Column) -> Column:
     def step(acc: Column, r: Column) -> Column:
         pattern = literal_pattern(r["old"])
         applies = F.contains(acc["text"], r["old"]) & ~F.contains(r["old"], F.lit("\n"))
-        changed = F.struct(
-            F.regexp_replace(acc["text"], pattern, literal_replacement(r["new"])).alias("text"),
-            (acc["replaced"] + F.regexp_count(acc["text"], pattern)).alias("replaced"),
+        # one pass of the pattern gives both the text and the count
+        changed = let(
+            F.split(acc["text"], pattern, -1),
+            lambda gaps: F.struct(
+                F.call_function("array_join", gaps, r["new"]).alias("text"), (acc["replaced"] + F.size(gaps) - 1).alias("replaced")
+            ),
         )
         return F.when(applies, changed).otherwise(acc)
 

@@ -5,6 +5,9 @@ what earlier ones wrote. To run only the items that can act, the words of all it
 the words of the text and of the replacements: a match covers whole words, so an item of which one
 word occurs in neither can never match. What remains is folded over the text.
 
+Lists of ``FEW_ITEMS`` items or fewer are gathered as one array per document and cleaned there, so their
+items are shuffled once. Longer lists stay rows until the items that can act are known.
+
 One kind of item can make new words out of two neighbours: where ``old`` starts or ends outside a
 word and ``new`` inside one. Documents with such an item keep all their items.
 
@@ -19,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casequill.functions import chars
+from casequill.functions.spans import let
 from casequill.operators.pii import REPLACEMENTS_TYPE, parse_replacements, replace_all
+from casequill.operators.sizing import broadcast_if_small
 from casequill.operators.staging import stage
 from casequill.sources import rules
 
 RUN = chars.WORD_CHAR + "+"
-#: lists up to this length go to the fold as they are; the filter costs more than it saves there
+#: lists up to this length are one array and go to the fold as they are; the filter costs more than it saves there
 FEW_ITEMS = 200
 
 
@@ -38,20 +43,24 @@ def _runs(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
 
 
-def clean_items(items: DataFrame, max_length: int | None = None) -> DataFrame:
-    """Trimmed items with ``problem``: null, ``empty``, ``too long`` or ``repeated`` (not the first of its ``old``)."""
+def _trimmed(items: DataFrame, max_length: int | None) -> DataFrame:
     trimmed = items.where(F.col("doc_id").isNotNull()).select(
         "doc_id", F.col("seq").cast("bigint").alias("seq"), F.trim(F.coalesce("old", F.lit(""))).alias("old"),
         F.coalesce(F.nullif(F.trim("new"), F.lit("")), F.lit(rules.MASK_DEFAULT)).alias("new"),
     )
     long = F.lit(False) if max_length is None else F.greatest(F.length("old"), F.length("new")) > max_length
-    marked = stage(trimmed.withColumn("problem", F.when(F.col("old") == "", "empty").when(long, "too long")))
+    return trimmed.withColumn("problem", F.when(F.col("old") == "", "empty").when(long, "too long"))
+
+
+def clean_items(items: DataFrame, max_length: int | None = None) -> DataFrame:
+    """Trimmed items with ``problem``: null, ``empty``, ``too long`` or ``repeated`` (not the first of its ``old``)."""
+    marked = stage(_trimmed(items, max_length))
     # the first of an old: a hash aggregation, so no list is gathered in one place
     fine = marked.where("problem IS NULL").groupBy("doc_id", F.lower("old").alias("key"))
-    first = fine.agg(F.min(F.struct("seq", "old", "new")).alias("item"), F.count("*").alias("n"))
+    first = stage(fine.agg(F.min(F.struct("seq", "old", "new")).alias("item"), F.count("*").alias("n")))
     kept = first.select("doc_id", "item.*", F.lit(None).cast("string").alias("problem"), F.lit(1).cast("bigint").alias("n"))
     again = first.where("n > 1").select("doc_id", "item.*", F.lit("repeated").alias("problem"), (F.col("n") - 1).alias("n"))
-    return stage(kept.unionByName(again).unionByName(marked.where("problem IS NOT NULL").withColumn("n", F.lit(1).cast("bigint"))))
+    return kept.unionByName(again).unionByName(marked.where("problem IS NOT NULL").withColumn("n", F.lit(1).cast("bigint")))
 
 
 def acting_items(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -70,31 +79,66 @@ def acting_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     return items.join(able, ["doc_id", "seq"], "left_semi").select("doc_id", "seq", "old", "new")
 
 
-def apply_lists(documents: DataFrame, items: DataFrame, max_items: int | None = None, max_length: int | None = None, few: int = FEW_ITEMS) -> DataFrame:
-    """``doc_id, text, replaced, usable, empty, too_long, repeated, reject_reason`` for every document.
+def _reason(max_items: int | None) -> Column:
+    reason = F.when(F.col("usable") == 0, F.lit("nothing selected"))
+    return reason if max_items is None else F.when(F.col("given") > max_items, F.lit("too many replacements")).otherwise(reason)
 
-    ``items(doc_id, seq, old, new)``; ``seq`` is distinct within a document. A list over ``max_items`` is refused whole.
-    Lists of more than ``few`` usable items are filtered by words first, which changes no result.
-    """
-    cleaned = clean_items(items, max_length)
+
+_COUNTS = ["usable", "empty", "too_long", "repeated"]
+_LISTED = ["doc_id", *_COUNTS, "reject_reason", "items"]
+
+
+def _in_order(items: Column) -> Column:
+    """``old, new`` of ``seq, old, new`` structs, longest ``old`` first, then by ``seq``."""
+    ranked = F.transform(items, lambda r: F.struct((-F.length(r["old"])).alias("rank"), r["seq"].alias("seq"), r["old"].alias("old"), r["new"].alias("new")))
+    return F.transform(F.array_sort(ranked), lambda r: F.struct(r["old"].alias("old"), r["new"].alias("new")))
+
+
+def _short_lists(items: DataFrame, max_items: int | None, max_length: int | None) -> DataFrame:
+    """Counts and the items to fold, one row per document; lists are short, so they fit in a row."""
+    gathered = _trimmed(items, max_length).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "old", "new", "problem")).alias("all"))
+    n = lambda problem: F.size(F.filter("all", lambda r: r["problem"] == problem))
+    fine = F.filter("all", lambda r: r["problem"].isNull())
+    keyed = F.array_sort(F.transform(fine, lambda r: F.struct(F.lower(r["old"]).alias("key"), r["seq"].alias("seq"), r["old"].alias("old"), r["new"].alias("new"))))
+    first = let(keyed, lambda ks: F.filter(ks, lambda r, i: (i == 0) | (F.get(ks, i - 1)["key"] != r["key"])))
+    rows = gathered.withColumn("first", first).select(
+        "doc_id", F.size("first").alias("usable"), n("empty").alias("empty"), n("too long").alias("too_long"),
+        F.size("all").alias("given"), _in_order(F.col("first")).alias("items"),
+    )
+    rows = rows.withColumn("repeated", F.col("given") - F.col("usable") - F.col("empty") - F.col("too_long")).withColumn("reject_reason", _reason(max_items))
+    return rows.select(*_LISTED)
+
+
+def _long_lists(documents: DataFrame, items: DataFrame, max_items: int | None, max_length: int | None) -> DataFrame:
+    """The same for lists of any length, of which only the items that can act come into a row."""
+    cleaned = stage(clean_items(items, max_length))
     n = lambda problem: F.sum(F.when(F.col("problem") == problem, F.col("n")).otherwise(0))
     lists = cleaned.groupBy("doc_id").agg(
         F.count_if(F.col("problem").isNull()).alias("usable"), n("empty").alias("empty"), n("too long").alias("too_long"),
         n("repeated").alias("repeated"), F.sum("n").alias("given"),
     )
-    reason = F.when(F.col("usable") == 0, F.lit("nothing selected"))
-    if max_items is not None:
-        reason = F.when(F.col("given") > max_items, F.lit("too many replacements")).otherwise(reason)
-    lists = stage(lists.withColumn("reject_reason", reason))
+    lists = stage(lists.withColumn("reject_reason", _reason(max_items)))
     fine = cleaned.where("problem IS NULL").join(lists.where("reject_reason IS NULL"), "doc_id", "left_semi")
-    many = lists.where(F.col("usable") > few).select("doc_id")
-    acting = acting_items(documents, fine.join(many, "doc_id", "left_semi")).unionByName(fine.join(many, "doc_id", "left_anti").select("doc_id", "seq", "old", "new"))
-    order = F.array_sort(F.collect_list(F.struct((-F.length("old")).alias("rank"), "seq", "old", "new")))
-    folded = acting.groupBy("doc_id").agg(F.transform(order, lambda r: F.struct(r["old"].alias("old"), r["new"].alias("new"))).alias("items"))
-    rows = documents.select("doc_id", "text").join(lists, "doc_id", "left").join(folded, "doc_id", "left")
-    none = F.array().cast(REPLACEMENTS_TYPE)
-    done = rows.withColumn("r", replace_all(F.col("text"), F.coalesce("items", none)))
+    acting = acting_items(documents, fine)
+    folded = acting.groupBy("doc_id").agg(_in_order(F.collect_list(F.struct("seq", "old", "new"))).alias("items"))
+    return lists.join(folded, "doc_id", "left").select(*_LISTED)
+
+
+def apply_lists(documents: DataFrame, items: DataFrame, max_items: int | None = None, max_length: int | None = None, few: int = FEW_ITEMS) -> DataFrame:
+    """``doc_id, text, replaced, usable, empty, too_long, repeated, reject_reason`` for every document.
+
+    ``items(doc_id, seq, old, new)``; ``seq`` is distinct within a document. A list over ``max_items`` is refused whole.
+    Lists of more than ``few`` items are filtered by words first, which changes no result.
+    """
+    many = stage(items.groupBy("doc_id").count().where(F.col("count") > few).select("doc_id"))
+    if many.isEmpty():
+        lists = _short_lists(items, max_items, max_length)
+    else:
+        short = items.join(broadcast_if_small(many), "doc_id", "left_anti")
+        long = items.join(broadcast_if_small(many), "doc_id", "left_semi")
+        lists = _short_lists(short, max_items, max_length).unionByName(_long_lists(documents, long, max_items, max_length))
+    rows = documents.select("doc_id", "text").join(lists, "doc_id", "left")
+    usable = F.when(F.col("reject_reason").isNull(), F.col("items"))
+    done = rows.withColumn("r", replace_all(F.col("text"), F.coalesce(usable, F.array().cast(REPLACEMENTS_TYPE))))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return done.select(
-        "doc_id", "r.text", F.col("r.replaced").cast("bigint").alias("replaced"), *[zero(c) for c in ("usable", "empty", "too_long", "repeated")], "reject_reason"
-    )
+    return done.select("doc_id", "r.text", F.col("r.replaced").cast("bigint").alias("replaced"), *[zero(c) for c in _COUNTS], "reject_reason")

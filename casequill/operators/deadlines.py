@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casequill.functions.dates import add_period, split_days
@@ -105,63 +105,57 @@ def is_rest_day(date: Column) -> Column:
     return F.dayofweek(date).isin(1, 7)
 
 
-def working_calendar(
-    spark: SparkSession, first_year: int, last_year: int, holidays: DataFrame | None = None, lookahead: int = 31
-) -> DataFrame:
-    """``date, rest, work_date``: for each day the first working day from it on.
+def next_working_weekday(date: Column) -> Column:
+    """The date itself, or the Monday behind it; public holidays aside."""
+    return F.date_add(date, F.when(F.dayofweek(date) == 7, 2).when(F.dayofweek(date) == 1, 1).otherwise(0))
 
-    Each year is its own window with ``lookahead`` days of the next year appended, so a run
-    of rest days over New Year is seen. The table has one row per day.
+
+def holiday_runs(holidays: DataFrame) -> DataFrame:
+    """``date, work_date`` for each rest day in a run of rest days that holds one of ``holidays(date)``.
+
+    A run can only touch the weekends of a holiday's own week and of the week before, so the days
+    looked at are the holidays and those weekends: at most the days of the calendar, however many
+    terms ask. They are numbered in order; days of a run have the same distance to their number.
     """
-    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
-    days = years.select(
-        "year",
-        F.explode(
-            F.sequence(
-                F.make_date("year", F.lit(1), F.lit(1)),
-                F.date_add(F.make_date("year", F.lit(12), F.lit(31)), lookahead),
-            )
-        ).alias("date"),
-    )
-    if holidays is None:
-        marked = days.withColumn("holiday", F.lit(False))
-    else:
-        off = holidays.select("date").distinct().withColumn("off", F.lit(True))
-        marked = days.join(broadcast_if_small(off), "date", "left").withColumn(
-            "holiday", F.coalesce("off", F.lit(False))
-        ).drop("off")
-    rest = marked.withColumn("rest", is_rest_day(F.col("date")) | F.col("holiday"))
-    onward = Window.partitionBy("year").orderBy("date").rowsBetween(0, Window.unboundedFollowing)
-    rolled = rest.withColumn("work_date", F.min(F.when(~F.col("rest"), F.col("date"))).over(onward))
-    return rolled.where(F.year("date") == F.col("year")).select("date", "rest", "work_date")
-
-
-def rest_days(dates: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Rows of ``dates(date, ...)`` that fall on a weekend or holiday."""
-    return dates.join(
-        broadcast_if_small(calendar.where("rest").select("date")), "date", "left_semi"
-    )
+    monday = F.date_trunc("week", "date").cast("date")
+    near = F.array(F.col("date"), *[F.date_add(monday, n) for n in (-2, -1, 5, 6)])
+    days = holidays.where("date IS NOT NULL").select(F.col("date").cast("date").alias("date")).distinct()
+    days = days.select(F.explode(near).alias("date")).distinct()
+    numbered = days.withColumn("run", F.date_sub("date", F.row_number().over(Window.orderBy("date"))))
+    runs = numbered.groupBy("run").agg(F.sort_array(F.collect_list("date")).alias("dates"), F.date_add(F.max("date"), 1).alias("work_date"))
+    return runs.select(F.explode("dates").alias("date"), "work_date")
+
 
+def rest_days(dates: DataFrame, holidays: DataFrame) -> DataFrame:
+    """Rows of ``dates(date, ...)`` that fall on a weekend or one of ``holidays(date)``."""
+    off = holidays.select(F.col("date").cast("date").alias("date")).distinct().withColumn("_off", F.lit(True))
+    marked = dates.join(broadcast_if_small(off), "date", "left")
+    return marked.where(is_rest_day(F.col("date")) | F.col("_off").isNotNull()).select(*dates.columns)
 
-def procedural_terms(terms: DataFrame, calendar: DataFrame) -> DataFrame:
+
+def procedural_terms(terms: DataFrame, holidays: DataFrame) -> DataFrame:
     """Evaluate ``terms(term_id, start_date, years, months, days)``: calendar end, end moved to
-    the next working day, and whether it moved. The calendar, one row per day covered, is
-    broadcast behind a size check. An end outside the calendar is an error."""
-    placed = terms.withColumn(
-        "calendar_end", add_period(F.col("start_date"), F.col("years"), F.col("months"), F.col("days"))
-    )
-    joined = placed.join(
-        broadcast_if_small(calendar.select(F.col("date").alias("calendar_end"), "work_date")), "calendar_end", "left"
+    the next working day, and whether it moved. Weekends are arithmetic; only runs of rest days with one of
+    ``holidays(date)`` are looked up, behind a size check. Any year will do. A term without an end is an error."""
+    placed = terms.withColumn("calendar_end", procedural_end())
+    runs = holiday_runs(holidays).withColumnRenamed("date", "calendar_end")
+    joined = placed.join(broadcast_if_small(runs), "calendar_end", "left").withColumn(
+        "work_date", F.coalesce("work_date", next_working_weekday(F.col("calendar_end")))
     )
     return joined.select(
         "term_id",
         "calendar_end",
         F.col("work_date").alias("end_date"),
         (F.col("work_date") != F.col("calendar_end")).alias("moved"),
-        F.when(F.col("work_date").isNull(), F.lit("outside the calendar")).alias("error"),
+        F.when(F.col("work_date").isNull(), F.lit("no end date")).alias("error"),
     )
 
 
+def procedural_end() -> Column:
+    """Calendar end of a term with ``start_date, years, months, days``."""
+    return add_period(F.col("start_date"), F.col("years"), F.col("months"), F.col("days"))
+
+
 def custody_terms(terms: DataFrame, yellow_hours: float, red_hours: float) -> DataFrame:
     """Evaluate ``terms(term_id, start_time, hours, as_of)``: end, hours left, colour. Never moved
     for rest days; the thresholds (hours left) are the caller's."""

@@ -128,7 +128,7 @@ owed AS (SELECT loan_id, (principal - coalesce(pp, 0))::DOUBLE AS principal_left
 
 _ROUND = "floor({0} * 100 + 0.5) / 100 AS {0}"
 
-CALENDAR = """days AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '1995-01-01', DATE '2011-01-31', INTERVAL 1 DAY) s(d)),
+CALENDAR = """days AS (SELECT CAST(unnest(generate_series(min(CAST(o_orderdate AS TIMESTAMP)), max(CAST(o_orderdate AS TIMESTAMP)) + INTERVAL 3 YEAR, INTERVAL 1 DAY)) AS DATE) AS date FROM orders),
 rest AS (SELECT date, dayofweek(date) IN (0, 6) OR (month(date), day(date)) IN ((1, 1), (4, 30), (5, 1), (9, 2)) AS off FROM days),
 calendar AS (SELECT date, off, min(CASE WHEN NOT off THEN date END) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS work_date FROM rest)"""
 
@@ -198,8 +198,8 @@ CASE WHEN error IS NULL THEN CASE WHEN remaining <= 0 THEN 'expired' WHEN remain
 CASE WHEN error IS NULL THEN CASE WHEN elapsed >= total_days THEN 'red' WHEN elapsed >= total_days * 0.75 THEN 'yellow' ELSE 'normal' END END AS color FROM w""",
     "procedural_terms": f"""WITH {CALENDAR}, t AS (SELECT o_orderkey AS term_id,
    CAST(CAST(CAST(o_orderdate AS DATE) + to_months(CAST(o_orderkey % 2 * 12 + o_orderkey % 13 AS INTEGER)) AS DATE) + CAST(o_orderkey % 29 AS INTEGER) AS DATE) AS calendar_end FROM orders)
-SELECT term_id, calendar_end, work_date AS end_date, work_date <> calendar_end AS moved, {WEEKDAY.format('work_date')} AS weekday
-FROM t JOIN calendar ON date = calendar_end""",
+SELECT term_id, calendar_end, work_date AS end_date, work_date <> calendar_end AS moved, CASE WHEN work_date IS NULL THEN 'no end date' END AS error, {WEEKDAY.format('work_date')} AS weekday
+FROM t LEFT JOIN calendar ON date = calendar_end""",
     "rest_day_orders": f"WITH {CALENDAR} SELECT o_orderkey, date FROM orders JOIN calendar ON date = CAST(o_orderdate AS DATE) WHERE off",
     "custody_terms": """WITH t AS (SELECT event_id AS term_id, date_trunc('second', ts) + to_hours(CAST(event_id % 3 * 120 + 72 AS INTEGER)) AS e FROM events),
 l AS (SELECT *, greatest(date_diff('second', TIMESTAMP '2024-01-15', e) / 3600.0::DOUBLE, 0) AS h FROM t)

@@ -15,7 +15,6 @@ from casequill.sources import files
 AS_OF = datetime.date(1999, 6, 1)
 MOMENT = datetime.datetime(2024, 1, 15)
 STAMP = "01/01/2026 00:00:00"
-FIRST_YEAR, LAST_YEAR = 1995, 2010
 
 
 def long(column, name):
@@ -207,17 +206,14 @@ def detention_terms(spark, sf_dir):
     return done.withColumns({c: F.col(c).cast("bigint") for c in ("total_days", "left_months", "left_days", "elapsed", "remaining", "percent")})
 
 
-def _holidays(spark):
-    """New Year, two days around 1 May and 2 September of each calendar year."""
-    years = spark.range(FIRST_YEAR, LAST_YEAR + 2).select(F.col("id").cast("int").alias("y"))
+def _holidays(dates: DataFrame) -> DataFrame:
+    """New Year, two days around 1 May and 2 September of the years of ``dates(date)`` and the years after them."""
+    years = dates.select(F.year("date").alias("y")).where("y IS NOT NULL").distinct()
+    years = years.select(F.explode(F.array("y", F.col("y") + 1)).alias("y")).distinct()
     days = [(1, 1), (4, 30), (5, 1), (9, 2)]
     return years.select(F.explode(F.array(*[F.make_date("y", F.lit(m), F.lit(d)) for m, d in days])).alias("date"))
 
 
-def _calendar(spark):
-    return deadlines.working_calendar(spark, FIRST_YEAR, LAST_YEAR, _holidays(spark))
-
-
 def procedural_terms(spark, sf_dir):
     key = F.col("o_orderkey")
     terms = inputs.table(spark, sf_dir, "orders").select(
@@ -227,13 +223,13 @@ def procedural_terms(spark, sf_dir):
         (key % 13).cast("int").alias("months"),
         (key % 29).cast("int").alias("days"),
     )
-    done = deadlines.procedural_terms(terms, _calendar(spark))
-    return done.select("term_id", "calendar_end", "end_date", "moved", dates.weekday_name(F.col("end_date")).alias("weekday"))
+    done = deadlines.procedural_terms(terms, _holidays(terms.select(deadlines.procedural_end().alias("date"))))
+    return done.select("term_id", "calendar_end", "end_date", "moved", "error", dates.weekday_name(F.col("end_date")).alias("weekday"))
 
 
 def rest_day_orders(spark, sf_dir):
     orders = inputs.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
-    return deadlines.rest_days(orders, _calendar(spark)).select("o_orderkey", "date")
+    return deadlines.rest_days(orders, _holidays(orders)).select("o_orderkey", "date")
 
 
 def custody_terms(spark, sf_dir):

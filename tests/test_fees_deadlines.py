@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -75,19 +76,35 @@ def test_warning_levels(spark):
 
 def test_procedural_roll(spark):
     holidays = spark.createDataFrame([(D("2026-12-31"),), (D("2027-01-01"),)], "date date")
-    calendar = DL.working_calendar(spark, 2026, 2027, holidays)
-    assert calendar.count() == 730
     terms = spark.createDataFrame(
-        [(1, D("2026-07-01"), 0, 0, 1), (2, D("2026-07-01"), 0, 0, 4), (3, D("2026-12-30"), 0, 0, 1), (4, D("2030-01-01"), 0, 0, 1)],
+        [(1, D("2026-07-01"), 0, 0, 1), (2, D("2026-07-01"), 0, 0, 4), (3, D("2026-12-30"), 0, 0, 1), (4, D("2030-01-01"), 0, 0, 1), (5, None, 0, 0, 1)],
         "term_id long, start_date date, years int, months int, days int",
     )
-    got = {r.term_id: r for r in DL.procedural_terms(terms, calendar).collect()}
+    got = {r.term_id: r for r in DL.procedural_terms(terms, holidays).collect()}
     assert str(got[1].end_date) == "2026-07-02" and not got[1].moved
     assert str(got[2].end_date) == "2026-07-06" and got[2].moved
     assert str(got[3].end_date) == "2027-01-04"
-    assert got[4].error == "outside the calendar"
+    assert str(got[4].end_date) == "2030-01-02" and got[4].error is None  # any year
+    assert got[5].end_date is None and got[5].error == "no end date"
     days = spark.createDataFrame([(D("2026-07-04"),), (D("2026-07-06"),), (D("2027-01-01"),)], "date date")
-    assert DL.rest_days(days, calendar).count() == 2
+    assert DL.rest_days(days, holidays).count() == 2
+
+
+def test_working_days_match_a_walk(spark):
+    """Holidays next to weekends, over New Year, in a run of weeks, repeated, null, and none at all."""
+    rng = random.Random(5)
+    days = [D("2024-12-20") + dt.timedelta(n) for n in range(60)]
+    listed = [d for d in days if rng.random() < 0.35] + [D("2031-05-02") + dt.timedelta(n) for n in range(40)]
+    asked = [*days, *[D("2031-04-25") + dt.timedelta(n) for n in range(60)], D("1890-03-01"), D("2400-02-26")]
+    terms = spark.createDataFrame([(i, d, 0, 0, 0) for i, d in enumerate(asked)], "term_id long, start_date date, years int, months int, days int")
+    for off in (listed, []):
+        got = DL.procedural_terms(terms, spark.createDataFrame([(d,) for d in [*off, *off, None]], "date date")).collect()
+        assert len(got) == len(asked)
+        for r in got:
+            day = asked[r.term_id]
+            while day.weekday() >= 5 or day in off:
+                day += dt.timedelta(1)
+            assert (r.calendar_end, r.end_date, r.moved) == (asked[r.term_id], day, day != asked[r.term_id])
 
 
 def test_custody(spark):

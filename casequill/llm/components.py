@@ -41,3 +41,11 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
         now = stage(_small_star(_large_star(now)))
         before, mark = mark, _mark(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def with_least_id(classes: DataFrame, reached: DataFrame) -> DataFrame:
+    """``classes(name, low, ...)`` with ``least``, the smallest ``low`` of the component of ``name``; null where all are null."""
+    whole = classes.join(reached.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    # lone classes need no look at others
+    lows = whole.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("members")).where("members > 1").drop("members")
+    return whole.join(lows, "component", "left").withColumn("least", F.coalesce("least", "low")).drop("component")

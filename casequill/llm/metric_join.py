@@ -21,7 +21,7 @@ Cosines that are within rounding of the bound are computed again from the vector
 Defined cases: a vector that is null, empty, all zero or holds a null, NaN or infinite component
 links with nothing, copies of it included, and is kept. Vectors of different length don't link.
 Equal ids are vectors of their own; they link if their vectors do. Null ids count as
-neighbours, and their own component is null. No rows in, no rows out. Only the id and vector columns are read.
+neighbours and carry links; a component of null ids alone has the id null. No rows in, no rows out. Only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casequill.llm.components import smallest_reachable
+from casequill.llm.components import smallest_reachable, with_least_id
 from casequill.operators.staging import stage
 
 LEAST_COSINE = 0.9
@@ -245,9 +245,10 @@ def linked_vectors(
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).alias("raw"))
     fine = usable(rows, "raw").select("id", F.col("raw").alias("vec"))
     groups = fine.groupBy("vec").agg(F.min("id").alias("low"), F.count("*").alias("weight"))
-    # classes of null ids alone get names that no id has
-    classes = stage(groups.withColumn("name", F.coalesce("low", F.xxhash64("vec"))))
+    classes = stage(groups.withColumn("name", F.col("low")))
     n = classes.count()
+    if classes.select("low").where("low IS NOT NULL").distinct().count() < n:  # null ids, or an id with several vectors
+        classes = stage(classes.withColumn("name", F.monotonically_increasing_id()))
     count = min(MAX_PIVOTS, math.ceil(n / cell_rows))
     picked = classes.orderBy(F.xxhash64("name"), "name").limit(count).select("vec").collect() if count > 1 else []
     cells = _Cells(pa.array([list(p.vec) for p in picked], pa.list_(pa.float64())))
@@ -258,9 +259,8 @@ def linked_vectors(
     found = stage(_joined(_dealt(classes, cells, radii, blocks, r), least_cosine))
     reached = smallest_reachable(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("w IS NOT NULL").groupBy(F.col("a").alias("name")).agg(F.sum("w").alias("others"))
-    named = classes.join(counts, "name", "left").join(reached.withColumnRenamed("node", "name"), "name", "left").select(
-        "vec", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "low").alias("component_id"),
-    )
+    named = with_least_id(classes, reached).join(counts, "name", "left").select(
+        "vec", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.col("least").alias("component_id"), F.lit(True).alias("fine")
+    )
     out = rows.withColumnRenamed("raw", "vec").join(named, "vec", "left")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("fine"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -20,7 +20,7 @@ there are few different ones.
 
 Defined cases: a null text counts as empty. A text without words has the fingerprint 0, and
 one with fewer words than a shingle has one shingle of all its words. Null ids form classes
-like others but are not used as names while a class has another id. Repeated rows are links of
+and carry links like others; a component of null ids alone has the id null. Repeated rows are links of
 the same class. No rows in, no rows out. Only the id and text columns are read.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casequill.llm.common import keep_rows, text_tag, whole_text
-from casequill.llm.components import smallest_reachable
+from casequill.llm.components import smallest_reachable, with_least_id
 from casequill.operators.staging import stage
 
 WIDTH = 4
@@ -169,11 +169,15 @@ def near_copies(
 ) -> DataFrame:
     """One row per document: id, tag, print and component, the smallest id that its links reach."""
     prints = stage(fingerprints(docs, text, doc_id, width))
-    classes = stage(prints.groupBy("print").agg(F.min("id").alias("name")))
-    reached = smallest_reachable(links(classes.where("name IS NOT NULL"), radius, crowded))
-    named = classes.join(reached.withColumnRenamed("node", "name"), "name", "left").select(
-        "print", F.coalesce("component", "name").alias("component")
-    )
+    classes = stage(prints.groupBy("print").agg(F.min("id").alias("low")))
+    if classes.where("low IS NULL").isEmpty():
+        classes = classes.withColumn("name", F.col("low"))
+        found = links(classes, radius, crowded)
+    else:  # classes of null ids get numbers, all others too, and classes that share an id are linked
+        classes = stage(classes.withColumn("name", F.monotonically_increasing_id()))
+        first = classes.where("low IS NOT NULL").groupBy("low").agg(F.min("name").alias("a"))
+        found = links(classes, radius, crowded).union(classes.join(first, "low").select("a", F.col("name").alias("b")))
+    named = with_least_id(classes, smallest_reachable(found)).select("print", F.col("least").alias("component"))
     return prints.join(named, "print").select("id", "tag", "print", "component")
 
 

@@ -56,5 +56,15 @@ def test_bound_is_met_exactly(spark):
     assert found == {1: 1, 2: 2, 3: 1, 4: 0}
 
 
+def test_null_and_equal_ids_carry_links(spark):
+    """A vector without an id joins two others, null ids alone have no name, and an id may have several vectors."""
+    turn = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    data = [(8, turn(0)), (None, turn(20)), (5, turn(40)), (None, turn(180)), (None, turn(185)), (7, turn(100)), (7, turn(270)), (9, turn(110))]
+    found = metric_join.linked_vectors(_frame(spark, data)).collect()
+    got = sorted(((r.id, r.n_links, r.component_id) for r in found), key=repr)
+    expected = [(8, 1, 5), (None, 2, 5), (5, 1, 5), (None, 1, None), (None, 1, None), (7, 1, 7), (7, 0, 7), (9, 1, 7)]
+    assert got == sorted(expected, key=repr)
+
+
 def test_empty(spark):
     assert metric_join.linked_vectors(_frame(spark, [])).count() == 0

@@ -72,11 +72,28 @@ def test_near_copies_match_brute_force(spark, crowded):
     for doc_id, text, *_ in data:
         prints.setdefault(brute_print(text or ""), []).append(doc_id)
     low = {p: min((i for i in ids if i is not None), default=None) for p, ids in prints.items()}
-    named = [p for p, i in low.items() if i is not None]
-    near = components_of(sorted(low[p] for p in named), lambda a, b, of={low[p]: p for p in named}: (of[a] ^ of[b]).bit_count() <= 4)
+    near = components_of(sorted(prints), lambda a, b: (a ^ b).bit_count() <= 4 or low[a] is not None and low[a] == low[b])
+    least = {}
+    for p in prints:
+        least.setdefault(near[p], []).append(low[p])
     for r in found:
-        p = r.print & (2**64 - 1)
-        assert r.component == near.get(low[p])
+        known = [i for i in least[near[r.print & (2**64 - 1)]] if i is not None]
+        assert r.component == min(known, default=None)
+
+
+def test_null_ids_carry_links(spark):
+    """Two documents beyond the radius are joined by one without an id; without any id the component is null."""
+    rng, words = random.Random(3), [f"w{i}" for i in range(400)]
+    chain = [" ".join(words)]
+    while (brute_print(chain[0]) ^ brute_print(chain[-1])).bit_count() <= 4:
+        words[rng.randrange(len(words))] = f"x{len(chain)}"
+        chain.append(" ".join(words))
+    between = next(t for t in chain if all((brute_print(t) ^ brute_print(chain[e])).bit_count() <= 4 for e in (0, -1)))
+    data = [(9, chain[0], "en", "a"), (5, chain[-1], "en", "a"), (None, between, "en", "a"), (-3, "some other text", "en", "a")]
+    found = simhash.near_copies(edge.documents(spark, data)).collect()
+    assert sorted(r.component for r in found) == [-3, 5, 5, 5]
+    alone = edge.documents(spark, [(None, chain[0], "en", "a"), (None, chain[1], "en", "a"), (1, "else", "en", "a")])
+    assert [r.component for r in simhash.near_copies(alone).collect()].count(None) == 2
 
 
 def test_components_of_a_long_path(spark):

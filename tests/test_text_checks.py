@@ -24,6 +24,7 @@ ERROR_CASES = [
     ("Quyền của đương sư được bảo đảm.", "đương sư"), ("Công tác thi hành áng dân sự.", "thi hành áng"),
     ("Viện kiểm sát  nhân dân.", "  "), ("Nội dung ,tài liệu kèm theo.", " ,"),
 ]
+# fixed values: labelled sentences without an issue
 CLEAN_CASES = [
     "Viện kiểm sát nhân dân ban hành quyết định khởi tố bị can.", "Kiểm sát viên nghiên cứu hồ sơ vụ án.",
     "Bị cáo Nguyễn Văn A trình bày tại phiên tòa.", "Cơ quan điều tra đã chuyển kết luận điều tra.",

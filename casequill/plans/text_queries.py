@@ -289,9 +289,9 @@ def decoded_texts(spark, sf_dir):
 
 def streamed_issue_counts(spark, sf_dir):
     """The drop folder: documents as a file stream through the paragraph rules, then counted."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    table = f"{sf_dir.rstrip('/')}/documents.parquet"
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    stream = drop_folder.read_folder(spark, sf_dir, schema, pattern="documents.parquet")
+    stream = drop_folder.read_table(spark, table, spark.read.parquet(table).schema)
     paras = docs.non_blank(docs.paragraphs(stream.select("doc_id", "text", "source"), "source"))
     issues = paras.select("source", F.explode(spell.rule_issues(F.col("text"), TEST_PACK)).alias("i")).select("source", "i.severity")
     drop_folder.run_available(issues, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()

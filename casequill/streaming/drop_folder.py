@@ -24,6 +24,13 @@ def read_folder(
     return reader.load(path)
 
 
+def read_table(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet") -> DataFrame:
+    """Stream of a table that is one file or a folder of files. A plain path must be a folder, so the
+    path is given as a pattern that matches nothing else; Spark then lists either."""
+    path = path.rstrip("/")
+    return spark.readStream.format(fmt).schema(schema).load(f"{path[:-1]}[{path[-1]}]")
+
+
 def run_available(
     stream: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet"
 ) -> StreamingQuery:

@@ -54,5 +54,11 @@ def test_query(spark, duck, name):
     assert normal(rows, df.columns) == normal(result.fetchall(), columns)
 
 
+def test_streamed_table_of_several_files(spark, duck, tmp_path):
+    spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [tuple(r) for r in entry.queries()["streamed_issue_counts"](spark, str(tmp_path)).select("source", "error", "warning", "style").collect()]
+    assert rows and sorted(rows) == sorted(duck.execute(entry.oracle_sql()["streamed_issue_counts"]).fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -22,16 +22,18 @@ from casequill.functions.spans import (
     context_snippet,
     find_spans,
     first_come,
+    is_free,
     keep_free,
     let,
     mark_hits,
+    occupancy,
     prefix_sums,
     rule_array,
     spans_of_lengths,
     substring_of,
 )
 from casequill.functions.text import copy_capital, is_upper, nfc
-from casequill.operators.sizing import MAX_BROADCAST_ROWS, is_small
+from casequill.operators.sizing import MAX_BROADCAST_ROWS, broadcast_if_small, is_small
 from casequill.operators.staging import stage
 from casequill.operators.word_index import nearest
 from casequill.sources import rules
@@ -203,6 +205,15 @@ def protected_spans(text: Column, pack: SpellRules = VIETNAMESE) -> Column:
     return F.concat(*[find_spans(text, p) for p in protected_patterns(pack)])
 
 
+def guard_masks(text: Column, pack: SpellRules = VIETNAMESE, rule_ranges: bool = True) -> Column:
+    """``array<string>``: per kind of range where the dictionary is not asked a string as long as the text
+    with ``1`` under the ranges; kinds without a range are left out. Ranges of one kind are disjoint."""
+    kinds = [find_spans(text, p) for p in protected_patterns(pack)]
+    if rule_ranges:
+        kinds.append(F.transform(rule_issues(text, pack), lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"))))
+    return F.filter(F.array(*[let(spans, lambda ss: occupancy(text, ss)) for spans in kinds]), lambda mask: mask != "")
+
+
 def after_number(before: Column) -> Column:
     """The text before a token, cut to 40 characters, ends in a number or a range of numbers."""
     number = r"\p{Nd}+(?:[.,]\p{Nd}+)?"
@@ -214,7 +225,7 @@ def after_number(before: Column) -> Column:
 TOKENS_PER_BLOCK = 512
 #: characters that a block knows of its neighbours: a context and one more, to see whether it is cut
 MARGIN = CONTEXT_RADIUS + 1
-#: characters per position bin of the overlap join
+#: characters per position bin of the join with given issues
 BIN = 256
 _BLOCK = "struct<pos:int,marked:string,before:string,after:string>"
 
@@ -250,22 +261,32 @@ def _token_blocks(text: Column) -> Column:
     return let(mark_hits(text, F.lit(chars.TOKEN)), choose)
 
 
-def token_rows(paras: DataFrame, *keep: str) -> DataFrame:
+def token_rows(paras: DataFrame, *keep: str, masks: Column | None = None) -> DataFrame:
     """One row per word token: kept columns, start, end, token, and the block it stands in.
 
-    Starts are prefix sums over the pieces of a block, so no token looks through its paragraph.
+    Starts are prefix sums over the pieces of a block, so no token looks through its paragraph. ``masks`` are
+    strings as long as the text, as of ``guard_masks``; tokens over a ``1`` are left out. Each block has its own
+    part of them, so ranges are looked up inside the row and nothing is joined.
     """
-    blocks = paras.select(*keep, F.explode(_token_blocks(F.col("text"))).alias("block"))
-    pieces = blocks.select(*keep, "block", F.split("block.marked", MARK).alias("pieces")).where(F.contains("block.marked", F.lit(MARK)))
+    masked = paras.select(*keep, "text", (F.array().cast("array<string>") if masks is None else masks).alias("masks"))
+    # an outer explode: Spark puts a filter on the size of its array before a plain one, which makes the array again
+    blocks = masked.select(*keep, "masks", F.explode_outer(_token_blocks(F.col("text"))).alias("block"))
+    own = F.transform("masks", lambda m: F.substring(m, F.col("block.pos") + 1, F.length(F.translate("block.marked", MARK, ""))))
+    pieces = blocks.select(
+        *keep, "block", F.filter(own, lambda m: F.contains(m, F.lit("1"))).alias("masks"), F.split("block.marked", MARK).alias("pieces")
+    ).where(F.contains("block.marked", F.lit(MARK)))
     spans = spans_of_lengths(F.transform("pieces", lambda x: F.length(x)))
-    hits = F.filter("pieces", lambda x, i: i % 2 == 1)
+    tokens = F.filter("pieces", lambda x, i: i % 2 == 1)
     # the block's text is made once here: an expression beside explode would run for every token
     placed = pieces.select(
-        *keep, F.col("block.pos").alias("block_pos"), F.length("block.before").alias("lead"),
+        *keep, "masks", F.col("block.pos").alias("block_pos"), F.length("block.before").alias("lead"),
         F.concat("block.before", F.translate("block.marked", MARK, ""), "block.after").alias("body"),
-        F.arrays_zip(spans.alias("span"), hits.alias("token")).alias("hits"),
+        F.arrays_zip(spans.alias("span"), tokens.alias("token")).alias("hits"),
     )
-    rows = placed.select(*keep, "block_pos", "lead", "body", F.explode("hits").alias("t"))
+    free = F.filter("hits", lambda t: ~F.exists("masks", lambda m: ~is_free(m, t["span"])))
+    rows = placed.select(
+        *keep, "block_pos", "lead", "body", F.explode_outer(F.when(F.size("masks") == 0, F.col("hits")).otherwise(free)).alias("t")
+    ).where(F.col("t").isNotNull())
     return rows.select(
         *keep, "block_pos", "lead", "body", (F.col("block_pos") + F.col("t.span.start")).alias("start"),
         (F.col("block_pos") + F.col("t.span.end")).alias("end"), F.col("t.token").alias("token"),
@@ -288,31 +309,21 @@ def outside(tokens: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
     """Rows of ``tokens(*keys, start, end)`` that overlap no row of ``spans(*keys, start, end)``.
 
     Both are dealt to position bins and joined there, so a long text with many spans is no nested
-    loop, and its bins lie in many tasks. Null keys equal null keys.
+    loop, and its bins lie in many tasks. Null keys equal null keys. Both joins are merged: the rows come out of
+    explodes, of which Spark's size estimate knows nothing, so it would send them through the driver.
     """
     spread = lambda df: df.select(*keys, "start", "end", F.explode(_bins(F.col("start"), F.col("end"))).alias("bin"))
     t, s = spread(tokens).alias("t"), spread(spans).alias("s")
     overlap = (F.col("t.start") < F.col("s.end")) & (F.col("t.end") > F.col("s.start"))
-    met = t.join(s, _same("t", "s", *keys) & (F.col("t.bin") == F.col("s.bin")) & overlap, "left_semi").select(*keys, "start")
-    return tokens.alias("t").join(met.distinct().alias("m"), _same("t", "m", *keys, "start"), "left_anti")
+    met = t.join(s.hint("merge"), _same("t", "s", *keys) & (F.col("t.bin") == F.col("s.bin")) & overlap, "left_semi").select(*keys, "start")
+    return tokens.alias("t").join(met.distinct().alias("m").hint("merge"), _same("t", "m", *keys, "start"), "left_anti")
 
 
-def unknown_tokens(
-    paras: DataFrame, words: DataFrame, pack: SpellRules = VIETNAMESE, max_broadcast: int = MAX_BROADCAST_ROWS,
-    issues: DataFrame | None = None,
-) -> DataFrame:
-    """Checked tokens outside the dictionary: doc_id, para_no, location, start, end, token, word, context.
-
-    With a dictionary within ``max_broadcast`` rows known tokens are dropped where they are produced,
-    else by a join of token rows. Only what is left meets the ranges where the dictionary is not
-    asked: protected ranges and those of rule issues. ``issues``, with the columns of
-    ``tagged_rule_issues``, saves computing the latter again.
-    """
-    keys = (*PARA_KEY, "tag")
-    tagged = paras.select(*PARA_KEY, "text", F.xxhash64("text").alias("tag"))
+def _asked_tokens(paras: DataFrame, words: DataFrame, pack: SpellRules, max_broadcast: int, masks: Column | None, *keys: str) -> DataFrame:
+    """Tokens outside the dictionary that no mask covers: keys, start, end, token, word, context."""
     token, text = F.col("token"), F.col("body")
     candidates = (
-        token_rows(tagged, *keys)
+        token_rows(paras, *keys, masks=masks)
         .where((F.length("token") > 1) & ~is_upper(token) & ~F.regexp_like(token, F.lit("[²³¹⁰⁴-⁹₀-₉]")) & ~token.isin(*pack.acronyms))
         .withColumn("word", F.lower("token"))
     )
@@ -326,15 +337,27 @@ def unknown_tokens(
     placed = candidates.where(~(F.col("word").isin(*pack.units) & after_number(before))).select(
         *keys, "start", "end", "token", "word", context_snippet(text, first, last).alias("context")
     )
-    # read twice by the overlap join
-    placed = stage(placed if small else placed.join(known, "word", "left_anti"))
-    spans = protected_spans(F.col("text"), pack)
+    return placed if small else placed.join(known, "word", "left_anti")
+
+
+def unknown_tokens(
+    paras: DataFrame, words: DataFrame, pack: SpellRules = VIETNAMESE, max_broadcast: int = MAX_BROADCAST_ROWS,
+    issues: DataFrame | None = None,
+) -> DataFrame:
+    """Checked tokens outside the dictionary: doc_id, para_no, location, start, end, token, word, context.
+
+    With a dictionary within ``max_broadcast`` rows known tokens are dropped where they are produced,
+    else by a join of token rows. Ranges where the dictionary is not asked, protected ones and those of rule
+    issues, are looked up in the paragraph's own row; nothing is written and texts are not shuffled. ``issues``, with
+    the columns of ``tagged_rule_issues``, takes the place of the rules; its rows are joined by position.
+    """
     if issues is None:
-        spans = F.concat(F.transform(rule_issues(F.col("text"), pack), lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"))), spans)
-    blocked = tagged.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.start", "s.end")
-    if issues is not None:
-        blocked = blocked.unionByName(issues.select(*keys, "start", "end"))
-    return outside(placed, blocked, *keys).drop("tag")
+        return _asked_tokens(paras, words, pack, max_broadcast, guard_masks(F.col("text"), pack), *PARA_KEY)
+    keys = (*PARA_KEY, "tag")
+    tagged = paras.select(*PARA_KEY, "text", F.xxhash64("text").alias("tag"))
+    # read twice by the overlap join
+    placed = stage(_asked_tokens(tagged, words, pack, max_broadcast, guard_masks(F.col("text"), pack, rule_ranges=False), *keys))
+    return outside(placed, issues.select(*keys, "start", "end"), *keys).drop("tag")
 
 
 MIN_BASE_RATIO = 0.67
@@ -381,9 +404,11 @@ def dictionary_issues(
     issues: DataFrame | None = None,
 ) -> DataFrame:
     """Warnings for tokens outside the dictionary that have a close enough suggestion."""
-    # read twice: for the distinct words and for the final join
-    unknown = stage(unknown_tokens(paras, words, pack, issues=issues))
-    fixes = corrections(unknown, words, lookup, exact)
+    # the texts are read twice, so that no token rows are written: first for the words alone, also those in
+    # guarded ranges, which are few
+    asked = _asked_tokens(paras, words, pack, MAX_BROADCAST_ROWS, None, *PARA_KEY)
+    fixes = broadcast_if_small(stage(corrections(asked, words, lookup, exact)))
+    unknown = unknown_tokens(paras, words, pack, issues=issues)
     capital = F.regexp_like("token", F.lit("^" + chars.UPPER))
     accepted = unknown.join(fixes, "word").where(
         F.col("ratio") >= F.when(capital, MIN_RATIO_CAPITAL).otherwise(MIN_RATIO)
@@ -431,9 +456,9 @@ def explode_rule_issues(paras: DataFrame, pack: SpellRules = VIETNAMESE) -> Data
 def check(
     paras: DataFrame, words: DataFrame, lookup: DataFrame, pack: SpellRules = VIETNAMESE, exact: bool = True
 ) -> DataFrame:
-    """All issues of the paragraphs as rows. The rules run once; the dictionary reads their ranges."""
-    issues = stage(tagged_rule_issues(paras, pack))
-    return issues.drop("tag").unionByName(dictionary_issues(paras, words, lookup, pack, exact, issues))
+    """All issues of the paragraphs as rows. The rules run twice, for their issues and for the ranges where the
+    dictionary is not asked; that is cheaper than writing either."""
+    return explode_rule_issues(paras, pack).unionByName(dictionary_issues(paras, words, lookup, pack, exact))
 
 
 def number_issues(issues: DataFrame) -> DataFrame:

@@ -51,6 +51,12 @@ def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a narrow table dealt to all tasks by key. Such a table is a few megabytes even with millions of rows,
+    so it is read by a task or two, which would then do all the work on the texts made of it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One short Vietnamese note per customer, with a person, a witness, numbers and an address."""
     key = F.col("c_custkey")
@@ -67,7 +73,8 @@ def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(", phường "), (F.col("c_nationkey") + 1).cast("string"),
         F.lit("\nNgười làm chứng "), witness, F.lit(" khai đã gặp bà "), person, F.lit(" tại tòa án."),
     )
-    return table(spark, sf_dir, "customer").select(key.alias("doc_id"), text.alias("text"))
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    return customers.select(key.alias("doc_id"), text.alias("text"))
 
 
 def title_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +180,7 @@ def guarded_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Xem "), w, F.lit(" https://tòa.vn/"), w, F.lit("/x và "), w, F.lit(".q@vn.example.org nhé "), w, F.lit(" 12/2020/"), w,
         F.lit(" TANDTC nặng "), key, F.lit(" kg hay kg "), w, F.lit(" bị cáo Nguyễn Văn Zung of the "), w, F.lit("."),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
 
 def misspelt_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +189,7 @@ def misspelt_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = table(spark, sf_dir, "benchmark")
     words = benchmark.select("item_id", F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0)).alias("words")).where(F.size("words") > 0)
     key = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").select(key, (key % benchmark.count()).alias("item_id"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(key, (key % benchmark.count()).alias("item_id"))
     word = F.get("words", (F.floor(key / 7) % F.size("words")).cast("int"))
     wrong = parts.join(words, "item_id").select(
         key.alias("doc_id"), F.when(key % 2 == 0, F.concat(F.left(word, F.lit(1)), F.substring(word, 3, 100))).otherwise(F.concat(word, F.right(word, F.lit(1)))).alias("w")

@@ -6,6 +6,7 @@ import time
 
 from casequill.functions import chars
 from casequill.operators import spell
+from casequill.sources.dictionary import lookup_table
 
 SCHEMA = "doc_id long, para_no int, location string, text string"
 PY_TOKEN = re.compile("[^\\W\\d_]+(?:[-'][^\\W\\d_]+)*")
@@ -95,3 +96,21 @@ def test_time_grows_with_the_length_of_one_paragraph(spark):
 
 def test_token_pattern_is_the_one_of_the_brute_force():
     assert chars.TOKEN.count("[-']") == 1
+
+
+def test_tokens_of_a_large_table_do_not_go_through_the_driver(spark):
+    """No join of the exploded rows, and given issues are joined by merging: only the dictionary is broadcast."""
+    paras = spark.createDataFrame([(1, 1, "body", "xx https://a.vn/yy zz")], SCHEMA)
+    issues = spell.tagged_rule_issues(paras)
+    plans = [spell.unknown_tokens(paras, known(spark, ["a"]), issues=i)._jdf.queryExecution().executedPlan().toString() for i in (None, issues)]
+    assert [p.count("Join") for p in plans] == [1, 2] and plans[0].count("BroadcastHashJoin") == 1
+    assert plans[1].count("SortMergeJoin") == 2
+
+
+def test_full_check_writes_no_token_rows(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(spell, "stage", lambda df: written.append(df.columns) or df)
+    paras = spark.createDataFrame([(1, 1, "body", "appel of appel")], SCHEMA)
+    lookup = lookup_table(known(spark, ["apple"]))
+    assert [r.suggestion for r in spell.check(paras, known(spark, ["apple", "of"]), lookup).collect()] == ["apple"] * 2
+    assert all("context" not in columns for columns in written)

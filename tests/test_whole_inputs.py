@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from casequill.operators import fees, pages, sizing
+from casequill.plans import inputs
 from casequill.sources import documents
 
 
@@ -46,3 +47,9 @@ def test_running_total_of_hot_and_small_groups(spark):
 def test_byte_bound(spark):
     wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("s"))
     assert sizing.is_small(wide, max_bytes=20_000) and not sizing.is_small(wide, max_bytes=5_000)
+
+
+def test_texts_made_of_a_narrow_table_are_dealt_to_all_tasks(spark):
+    """The tables are one small file each, so without that one task makes and reads all texts."""
+    for made in (inputs.case_notes, inputs.guarded_notes, inputs.misspelt_notes):
+        assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1

@@ -189,9 +189,10 @@ def misspelt_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = table(spark, sf_dir, "benchmark")
     words = benchmark.select("item_id", F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0)).alias("words")).where(F.size("words") > 0)
     key = F.col("p_partkey")
-    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(key, (key % benchmark.count()).alias("item_id"))
+    parts = table(spark, sf_dir, "part").select(key, (key % benchmark.count()).alias("item_id"))
     word = F.get("words", (F.floor(key / 7) % F.size("words")).cast("int"))
     wrong = parts.join(words, "item_id").select(
         key.alias("doc_id"), F.when(key % 2 == 0, F.concat(F.left(word, F.lit(1)), F.substring(word, 3, 100))).otherwise(F.concat(word, F.right(word, F.lit(1)))).alias("w")
     )
-    return wrong.select("doc_id", F.concat(F.lit("12 "), "w", F.lit(" 34 "), F.initcap("w"), F.lit(".")).alias("text"))
+    # after the join, which deals the parts by benchmark text
+    return spread(wrong, "doc_id").select("doc_id", F.concat(F.lit("12 "), "w", F.lit(" 34 "), F.initcap("w"), F.lit(".")).alias("text"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casequill.functions import dates
 from casequill.operators import deadlines, fees, loans, names, pages, register
+from casequill.operators.staging import stage
 from casequill.plans import inputs
 from casequill.sources import files
 
@@ -128,7 +129,8 @@ def batch_totals(spark, sf_dir):
 def _loan_tables(spark, sf_dir):
     ls = inputs.order_loans(spark, sf_dir)
     paid = inputs.line_payments(spark, sf_dir)
-    return inputs.covering_loans(ls, paid), paid, inputs.order_rates(spark, sf_dir)
+    # read three times: without that each branch reads, sums and joins all payments again
+    return stage(inputs.covering_loans(ls, paid)), paid, inputs.order_rates(spark, sf_dir)
 
 
 def _cents(amount):

@@ -62,3 +62,9 @@ def test_streamed_table_of_several_files(spark, duck, tmp_path):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_payments_are_read_twice_by_the_loan_matrix(spark):
+    """Once for the days and once for the sums; the loans they cover are written, not made again by each branch."""
+    plan = entry.queries()["loan_matrix"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("l_shipdate#") and plan.count("Relation [l_orderkey#") == 2

@@ -1,19 +1,19 @@
-"""Nearest dictionary words by a prefix filter over tagged letters.
+"""Nearest dictionary words by blocks of the dictionary.
 
 Words are compared without accents first. A letter with the number of its occurrence is a tag (``a0``,
 ``a1``, ``n0``), so a word is a set of tags, and two words can't have more letters in common than tags. A
-ratio of ``r`` asks for ``r (la + lb) / 2`` common letters. Sort the tags of both words in one order, rarest in the
-dictionary first: words with ``t`` common tags share one among the first ``la - t + 1`` and ``lb - t + 1``. Only these
-first tags are index entries, so a word meets the part of the dictionary that shares a rare letter with it.
+ratio of ``r`` asks for ``r (la + lb) / 2`` common letters.
 
-At the first common tag what is left of both words must reach ``t``; a 52-bit set of letters
-bounds the rest. What passes is measured by a bit-parallel longest common subsequence, 64
+The dictionary is cut into blocks by length, and lengths with very many words by hashes as well; an asked word goes only to
+the blocks of lengths that it may meet, once to each, so with a dictionary of one block it is shuffled once. In a block the words of one
+length are held against the words of the lengths around it by a 52-bit set of tags, many at a time. (Index entries by rare tags,
+which came before, let pass 99 of 100 of the same pairs, but had to be written and shuffled several times for each word.)
+What passes is measured by a bit-parallel longest common subsequence, 64
 letters at a time for many pairs together, which no matching ratio exceeds. Candidates are then scored
-by falling bound until the best ones are certain. All of it is exact: no pair that qualifies is lost.
+by falling bound until the best ones of the block are certain. All of it is exact: no pair that qualifies is lost.
 
-Entries of a tag are cut into blocks of dictionary words and slices of asked words, told by hashes, so neither
-a common letter nor a large dictionary is one task. A task holds a block and streams a slice.
-Words of over ``LONG`` letters are met by their length instead.
+The asked words of a block are cut into slices by hashes, so neither a common length nor a large dictionary is one
+task. A task holds a block and streams a slice. Pairs with a word of over 64 letters are scored one by one.
 """
 
 from __future__ import annotations
@@ -27,18 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casequill.functions.similarity import block_ratio
+from casequill.functions.spans import rule_array
 from casequill.functions.text import strip_accents
-from casequill.operators.sizing import broadcast_if_small
 from casequill.operators.staging import stage
 
-#: most letters of a word that is met by its tags; two more still fit 64 bits
-LONG = 60
+#: most letters of a word that is measured in bits
+LONG = 64
 #: letters by which the lengths of a pair may differ
 LENGTHS = 2
-#: dictionary words of a tag in one block, asked words of a tag in one slice
-BLOCK_ROWS, SLICE_ROWS = 4096, 4096
-#: asked words that meet a block at once
-_TOGETHER = 128
+#: dictionary words in one block, asked words of a block in one slice
+BLOCK_ROWS, SLICE_ROWS = 8192, 8192
+#: asked words that are measured at once, and those of them that meet a block's sets at once
+_TOGETHER, _ROWS = 1024, 128
 #: letters whose first and second occurrence make up the bounding set
 _LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 
@@ -98,18 +98,25 @@ def _matrix(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, width)
 
 
+class Coded:
+    """Dictionary words as numbers of their letters."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.letters, codes = np.unique(_matrix(words), return_inverse=True)
+        self.codes, self.lengths = codes.reshape(len(words), -1), _lengths(words)
+
+
 class Pairs:
-    """Bit-parallel measures of pairs (i, j) of asked words and dictionary words of at most 64 letters."""
+    """Bit-parallel measures of pairs (i, j) of asked words of at most 64 letters and dictionary words."""
 
-    def __init__(self, asked: list[str], listed: list[str]) -> None:
-        letters, codes = np.unique(_matrix(listed), return_inverse=True)
-        self.codes = codes.reshape(len(listed), -1)
+    def __init__(self, asked: list[str], listed: Coded) -> None:
+        letters, self.codes = listed.letters, listed.codes
         self.places = np.zeros((len(asked), len(letters)), np.uint64)
         own = _matrix(asked)
         code = np.minimum(np.searchsorted(letters, own), len(letters) - 1)
         row, at = np.nonzero((letters[code] == own) & (own > 0))
         np.bitwise_or.at(self.places, (row, code[row, at]), np.uint64(1) << at.astype(np.uint64))
-        self.asked, self.listed = (np.fromiter(map(len, x), np.int64, len(x)) for x in (asked, listed))
+        self.asked, self.listed = _lengths(asked), listed.lengths
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the longest common subsequence."""
@@ -142,44 +149,70 @@ class Pairs:
 
 
 class _Block:
-    """Dictionary words under one tag."""
+    """The dictionary words of a block, by length."""
 
-    def __init__(self, rows: list[tuple], ratio: float, limit: int, exact: bool) -> None:
+    def __init__(self, rows: list[tuple[str, str]], ratio: float, limit: int, exact: bool) -> None:
         self.ratio, self.limit, self.exact = ratio, limit, exact
-        self.words, self.skeletons, self.place, self.signature, self.prefix = _columns(rows)
-        self.lengths, self.bare = _lengths(self.words), _lengths(self.skeletons)
-
-    def best(self, rows: list[tuple]) -> list[tuple]:
-        """(asked word, candidate, ratio, score) of the best candidates of each asked word."""
-        words, skeletons, place, sign, prefix = _columns(rows)
-        lengths, bare = _lengths(words), _lengths(skeletons)
-        total = bare[:, None] + self.bare
-        need = least_common(total, self.ratio)
-        ok = (np.abs(lengths[:, None] - self.lengths) <= LENGTHS) & (2 * np.minimum(bare[:, None], self.bare) >= self.ratio * total - 1e-9)
-        if place[0] >= 0:
-            ok &= np.minimum((bare - place)[:, None], self.bare - self.place) >= need
-            ok &= np.bitwise_count(sign[:, None] ^ self.signature) <= total - 2 * need
-        i, j = np.nonzero(ok)
+        rows = sorted(rows, key=lambda r: (len(r[0]), r[0]))
+        self.words, self.skeletons = [r[0] for r in rows], [r[1] for r in rows]
+        self.lengths, self.bare, self.signature = _lengths(self.words), _lengths(self.skeletons), _signatures(self.skeletons)
+        self.plain = _equal(self.words, self.skeletons)
+        self.coded = Coded(self.words), Coded(self.skeletons)
+
+    def best(self, words: list[str], skeletons: list[str]) -> list[tuple]:
+        """(number of the asked word, candidate, ratio, score) of the best candidates of each asked word."""
+        lengths, bare, sign = _lengths(words), _lengths(skeletons), _signatures(skeletons)
+        i, j = self._met(lengths, bare, sign)
+        if not len(i):
+            return []
+        long = (lengths[i] > LONG) | (self.lengths[j] > LONG)
+        if long.any():
+            # all pairs of a word are ranked together
+            whole = np.zeros(len(words), bool)
+            whole[i[long]] = True
+            slow = whole[i]
+            return self._slowly(words, skeletons, i[slow], j[slow]) + self._measured(words, skeletons, i[~slow], j[~slow], lengths, bare)
+        return self._measured(words, skeletons, i, j, lengths, bare)
+
+    def _met(self, lengths: np.ndarray, bare: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs whose lengths and sets of letters allow the ratio."""
+        order = np.lexsort((bare, lengths))
+        cuts = np.flatnonzero((np.diff(lengths[order]) != 0) | (np.diff(bare[order]) != 0)) + 1
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for group in np.split(order, cuts):
+            n, own = int(lengths[group[0]]), int(bare[group[0]])
+            near = np.arange(*np.searchsorted(self.lengths, [n - LENGTHS, n + LENGTHS + 1]))
+            total = own + self.bare[near]
+            near = near[(self.bare[near] > 0) & (2 * np.minimum(own, self.bare[near]) >= self.ratio * total - 1e-9)]
+            if not own or not len(near):
+                continue
+            total = own + self.bare[near]
+            spare, sets = np.minimum(total - 2 * least_common(total, self.ratio), 64).astype(np.int8), self.signature[near]
+            for at in range(0, len(group), _ROWS):
+                some = group[at : at + _ROWS]
+                x, y = np.nonzero(np.bitwise_count(sign[some][:, None] ^ sets).view(np.int8) <= spare)
+                found.append((some[x], near[y]))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+    def _measured(self, words: list[str], skeletons: list[str], i: np.ndarray, j: np.ndarray, lengths: np.ndarray, bare: np.ndarray) -> list[tuple]:
         if not len(i):
             return []
-        if place[0] >= 0:
-            alone = np.ones(len(i), bool)  # no earlier tag is common, else the pair belongs to that
-            for x in range(int(place.max(initial=0))):
-                for y in range(int(self.place.max(initial=0))):
-                    alone &= ~((x < place[i]) & (y < self.place[j]) & (prefix[i, min(x, prefix.shape[1] - 1)] == self.prefix[j, min(y, self.prefix.shape[1] - 1)]))
-            i, j = i[alone], j[alone]
-        if place[0] < 0 or max(lengths.max(), self.lengths.max()) > 64:
-            return self._slowly(words, skeletons, i, j)
-        bares = Pairs(skeletons, self.skeletons)
+        # of the long words none is left among the pairs
+        short = lambda xs: [x if len(x) <= LONG else "" for x in xs]
+        bares, plain = Pairs(short(skeletons), self.coded[1]), _equal(words, skeletons)
         if not self.exact:
             near = 1.0 - bares.edits(i, j) / np.maximum(bare[i], self.bare[j])
             i, j, near = (x[near >= self.ratio] for x in (i, j, near))
-            own = 1.0 - Pairs(words, self.words).edits(i, j) / np.maximum(lengths[i], self.lengths[j])
+            own = 1.0 - Pairs(short(words), self.coded[0]).edits(i, j) / np.maximum(lengths[i], self.lengths[j])
             score = own * 0.65 + near * 0.35
             return self._ranked(words, i, j, own, score)
         base = bares.common(i, j) * 2.0 / (bare[i] + self.bare[j])
         i, j, base = (x[base >= self.ratio] for x in (i, j, base))
-        own = Pairs(words, self.words).common(i, j) * 2.0 / (lengths[i] + self.lengths[j])
+        own = base.copy()
+        other = ~(plain[i] & self.plain[j])
+        own[other] = Pairs(short(words), self.coded[0]).common(i[other], j[other]) * 2.0 / (lengths[i] + self.lengths[j])[other]
         return self._scored(words, skeletons, i, j, own * 0.65 + base * 0.35)
 
     def _ranked(self, words: list[str], i: np.ndarray, j: np.ndarray, own: np.ndarray, score: np.ndarray) -> list[tuple]:
@@ -187,7 +220,7 @@ class _Block:
         for k in np.lexsort((j, self.lengths[j], -score, i)).tolist():
             held[i[k]] += 1
             if held[i[k]] <= self.limit:  # words of the block are in order, so ties are
-                out.append((words[i[k]], self.words[j[k]], float(own[k]), float(score[k])))
+                out.append((int(i[k]), self.words[j[k]], float(own[k]), float(score[k])))
         return out
 
     def _scored(self, words: list[str], skeletons: list[str], i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> list[tuple]:
@@ -201,11 +234,12 @@ class _Block:
                 a, b = int(i[k]), int(j[k])
                 base = block_ratio(skeletons[a], self.skeletons[b])
                 if base >= self.ratio:
-                    own = block_ratio(words[a], self.words[b])
+                    same = words[a] == skeletons[a] and self.plain[b]
+                    own = base if same else block_ratio(words[a], self.words[b])
                     found.append((-(own * 0.65 + base * 0.35), len(self.words[b]), self.words[b], own))
                     found.sort()
                     del found[self.limit :]
-            out += [(words[int(i[group[0]])], candidate, own, -minus) for minus, _, candidate, own in found]
+            out += [(int(i[group[0]]), candidate, own, -minus) for minus, _, candidate, own in found]
         return out
 
     def _slowly(self, words: list[str], skeletons: list[str], i: np.ndarray, j: np.ndarray) -> list[tuple]:
@@ -216,119 +250,94 @@ class _Block:
             if base >= self.ratio:
                 own = measure(words[a], self.words[b])
                 found.setdefault(a, []).append((-(own * 0.65 + base * 0.35), len(self.words[b]), self.words[b], own))
-        return [(words[a], candidate, own, -minus) for a, rows in found.items() for minus, _, candidate, own in sorted(rows)[: self.limit]]
+        return [(a, candidate, own, -minus) for a, rows in found.items() for minus, _, candidate, own in sorted(rows)[: self.limit]]
 
 
 def _lengths(words: list[str]) -> np.ndarray:
     return np.fromiter(map(len, words), np.int64, len(words))
 
 
-def _columns(rows: list[tuple]) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
-    words, skeletons, place, sign, prefix = zip(*rows)
-    width = max(map(len, prefix)) or 1
-    padded = np.array([[*p, *[-1] * (width - len(p))] for p in prefix], np.int64)
-    return list(words), list(skeletons), np.array(place, np.int64), np.array(sign, np.int64).view(np.uint64), padded
+def _signatures(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(signature, words), np.uint64, len(words))
 
 
-_ENTRY = "tag string, word string, skeleton string, place int, signature bigint, prefix array<int>"
+def _equal(a: list[str], b: list[str]) -> np.ndarray:
+    return np.fromiter((x == y for x, y in zip(a, b)), bool, len(a))
 
 
-def _entries(words: DataFrame, ratio: float, order: dict[str, int], marks: int, listed: bool) -> DataFrame:
-    """A row for each first tag of each word (word, skeleton). Written."""
+_BAND = "low:int,high:int,first:bigint,blocks:bigint,slices:bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for word, skeleton in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = len(word)
-                if n <= LONG or (not listed and n <= LONG + LENGTHS):
-                    own = first_tags(skeleton, n, ratio, order, marks)
-                    # tags that the dictionary lacks meet nothing; -1 equals no number of the other side
-                    ranks, sign = [order.get(t, -2) for t in own], signature(skeleton)
-                    rows += [(t, word, skeleton, at, sign, ranks) for at, t in enumerate(own) if listed or t in order]
-                for met in [n] if listed else range(n - LENGTHS, n + LENGTHS + 1):
-                    if met > LONG:
-                        rows.append((f"={met}", word, skeleton, -1, 0, []))
-            if rows:
-                kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["tag", "word", "skeleton", "place", "signature", "prefix"]
-                )
-
-    return stage(words.select("word", "skeleton").mapInArrow(run, _ENTRY))
-
-
-def _order(lookup: DataFrame) -> tuple[dict[str, int], int]:
-    """Numbers of the dictionary's tags, rarest first, and the most marks that a word lost."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, marks = Counter(), 0
-        for batch in batches:
-            for word, skeleton in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(word) <= LONG:
-                    held.update(tags(skeleton))
-                marks = max(marks, len(word) - len(skeleton))
-        yield pa.RecordBatch.from_arrays([pa.array([*held, ""], pa.string()), pa.array([*held.values(), marks], pa.int64())], ["tag", "n"])
+def _bands(listed: dict[int, int], asked: dict[int, int]) -> list[dict]:
+    """Runs of dictionary lengths with so many words as fit a block, or single lengths in several blocks.
 
-    # a row for each letter and number of its occurrence within LONG letters
-    counts = lookup.select("word", "skeleton").mapInArrow(run, "tag string, n bigint").groupBy("tag")
-    rows = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
-    order = {r.tag: rank for rank, r in enumerate(sorted((r for r in rows if r.tag), key=lambda r: (r.n, r.tag)))}
-    return order, max((r.most for r in rows if not r.tag), default=0)
+    ``listed`` and ``asked`` count words by length."""
+    runs: list[list[int]] = []  # low, high, words
+    for n, rows in sorted(listed.items()):
+        if runs and runs[-1][2] + rows <= BLOCK_ROWS:
+            runs[-1][1:] = [n, runs[-1][2] + rows]
+        else:
+            runs.append([n, n, rows])
+    bands, first = [], 0
+    for low, high, rows in runs:
+        guests = sum(k for n, k in asked.items() if low - LENGTHS <= n <= high + LENGTHS)
+        bands.append({"low": low, "high": high, "first": first, "blocks": -(-rows // BLOCK_ROWS), "slices": max(1, -(-guests // SLICE_ROWS))})
+        first += bands[-1]["blocks"]
+    return bands
 
 
 def nearest(sources: DataFrame, lookup: DataFrame, base_ratio: float, limit: int = 3, exact: bool = True) -> DataFrame:
-    """(word, candidate, ratio, score): the best ``limit`` candidates of each distinct word of each block, or more.
+    """(word, candidate, ratio, score): the best ``limit`` candidates of each word of each block.
 
     ``sources(word, source)``: a word is compared in its form ``source``. ``lookup(word, skeleton)`` is the dictionary. A candidate's length
     differs by ``LENGTHS`` at most and its accent-free form reaches ``base_ratio``. ``exact`` measures matching blocks, else edits.
     """
     spark = sources.sparkSession
-    sources, lookup = stage(sources.select("word", "source")), stage(lookup.select("word", "skeleton"))  # each is read several times
-    forms = sources.select(F.col("source").alias("word"), strip_accents(F.col("source")).alias("skeleton")).distinct()
-    order, marks = _order(lookup)
-    marks = max(marks, forms.agg(F.max(F.length("word") - F.length("skeleton"))).first()[0] or 0)
-    listed, asked = (_entries(rows, base_ratio, order, marks, own) for rows, own in ((lookup, True), (forms, False)))
-    held = listed.groupBy("tag").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    wanted = asked.groupBy("tag").agg(F.ceil(F.count("*") / SLICE_ROWS).alias("slices"))
-    cuts = broadcast_if_small(stage(held.join(wanted, "tag")))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    names = ["word", "skeleton", "place", "signature", "prefix"]
-    home = listed.join(cuts, "tag").select(
-        "tag", F.pmod(F.xxhash64("word"), "blocks").alias("block"), spread("slices").alias("slice"), F.lit(False).alias("guest"), *names
-    )
-    guests = asked.join(cuts, "tag").select(
-        "tag", spread("blocks").alias("block"), F.pmod(F.xxhash64("word"), "slices").alias("slice"), F.lit(True).alias("guest"), *names
-    )
+    sources, lookup = stage(sources.select("word", "source")), stage(lookup.select("word", "skeleton"))  # each is read twice
+    # a row for each length
+    by_length = lambda df, name: {r.n: r.rows for r in df.groupBy(F.length(name).alias("n")).agg(F.count("*").alias("rows")).collect()}
+    bands = rule_array(_bands(by_length(lookup, "word"), by_length(sources, "source")), _BAND)
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    length = F.length("word")
+    home = lookup.select("word", "skeleton", F.explode(F.filter(bands, lambda b: length.between(b["low"], b["high"]))).alias("band")).select(
+        (F.col("band.first") + F.pmod(F.xxhash64("word"), "band.blocks")).alias("block"), number(F.col("band.slices")).alias("slice"),
+        F.lit(False).alias("guest"), F.col("word").alias("asked"), "word", "skeleton",
+    )
+    length = F.length("source")
+    wanted = F.filter(bands, lambda b: length.between(b["low"] - LENGTHS, b["high"] + LENGTHS))
+    guests = sources.select(
+        "word", "source", F.explode(wanted).alias("band")
+    ).select("word", "source", "band", number(F.col("band.blocks")).alias("block")).select(
+        (F.col("band.first") + F.col("block")).alias("block"), F.pmod(F.xxhash64("source"), "band.slices").alias("slice"),
+        F.lit(True).alias("guest"), F.col("word").alias("asked"), F.col("source").alias("word"), strip_accents(F.col("source")).alias("skeleton"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, listed_rows, block = None, [], None
+        key, listed, block = None, [], None
+        kinds = [pa.string(), pa.string(), pa.float64(), pa.float64()]
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             keys = list(zip(*columns[:3]))
             start = 0
             while start < len(keys):
                 end = start + 1
-                while end < len(keys) and keys[end] == keys[start] and columns[3][end] == columns[3][start]:
+                while end < len(keys) and keys[end] == keys[start] and end - start < _TOGETHER:
                     end += 1
-                rows = list(zip(*(c[start:end] for c in columns[4:])))
-                if keys[start] != key:
-                    key, listed_rows, block = keys[start], [], None
-                if not columns[3][start]:
-                    listed_rows += rows
-                elif listed_rows:
-                    block = block or _Block(sorted(listed_rows, key=lambda r: r[0]), base_ratio, limit, exact)
-                    for at in range(0, len(rows), _TOGETHER):
-                        found = block.best(rows[at : at + _TOGETHER])
-                        if found:
-                            kinds = [pa.string(), pa.string(), pa.float64(), pa.float64()]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(x, kind) for x, kind in zip(zip(*found), kinds)], ["source", "candidate", "ratio", "score"]
-                            )
+                asked, words, skeletons = (c[start:end] for c in columns[3:])
+                if keys[start][:2] != key:
+                    key, listed, block = keys[start][:2], [], None
+                if not keys[start][2]:
+                    listed += zip(words, skeletons)
+                elif listed:
+                    block = block or _Block(listed, base_ratio, limit, exact)
+                    found = [(asked[i], *rest) for i, *rest in block.best(words, skeletons)]
+                    if found:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(x, kind) for x, kind in zip(zip(*found), kinds)], ["word", "candidate", "ratio", "score"]
+                        )
                 start = end
 
     # little data but much work for each row: a fixed number of partitions, which adaptive execution leaves as it is
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = home.union(guests).repartition(partitions, "tag", "block", "slice").sortWithinPartitions("tag", "block", "slice", "guest", F.length("word"))
-    found = ordered.mapInArrow(run, "source string, candidate string, ratio double, score double")
-    return found.join(sources, "source").select("word", "candidate", "ratio", "score")
+    ordered = home.union(guests).repartition(partitions, "block", "slice").sortWithinPartitions("block", "slice", "guest", F.length("word"))
+    return ordered.mapInArrow(run, "word string, candidate string, ratio double, score double")

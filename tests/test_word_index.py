@@ -85,3 +85,15 @@ def test_first_tags_keep_every_pair():
         a, b = ("".join(rng.choices("abcde", k=rng.randint(1, 9))) for _ in range(2))
         if abs(len(a) - len(b)) <= 2 and 2 * len(set(word_index.tags(a)) & set(word_index.tags(b))) >= 0.67 * (len(a) + len(b)):
             assert set(word_index.first_tags(a, len(a), 0.67, order)) & set(word_index.first_tags(b, len(b), 0.67, order))
+
+
+def test_asked_words_are_written_once(spark, monkeypatch):
+    """No index entries are written: the words are staged as they are, and each goes once to each block that it may meet."""
+    staged = []
+    monkeypatch.setattr(word_index, "stage", lambda df, stage=word_index.stage: staged.append(stage(df)) or staged[-1])
+    asked, known = _words(1)
+    sources = spark.createDataFrame([(w, w) for w in asked], "word string, source string")
+    found = spell.suggestions(sources, lookup_table(spark.createDataFrame([(w,) for w in known], "word string")))
+    assert found.count() and sum(df.count() for df in staged) == len(asked) + len(known)
+    bands = word_index._bands({n: sum(len(w) == n for w in known) for n in set(map(len, known))}, {})
+    assert [b["blocks"] for b in bands] == [1]

@@ -83,8 +83,9 @@ def repeated_sentences(
     repeated = spans.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     # repeated hashes grow with the input, so they are not broadcast at any size
     held = stage(spans.join(repeated.hint("merge"), ["h1", "h2"], "left_semi"))
-    first = held.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    again = held.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    # written, so that the join reads both sides from shuffles and adaptive execution can split a hot hash
+    first = stage(held.groupBy("h1", "h2").agg(F.min(place).alias("first")))
+    again = held.join(first.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = again.select("id", "tag", F.sequence("at", "to").alias("covered"))
     return covered.groupBy("id", "tag").agg(
         F.count("*").alias("n_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("removed")
@@ -96,7 +97,8 @@ def cut_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     found = stage(repeated_sentences(docs, text, doc_id, **options))
     found = found.select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("removed").alias("_removed"))
     body = whole_text(text)
-    joined = docs.join(found, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_tag")), "left")
+    # so do documents with repeats: the plan is the same at any size, and texts are shuffled once
+    joined = docs.join(found.hint("merge"), docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_tag")), "left")
     left = F.filter(sentences(body), lambda s, i: ~F.array_contains(F.col("_removed"), i))
     new = F.when(F.col("_removed").isNull(), docs[text]).otherwise(F.array_join(left, ""))
     removed = F.coalesce("_removed", F.array().cast("array<int>"))

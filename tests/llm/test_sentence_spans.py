@@ -70,3 +70,12 @@ def test_repeated_rows_and_empty(spark):
     rows = sentence_spans.cut_documents(docs).collect()
     assert len(rows) == len(edge.rows())
     assert sentence_spans.cut_documents(edge.empty(spark)).count() == 0
+
+
+def test_joins_do_not_change_with_the_size(spark):
+    """Repeats grow with the input: small tables run the joins of large ones, and texts are shuffled once."""
+    cut = sentence_spans.cut_documents(edge.documents(spark, _data()))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan and plan.count("Join ") == 1
+    physical = cut._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in physical and "Broadcast" not in physical

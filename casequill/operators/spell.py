@@ -18,6 +18,7 @@ from casequill.functions import chars
 from casequill.functions.spans import (
     CONTEXT_RADIUS,
     MARK,
+    STAND_IN,
     by_start,
     context_snippet,
     find_spans,
@@ -319,12 +320,25 @@ def outside(tokens: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
     return tokens.alias("t").join(met.distinct().alias("m").hint("merge"), _same("t", "m", *keys, "start"), "left_anti")
 
 
+def _is_asked(token: Column, pack: SpellRules) -> Column:
+    """Tokens that the dictionary is asked for at all."""
+    return (F.length(token) > 1) & ~is_upper(token) & ~F.regexp_like(token, F.lit("[²³¹⁰⁴-⁹₀-₉]")) & ~token.isin(*pack.acronyms)
+
+
+def asked_words(paras: DataFrame, words: DataFrame, pack: SpellRules = VIETNAMESE) -> DataFrame:
+    """Distinct words outside the dictionary, also those in guarded ranges, which are few. Without positions and
+    contexts this is one pass of the token pattern."""
+    tokens = F.regexp_extract_all(F.translate("text", MARK, STAND_IN), F.lit(chars.TOKEN), F.lit(0))
+    asked = paras.select(F.explode(F.array_distinct(tokens)).alias("token")).where(_is_asked(F.col("token"), pack))
+    return asked.select(F.lower("token").alias("word")).distinct().join(broadcast_if_small(words.select("word")), "word", "left_anti")
+
+
 def _asked_tokens(paras: DataFrame, words: DataFrame, pack: SpellRules, max_broadcast: int, masks: Column | None, *keys: str) -> DataFrame:
     """Tokens outside the dictionary that no mask covers: keys, start, end, token, word, context."""
     token, text = F.col("token"), F.col("body")
     candidates = (
         token_rows(paras, *keys, masks=masks)
-        .where((F.length("token") > 1) & ~is_upper(token) & ~F.regexp_like(token, F.lit("[²³¹⁰⁴-⁹₀-₉]")) & ~token.isin(*pack.acronyms))
+        .where(_is_asked(token, pack))
         .withColumn("word", F.lower("token"))
     )
     known = words.select("word")
@@ -404,13 +418,12 @@ def dictionary_issues(
     issues: DataFrame | None = None,
 ) -> DataFrame:
     """Warnings for tokens outside the dictionary that have a close enough suggestion."""
-    # the texts are read twice, so that no token rows are written: first for the words alone, also those in
-    # guarded ranges, which are few
-    asked = _asked_tokens(paras, words, pack, MAX_BROADCAST_ROWS, None, *PARA_KEY)
-    fixes = broadcast_if_small(stage(corrections(asked, words, lookup, exact)))
-    unknown = unknown_tokens(paras, words, pack, issues=issues)
+    # the texts are read twice, so that no token rows are written: first for the words alone
+    fixes = broadcast_if_small(stage(corrections(asked_words(paras, words, pack), words, lookup, exact)))
+    # beyond that size token rows are shuffled; the word is made of the token there and is not carried along
+    unknown = unknown_tokens(paras, words, pack, issues=issues).drop("word")
     capital = F.regexp_like("token", F.lit("^" + chars.UPPER))
-    accepted = unknown.join(fixes, "word").where(
+    accepted = unknown.join(fixes, F.lower("token") == F.col("word")).where(
         F.col("ratio") >= F.when(capital, MIN_RATIO_CAPITAL).otherwise(MIN_RATIO)
     )
     return accepted.select(

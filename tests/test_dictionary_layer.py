@@ -114,3 +114,15 @@ def test_full_check_writes_no_token_rows(spark, monkeypatch):
     lookup = lookup_table(known(spark, ["apple"]))
     assert [r.suggestion for r in spell.check(paras, known(spark, ["apple", "of"]), lookup).collect()] == ["apple"] * 2
     assert all("context" not in columns for columns in written)
+
+
+def test_words_are_gathered_without_positions(spark):
+    """The first reading of the texts is one pass of the token pattern; the words are those of the tokens that are asked for."""
+    text = "Ab zqb-ab zqb\u0001zqc 5 kg Ab XYZ zq² 'zqd' tân zqB https://zqe.vn zqf'g"
+    paras = spark.createDataFrame([(1, 1, "body", text), (2, 1, "body", "ab " * 900 + "zqh")], "doc_id int, para_no int, location string, text string")
+    words = spark.createDataFrame([("ab",), ("tân",)], "word string")
+    asked = spell.asked_words(paras, words)
+    tokens = spell._asked_tokens(paras, words, spell.VIETNAMESE, 100, None, *spell.PARA_KEY)
+    found = sorted(r.word for r in asked.collect())
+    assert set(found) >= {r.word for r in tokens.collect()} >= {"zqb-ab", "zqb", "zqc", "zqf'g", "zqh"} and len(set(found)) == len(found)
+    assert "ab" not in found and "transform" not in asked._jdf.queryExecution().optimizedPlan().toString()

@@ -1,7 +1,8 @@
 """Reviewed replacement lists of any length, applied to documents.
 
 A list's items are rows. Replacements act one after the other, longest first, and later ones see
-what earlier ones wrote. To run only the items that can act, the words of all items are joined with
+what earlier ones wrote. Lists of words of which no replacement holds another give the same in any order and
+are applied in one pass for each different replacement. To run only the items that can act, the words of all items are joined with
 the words of the text and of the replacements: a match covers whole words, so an item of which one
 word occurs in neither can never match. What remains is folded over the text.
 
@@ -94,6 +95,32 @@ def _in_order(items: Column) -> Column:
     return F.transform(F.array_sort(ranked), lambda r: F.struct(r["old"].alias("old"), r["new"].alias("new")))
 
 
+def replace_listed(text: Column, items: Column) -> Column:
+    """``replace_all``, in one pass for each different ``new`` where the items can't act on one another.
+
+    That is so when each ``old`` is a run of word characters and equals no run of a ``new``: an ``old`` then replaces the
+    whole runs of the text that equal it, whatever the order. Other lists are folded item by item.
+    """
+    olds = F.transform(items, lambda r: r["old"])
+    made = F.flatten(F.transform(F.array_distinct(F.transform(items, lambda r: r["new"])), _runs))
+    free = F.forall(olds, lambda old: F.regexp_like(old, F.lit(rf"^{RUN}\z"))) & ~F.arrays_overlap(olds, made)
+
+    def at_once(present: Column) -> Column:
+        def step(acc: Column, new: Column) -> Column:
+            olds = F.transform(F.filter(present, lambda r: r["new"] == new), lambda r: r["old"])
+            pattern = F.concat(F.lit(chars.WORD_START + "(?:"), F.array_join(olds, "|"), F.lit(")" + chars.WORD_END))
+            return let(
+                F.split(acc["text"], pattern, -1),
+                lambda gaps: F.struct(F.call_function("array_join", gaps, new).alias("text"), (acc["replaced"] + F.size(gaps) - 1).alias("replaced")),
+            )
+
+        start = F.struct(text.alias("text"), F.lit(0).alias("replaced"))
+        return F.aggregate(F.array_distinct(F.transform(present, lambda r: r["new"])), start, step)
+
+    once = let(F.filter(items, lambda r: F.contains(text, r["old"])), at_once)
+    return F.when(free, once).otherwise(replace_all(text, items))
+
+
 def _short_lists(items: DataFrame, max_items: int | None, max_length: int | None) -> DataFrame:
     """Counts and the items to fold, one row per document; lists are short, so they fit in a row."""
     gathered = _trimmed(items, max_length).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "old", "new", "problem")).alias("all"))
@@ -139,6 +166,6 @@ def apply_lists(documents: DataFrame, items: DataFrame, max_items: int | None =
         lists = _short_lists(short, max_items, max_length).unionByName(_long_lists(documents, long, max_items, max_length))
     rows = documents.select("doc_id", "text").join(lists, "doc_id", "left")
     usable = F.when(F.col("reject_reason").isNull(), F.col("items"))
-    done = rows.withColumn("r", replace_all(F.col("text"), F.coalesce(usable, F.array().cast(REPLACEMENTS_TYPE))))
+    done = rows.withColumn("r", replace_listed(F.col("text"), F.coalesce(usable, F.array().cast(REPLACEMENTS_TYPE))))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return done.select("doc_id", "r.text", F.col("r.replaced").cast("bigint").alias("replaced"), *[zero(c) for c in _COUNTS], "reject_reason")

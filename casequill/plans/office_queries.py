@@ -158,7 +158,10 @@ def loan_details(spark, sf_dir):
 
 
 def loan_matrix(spark, sf_dir):
-    owed = loans.result_matrix(*_loan_tables(spark, sf_dir))
+    paid = inputs.line_payments(spark, sf_dir)
+    # the operator reads each table once, so the covering loans needn't be written
+    ls = inputs.covering_loans(inputs.order_loans(spark, sf_dir), paid)
+    owed = loans.result_matrix(ls, paid, inputs.order_rates(spark, sf_dir))
     return owed.select("loan_id", *[_cents(F.col(c)).alias(c) for c in ("principal_left", "in_term_left", "overdue_left", "late_left", "total_left")])
 
 

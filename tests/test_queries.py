@@ -68,3 +68,9 @@ def test_payments_are_read_twice_by_the_loan_matrix(spark):
     """Once for the days and once for the sums; the loans they cover are written, not made again by each branch."""
     plan = entry.queries()["loan_matrix"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey#") and plan.count("l_shipdate#") and plan.count("Relation [l_orderkey#") == 2
+
+
+def test_loan_matrix_reads_four_tables_and_writes_none(spark):
+    """Orders as loans and as rates, line items for the loans they cover and for the days."""
+    plan = entry.queries()["loan_matrix"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 4 and plan.count("Relation [o_orderkey#") == 2

@@ -115,6 +115,24 @@ def find_spans(text: Column, pattern: Column | str, head_groups: bool = False) -
     return F.when(F.regexp_like(text, pattern_col), spans_of_lengths(lengths)).otherwise(empty_spans())
 
 
+def find_hits(text: Column, pattern: Column | str) -> Column:
+    """``find_spans`` with the text of each as ``hit``. The pieces of the split are the hits, so none is looked for by its position,
+    which would go through the text from its start for every hit."""
+    pattern_col = F.lit(pattern) if isinstance(pattern, str) else pattern
+
+    def placed(pieces: Column) -> Column:
+        def whole(span: Column, piece: Column) -> Column:
+            return F.when(F.contains(piece, F.lit(STAND_IN)), substring_of(text, span)).otherwise(piece)
+
+        return F.transform(
+            spans_of_lengths(F.transform(pieces, lambda piece: F.length(piece))),
+            lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), whole(s, F.get(pieces, i * 2 + 1)).alias("hit")),
+        )
+
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    return F.when(F.regexp_like(text, pattern_col), let(split_hits(text, pattern_col), placed)).otherwise(none)
+
+
 def substring_of(text: Column, span: Column) -> Column:
     return F.substring(text, span["start"] + 1, span["end"] - span["start"])
 
@@ -137,19 +155,20 @@ def occupancy(text: Column, spans: Column) -> Column:
 
 
 def is_free(mask: Column, span: Column) -> Column:
-    """True when no occupied cell lies under the span."""
-    return ~F.contains(substring_of(mask, span), F.lit("1"))
+    """True when no occupied cell lies under the span. The mask is binary, of which a part is found without going through what
+    is before it."""
+    return ~F.contains(substring_of(mask, span), F.lit(b"1"))
 
 
 def keep_free(text: Column, taken: Column, fresh: Column) -> Column:
     """Spans of ``fresh`` that overlap no span of ``taken`` (disjoint and ordered)."""
     return F.when(F.size(taken) == 0, fresh).otherwise(
-        let(occupancy(text, taken), lambda mask: F.filter(fresh, lambda s: is_free(mask, s)))
+        let(occupancy(text, taken).cast("binary"), lambda mask: F.filter(fresh, lambda s: is_free(mask, s)))
     )
 
 
 def by_start(spans: Column) -> Column:
-    return F.array_sort(spans)
+    return F.sort_array(spans)
 
 
 def first_come(ranked: Column, element_type: str) -> Column:

@@ -11,29 +11,27 @@ from functools import reduce
 from operator import and_, or_
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from casequill.functions import chars
 from casequill.functions.spans import (
-    CONTEXT_RADIUS,
-    MARK,
-    STAND_IN,
     by_start,
     context_snippet,
+    empty_spans,
+    find_hits,
     find_spans,
     first_come,
-    is_free,
     keep_free,
     let,
-    mark_hits,
-    occupancy,
-    prefix_sums,
     rule_array,
-    spans_of_lengths,
     substring_of,
 )
 from casequill.functions.text import copy_capital, is_upper, nfc
+from casequill.operators import token_scan
 from casequill.operators.sizing import MAX_BROADCAST_ROWS, broadcast_if_small, is_small
 from casequill.operators.staging import stage
 from casequill.operators.word_index import nearest
@@ -52,14 +50,18 @@ class FormatRule(NamedTuple):
     find: str | None
     replace: str
     message: str
+    #: cheaper pattern found in every text that has a hit; ``None`` is the pattern itself
+    hint: str | None = None
 
 
 S = chars.SPACE
+#: a mark with a blank before it, or with neither a blank nor a digit behind it
+_MARKED = rf"[,;:!?](?:[^{chars.SPACE_SET}\p{{Nd}}]|(?<={S}[,;:!?]))"
 FORMAT_RULES = (
-    FormatRule(r"[ \t]{2,}", r"(?s).+", " ", rules.MESSAGE_SPACES),
-    FormatRule(rf"{S}+[,;:!?]", rf"{S}+", "", rules.MESSAGE_SPACE_BEFORE),
-    FormatRule(rf"[,;:!?](?=[^{chars.SPACE_SET}\p{{Nd}}])", None, " ", rules.MESSAGE_NO_SPACE_AFTER),
-    FormatRule(r"([!?;,])\1+", r"(?s)^(.).*", "$1", rules.MESSAGE_REPEATED),
+    FormatRule(r"[ \t]{2,}", r"(?s).+", " ", rules.MESSAGE_SPACES, r"[ \t]{2}"),
+    FormatRule(rf"{S}+[,;:!?]", rf"{S}+", "", rules.MESSAGE_SPACE_BEFORE, _MARKED),
+    FormatRule(rf"[,;:!?](?=[^{chars.SPACE_SET}\p{{Nd}}])", None, " ", rules.MESSAGE_NO_SPACE_AFTER, _MARKED),
+    FormatRule(r"([!?;,])\1+", r"(?s)^(.).*", "$1", rules.MESSAGE_REPEATED, _MARKED),
 )
 
 
@@ -137,9 +139,9 @@ def phrase_issues(text: Column, pack: SpellRules = VIETNAMESE) -> Column:
             )
         )
 
-    # plain substring tests first, in generated code: nearly every paragraph has no
-    # wrong phrase
-    any_phrase = reduce(or_, [F.contains(F.lower(text), F.lit(w.lower())) for w in pack.phrases])
+    # plain substring tests first, in generated code, and one constant pattern over all phrases: nearly every
+    # paragraph has no wrong phrase
+    any_phrase = reduce(or_, [F.contains(F.lower(text), F.lit(w.lower())) for w in pack.phrases]) & F.regexp_like(text, F.lit(f"(?iu){chars.WORD_START}(?:{chars.alternation(pack.phrases)}){chars.WORD_END}"))
     present = let(F.lower(text), lambda low: F.filter(table, lambda r: F.contains(low, r["wrong"])))
     return F.when(any_phrase, detect(present)).otherwise(none)
 
@@ -167,19 +169,21 @@ def format_issues(text: Column, taken: Column, pack: SpellRules = VIETNAMESE) ->
 
     def layer(kept: Column, rule: Column) -> Column:
         fresh = F.transform(
-            keep_free(text, kept, find_spans(text, rule["pattern"])),
+            keep_free(text, kept, find_hits(text, rule["pattern"])),
             lambda s: _issue(
                 s,
                 rules.KIND_FORMAT,
                 "style",
-                suggestion(rule, substring_of(text, s)),
+                suggestion(rule, s["hit"]),
                 rule["message"],
                 rules.CONFIDENCE_FORMAT,
             ),
         )
         return by_start(F.concat(kept, fresh.cast(ISSUES_TYPE)))
 
-    active = F.when(F.regexp_like(text, F.lit(any_hit)), table).otherwise(F.array().cast(f"array<struct<{FORMAT_RULE_FIELDS}>>"))
+    hints = dict.fromkeys(r.hint for r in ordered)
+    hinted = [F.lit(True)] if None in hints or not hints else [F.regexp_like(text, F.lit(hint)) for hint in hints]
+    active = F.when(reduce(or_, hinted) & F.regexp_like(text, F.lit(any_hit)), table).otherwise(F.array().cast(f"array<struct<{FORMAT_RULE_FIELDS}>>"))
     return F.aggregate(active, taken.cast(ISSUES_TYPE), layer)
 
 
@@ -202,17 +206,29 @@ def protected_patterns(pack: SpellRules = VIETNAMESE) -> tuple[str, ...]:
     )
 
 
+def protected_hints(text: Column, pack: SpellRules = VIETNAMESE) -> tuple[Column, ...]:
+    """For each of ``protected_patterns`` a cheap test that every text with a hit passes."""
+    # a label is followed by blanks and a capital; tests that begin with a capital of a to z are the fast ones
+    ends = "".join(sorted({chars.quote(label[-1]) for label in pack.role_labels if label}))
+    other = F.contains(text, F.lit("Đ"))
+    named = F.regexp_like(text, F.lit(rf"[A-Z](?<=[{ends}{chars.SPACE_SET}]{S}[A-Z])")) | other if all(pack.role_labels) and ends else F.lit(True)
+    return (
+        F.contains(text, F.lit("://")), F.contains(text, F.lit("@")), F.regexp_like(text, F.lit(r"[-/.]\p{Nd}")),
+        F.regexp_like(text, F.lit("[A-Z][A-ZĐ]")) | other, named,
+    )
+
+
 def protected_spans(text: Column, pack: SpellRules = VIETNAMESE) -> Column:
-    return F.concat(*[find_spans(text, p) for p in protected_patterns(pack)])
+    none = empty_spans()
+    return F.concat(*[F.when(hint, find_spans(text, p)).otherwise(none) for p, hint in zip(protected_patterns(pack), protected_hints(text, pack))])
 
 
-def guard_masks(text: Column, pack: SpellRules = VIETNAMESE, rule_ranges: bool = True) -> Column:
-    """``array<string>``: per kind of range where the dictionary is not asked a string as long as the text
-    with ``1`` under the ranges; kinds without a range are left out. Ranges of one kind are disjoint."""
-    kinds = [find_spans(text, p) for p in protected_patterns(pack)]
+def guarded_spans(text: Column, pack: SpellRules = VIETNAMESE, rule_ranges: bool = True) -> Column:
+    """Ranges where the dictionary is not asked, those of rule issues among them; they may overlap."""
+    spans = protected_spans(text, pack)
     if rule_ranges:
-        kinds.append(F.transform(rule_issues(text, pack), lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"))))
-    return F.filter(F.array(*[let(spans, lambda ss: occupancy(text, ss)) for spans in kinds]), lambda mask: mask != "")
+        spans = F.concat(spans, F.transform(rule_issues(text, pack), lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"))))
+    return spans
 
 
 def after_number(before: Column) -> Column:
@@ -222,76 +238,35 @@ def after_number(before: Column) -> Column:
     return F.regexp_like(F.right(before, F.lit(40)), F.lit(rf"(?iu){interval}{S}*$"))
 
 
-#: tokens per block; prefix sums run inside a block and its offset is added
-TOKENS_PER_BLOCK = 512
-#: characters that a block knows of its neighbours: a context and one more, to see whether it is cut
-MARGIN = CONTEXT_RADIUS + 1
 #: characters per position bin of the join with given issues
 BIN = 256
-_BLOCK = "struct<pos:int,marked:string,before:string,after:string>"
 
 
-def _token_blocks(text: Column) -> Column:
-    """``array<struct<pos, marked, before, after>>``: the token-marked text cut between tokens, each
-    block with its offset and the characters on both sides of it."""
-    width = 2 * TOKENS_PER_BLOCK
+def _before(text: Column, first: Column) -> Column:
+    """The 40 characters of a text before a position."""
+    return F.substring(text, F.greatest(first - 40, F.lit(0)) + 1, F.least(first, F.lit(40)))
 
-    def cut(pieces: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), ((F.size(pieces) - 1) / width).cast("int")),
-            lambda b: F.slice(pieces, b * width + 1, F.lit(width)),
-        )
-        lengths = F.transform(blocks, lambda block: F.length(F.array_join(block, "")))
-        # a block has a character for each token at least, so these few pieces hold every margin
-        ends = F.transform(blocks, lambda block: F.right(F.array_join(F.slice(block, F.greatest(F.size(block) - 2 * MARGIN, F.lit(0)) + 1, F.lit(2 * MARGIN)), ""), F.lit(MARGIN)))
-        heads = F.transform(blocks, lambda block: F.left(F.array_join(F.slice(block, 1, 2 * MARGIN), ""), F.lit(MARGIN)))
-        return F.transform(
-            let(F.struct(blocks.alias("b"), lengths.alias("n"), ends.alias("e"), heads.alias("h")), lambda x: F.arrays_zip(
-                prefix_sums(x["n"]).alias("pos"), x["b"].alias("pieces"),
-                F.concat(F.array(F.lit("")), x["e"]).alias("before"), F.concat(F.slice(x["h"], 2, F.size(x["h"])), F.array(F.lit(""))).alias("after"),
-            )),
-            lambda z: F.struct(z["pos"].alias("pos"), F.array_join(z["pieces"], MARK).alias("marked"), z["before"].alias("before"), z["after"].alias("after")),
-        )
-
-    def choose(marked: Column) -> Column:
-        whole = F.array(F.struct(F.lit(0).alias("pos"), marked.alias("marked"), F.lit("").alias("before"), F.lit("").alias("after")))
-        return F.when(F.length(text) < 2 * width, whole.cast(f"array<{_BLOCK}>")).otherwise(
-            F.filter(let(F.split(marked, MARK), cut), lambda x: x["marked"].isNotNull()).cast(f"array<{_BLOCK}>")
-        )
-
-    return let(mark_hits(text, F.lit(chars.TOKEN)), choose)
 
+def token_rows(paras: DataFrame, *keep: str, guards: Column | None = None, units: tuple[str, ...] = (), wanted: pa.RecordBatch | None = None) -> DataFrame:
+    """One row per word token: kept columns, start, end, token, and the block it stands in (block_pos, lead, body).
 
-def token_rows(paras: DataFrame, *keep: str, masks: Column | None = None) -> DataFrame:
-    """One row per word token: kept columns, start, end, token, and the block it stands in.
-
-    Starts are prefix sums over the pieces of a block, so no token looks through its paragraph. ``masks`` are
-    strings as long as the text, as of ``guard_masks``; tokens over a ``1`` are left out. Each block has its own
-    part of them, so ranges are looked up inside the row and nothing is joined.
+    Texts are scanned in Arrow batches. ``guards`` are ranges, as of ``guarded_spans``; tokens that meet one are left out, and so
+    are ``units`` after a number. With ``wanted`` only tokens of its column ``token`` are rows, and its other columns are added.
     """
-    masked = paras.select(*keep, "text", (F.array().cast("array<string>") if masks is None else masks).alias("masks"))
+    spark = paras.sparkSession
+    asked = paras.select(*keep, F.make_valid_utf8("text").alias("text"), (empty_spans() if guards is None else guards).alias("guards"))
+    more = [] if wanted is None else [StructField(f.name, from_arrow_type(f.type)) for f in wanted.schema if f.name != "token"]
+    hit = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("token", StringType()), *more])
+    block = StructType().add("block_pos", "integer").add("lead", "integer").add("body", "string").add("units", "boolean").add("hits", ArrayType(hit))
+    schema = StructType([*(asked.schema[name] for name in keep), *block])
+    held = None if wanted is None else spark.sparkContext.broadcast(wanted)
+    blocks = asked.mapInArrow(token_scan.token_blocks(token_scan.letters(spark), keep, units, held), schema)
+    first = lambda t: t["start"] - F.col("block_pos") + F.col("lead")
+    counted = F.filter("hits", lambda t: ~(F.lower(t["token"]).isin(*units) & after_number(_before(F.col("body"), first(t)))))
+    hits = F.when(F.col("units"), counted).otherwise(F.col("hits")) if units else F.col("hits")
     # an outer explode: Spark puts a filter on the size of its array before a plain one, which makes the array again
-    blocks = masked.select(*keep, "masks", F.explode_outer(_token_blocks(F.col("text"))).alias("block"))
-    own = F.transform("masks", lambda m: F.substring(m, F.col("block.pos") + 1, F.length(F.translate("block.marked", MARK, ""))))
-    pieces = blocks.select(
-        *keep, "block", F.filter(own, lambda m: F.contains(m, F.lit("1"))).alias("masks"), F.split("block.marked", MARK).alias("pieces")
-    ).where(F.contains("block.marked", F.lit(MARK)))
-    spans = spans_of_lengths(F.transform("pieces", lambda x: F.length(x)))
-    tokens = F.filter("pieces", lambda x, i: i % 2 == 1)
-    # the block's text is made once here: an expression beside explode would run for every token
-    placed = pieces.select(
-        *keep, "masks", F.col("block.pos").alias("block_pos"), F.length("block.before").alias("lead"),
-        F.concat("block.before", F.translate("block.marked", MARK, ""), "block.after").alias("body"),
-        F.arrays_zip(spans.alias("span"), tokens.alias("token")).alias("hits"),
-    )
-    free = F.filter("hits", lambda t: ~F.exists("masks", lambda m: ~is_free(m, t["span"])))
-    rows = placed.select(
-        *keep, "block_pos", "lead", "body", F.explode_outer(F.when(F.size("masks") == 0, F.col("hits")).otherwise(free)).alias("t")
-    ).where(F.col("t").isNotNull())
-    return rows.select(
-        *keep, "block_pos", "lead", "body", (F.col("block_pos") + F.col("t.span.start")).alias("start"),
-        (F.col("block_pos") + F.col("t.span.end")).alias("end"), F.col("t.token").alias("token"),
-    )
+    rows = blocks.select(*keep, "block_pos", "lead", "body", F.explode_outer(hits).alias("t")).where(F.col("t").isNotNull())
+    return rows.select(*keep, "block_pos", "lead", "body", "t.*")
 
 
 PARA_KEY = ("doc_id", "para_no", "location")
@@ -325,35 +300,37 @@ def _is_asked(token: Column, pack: SpellRules) -> Column:
     return (F.length(token) > 1) & ~is_upper(token) & ~F.regexp_like(token, F.lit("[²³¹⁰⁴-⁹₀-₉]")) & ~token.isin(*pack.acronyms)
 
 
+def asked_tokens(paras: DataFrame, words: DataFrame, pack: SpellRules = VIETNAMESE) -> DataFrame:
+    """Distinct tokens outside the dictionary with their words, also those in guarded ranges, which are few. Each chunk of the texts
+    gives a token once."""
+    found = paras.select(F.make_valid_utf8("text").alias("text")).mapInArrow(token_scan.distinct_tokens(token_scan.letters(paras.sparkSession)), "token string")
+    asked = found.distinct().where(_is_asked(F.col("token"), pack)).withColumn("word", F.lower("token"))
+    return asked.join(broadcast_if_small(words.select("word")), "word", "left_anti")
+
+
 def asked_words(paras: DataFrame, words: DataFrame, pack: SpellRules = VIETNAMESE) -> DataFrame:
-    """Distinct words outside the dictionary, also those in guarded ranges, which are few. Without positions and
-    contexts this is one pass of the token pattern."""
-    tokens = F.regexp_extract_all(F.translate("text", MARK, STAND_IN), F.lit(chars.TOKEN), F.lit(0))
-    asked = paras.select(F.explode(F.array_distinct(tokens)).alias("token")).where(_is_asked(F.col("token"), pack))
-    return asked.select(F.lower("token").alias("word")).distinct().join(broadcast_if_small(words.select("word")), "word", "left_anti")
-
-
-def _asked_tokens(paras: DataFrame, words: DataFrame, pack: SpellRules, max_broadcast: int, masks: Column | None, *keys: str) -> DataFrame:
-    """Tokens outside the dictionary that no mask covers: keys, start, end, token, word, context."""
-    token, text = F.col("token"), F.col("body")
-    candidates = (
-        token_rows(paras, *keys, masks=masks)
-        .where(_is_asked(token, pack))
-        .withColumn("word", F.lower("token"))
-    )
+    """The distinct words of ``asked_tokens``."""
+    return asked_tokens(paras, words, pack).select("word").distinct()
+
+
+def _asked_tokens(paras: DataFrame, words: DataFrame, pack: SpellRules, max_broadcast: int, guards: Column | None, *keys: str) -> DataFrame:
+    """Tokens outside the dictionary that meet no guarded range: keys, start, end, token, word, context."""
+    token = F.col("token")
+    candidates = token_rows(paras, *keys, guards=guards, units=pack.units).where(_is_asked(token, pack)).withColumn("word", F.lower("token"))
     known = words.select("word")
     small = is_small(known, max_broadcast)
     if small:
         candidates = candidates.join(F.broadcast(known), "word", "left_anti")
-    # positions inside the block's text
-    first, last = F.col("start") - F.col("block_pos") + F.col("lead"), F.col("end") - F.col("block_pos") + F.col("lead")
-    before = F.substring(text, F.greatest(first - 40, F.lit(0)) + 1, F.least(first, F.lit(40)))
-    placed = candidates.where(~(F.col("word").isin(*pack.units) & after_number(before))).select(
-        *keys, "start", "end", "token", "word", context_snippet(text, first, last).alias("context")
-    )
+    placed = candidates.select(*keys, "start", "end", "token", "word", _block_context().alias("context"))
     return placed if small else placed.join(known, "word", "left_anti")
 
 
+def _block_context() -> Column:
+    """The context of a token in its block."""
+    offset = F.col("lead") - F.col("block_pos")
+    return context_snippet(F.col("body"), F.col("start") + offset, F.col("end") + offset)
+
+
 def unknown_tokens(
     paras: DataFrame, words: DataFrame, pack: SpellRules = VIETNAMESE, max_broadcast: int = MAX_BROADCAST_ROWS,
     issues: DataFrame | None = None,
@@ -366,14 +343,17 @@ def unknown_tokens(
     the columns of ``tagged_rule_issues``, takes the place of the rules; its rows are joined by position.
     """
     if issues is None:
-        return _asked_tokens(paras, words, pack, max_broadcast, guard_masks(F.col("text"), pack), *PARA_KEY)
+        return _asked_tokens(paras, words, pack, max_broadcast, guarded_spans(F.col("text"), pack), *PARA_KEY)
     keys = (*PARA_KEY, "tag")
     tagged = paras.select(*PARA_KEY, "text", F.xxhash64("text").alias("tag"))
     # read twice by the overlap join
-    placed = stage(_asked_tokens(tagged, words, pack, max_broadcast, guard_masks(F.col("text"), pack, rule_ranges=False), *keys))
+    placed = stage(_asked_tokens(tagged, words, pack, max_broadcast, guarded_spans(F.col("text"), pack, rule_ranges=False), *keys))
     return outside(placed, issues.select(*keys, "start", "end"), *keys).drop("tag")
 
 
+#: most tokens with a fix that every Python worker holds, and their bytes
+MAX_HELD_ROWS, MAX_HELD_BYTES = 4_000_000, 192 << 20
+
 MIN_BASE_RATIO = 0.67
 MIN_RATIO, MIN_RATIO_CAPITAL = 0.78, 0.86
 
@@ -418,15 +398,22 @@ def dictionary_issues(
     issues: DataFrame | None = None,
 ) -> DataFrame:
     """Warnings for tokens outside the dictionary that have a close enough suggestion."""
-    # the texts are read twice, so that no token rows are written: first for the words alone
-    fixes = broadcast_if_small(stage(corrections(asked_words(paras, words, pack), words, lookup, exact)))
-    # beyond that size token rows are shuffled; the word is made of the token there and is not carried along
-    unknown = unknown_tokens(paras, words, pack, issues=issues).drop("word")
-    capital = F.regexp_like("token", F.lit("^" + chars.UPPER))
-    accepted = unknown.join(fixes, F.lower("token") == F.col("word")).where(
-        F.col("ratio") >= F.when(capital, MIN_RATIO_CAPITAL).otherwise(MIN_RATIO)
-    )
-    return accepted.select(
+    # the texts are read twice, so that no token rows are written: first for the distinct tokens alone
+    asked = stage(asked_tokens(paras, words, pack))
+    ratio, capital = F.col("ratio"), F.regexp_like("token", F.lit("^" + chars.UPPER))
+    fixes = asked.join(corrections(asked, words, lookup, exact), "word").where(ratio >= F.when(capital, MIN_RATIO_CAPITAL).otherwise(MIN_RATIO))
+    accepted = stage(fixes.select(
+        "token", copy_capital(F.col("token"), F.col("suggestion")).alias("suggestion"),
+        F.least(F.lit(95), F.greatest(F.lit(62), F.bround(ratio * 100).cast("int"))).alias("confidence"),
+    ))
+    if issues is None and is_small(accepted, MAX_HELD_ROWS, MAX_HELD_BYTES):
+        # the scan looks its tokens up, so only those with a fix become rows
+        guards = guarded_spans(F.col("text"), pack)
+        found = token_rows(paras, *PARA_KEY, guards=guards, units=pack.units, wanted=_held(accepted)).withColumn("context", _block_context())
+    else:
+        # beyond that size token rows are shuffled
+        found = unknown_tokens(paras, words, pack, issues=issues).drop("word").join(broadcast_if_small(accepted), "token")
+    return found.select(
         "doc_id",
         "para_no",
         "location",
@@ -435,13 +422,19 @@ def dictionary_issues(
         F.lit(rules.KIND_SPELLING).alias("kind"),
         F.lit("warning").alias("severity"),
         F.col("token").alias("original"),
-        copy_capital(F.col("token"), F.col("suggestion")).alias("suggestion"),
+        "suggestion",
         F.lit(rules.MESSAGE_SPELLING).alias("message"),
-        F.least(F.lit(95), F.greatest(F.lit(62), F.bround(F.col("ratio") * 100).cast("int"))).alias("confidence"),
+        "confidence",
         "context",
     )
 
 
+def _held(rows: DataFrame) -> pa.RecordBatch:
+    """The rows as one batch in the driver, for a broadcast to the Python workers."""
+    table = rows.toArrow().combine_chunks()
+    return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
+
+
 def tagged_rule_issues(paras: DataFrame, pack: SpellRules = VIETNAMESE) -> DataFrame:
     """Phrase and formatting issues as rows, with a ``tag`` that tells apart texts with equal keys."""
     exploded = paras.select(*PARA_KEY, "text", F.explode(rule_issues(F.col("text"), pack)).alias("i"))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from casequill.functions import chars
 from casequill.functions.spans import CONTEXT_RADIUS
 
-#: bytes of text that are scanned together
-CHUNK = 8 << 20
+#: bytes of text that are scanned together; a scan takes about 65 times as much memory, and a chunk with its tokens 5 times
+CHUNK = 2 << 20
 #: characters of a long text in one block; texts below twice that are one block
 WIDTH = 4096
 #: characters that a block knows of its neighbours: a context and one more, to see whether it is cut
@@ -165,9 +165,9 @@ def token_blocks(runs: bytes, keep: tuple[str, ...], units: tuple[str, ...], wan
         kept = np.arange(len(tokens))
         if wanted is not None:
             table = wanted.value
-            number = pc.index_in(tokens, table.column("token")).to_numpy(zero_copy_only=False)
-            kept = np.flatnonzero(~np.isnan(number))
-            number = number[kept].astype(np.int64)
+            number = _numbers(tokens, table.column("token"))
+            kept = np.flatnonzero(number >= 0)
+            number = number[kept]
         start, end = scan.place(scan.start[kept]), scan.place(scan.end[kept])
         bases = scan.place(scan.offsets)
         free = _outside(start, end, batch.column("guards"), bases)
@@ -208,6 +208,17 @@ def token_blocks(runs: bytes, keep: tuple[str, ...], units: tuple[str, ...], wan
     return run
 
 
+def _numbers(tokens: pa.Array, listed: pa.Array) -> np.ndarray:
+    """The place of each token in a list of different ones, -1 if it is not there. The list is looked up in the tokens of the chunk: a
+    hash table of the list would be made for every chunk, and be as large as the list."""
+    coded = tokens.dictionary_encode()
+    at = pc.index_in(listed, coded.dictionary)
+    found = np.flatnonzero(pc.is_valid(at).to_numpy(zero_copy_only=False))
+    place = np.full(len(coded.dictionary) + 1, -1, np.int64)
+    place[at.drop_null().to_numpy()] = found
+    return place[coded.indices.to_numpy()]
+
+
 def _outside(start: np.ndarray, end: np.ndarray, guards: pa.Array, bases: np.ndarray) -> np.ndarray:
     """Numbers of the ranges that meet no guarded one. A range meets one of those that begin before its end if the farthest of their
     ends lies behind its start; a guarded range ends in its own text, so those of other texts can't."""
